@@ -42,8 +42,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def lower_ascii(c: Column) -> Column:
-    """A-Z to a-z; every other character stays."""
-    return F.translate(c, UPPER, LOWER)
+    """A-Z to a-z; every other character stays. ``lower`` is faster but only right for plain ASCII."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def crc32_long(c: Column) -> Column:

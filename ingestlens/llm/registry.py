@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from ingestlens.llm import exact_dedup, sharding
+from ingestlens.llm import decontaminate, exact_dedup, sharding
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
 }
 
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+ORACLE_SQL = {
+    "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op8_decontaminate": decontaminate.OP8_SQL,
+}
