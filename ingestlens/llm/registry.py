@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ingestlens.llm import decontaminate, exact_dedup, hmm, near_dedup, packing, sharding
+from ingestlens.llm import decontaminate, exact_dedup, hmm, near_dedup, packing, quality, sharding
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op5_mil_quality": quality.op5_mil_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op10_pattern_packing": packing.op10_pattern_packing,
     "op7_hmm_lm": hmm.op7_hmm_lm,

@@ -39,6 +39,14 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def word_hashes(joined: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash per word of ``joined`` (bytes of words, each followed by a space at ``ends``)."""
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    up, down = _powers(len(joined) + 1)
+    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[joined] * up[: len(joined)], dtype=np.uint64)))
+    return mix((running[ends] - running[starts]) * down[starts])
+
+
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all k-word shingles; a shorter text is one shingle, an empty one none.
 
