@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ingestlens.llm import decontaminate, exact_dedup, hmm, near_dedup, packing, quality, sharding
+from ingestlens.llm import decontaminate, exact_dedup, hmm, html_text, near_dedup, packing, quality, sharding
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_mil_quality": quality.op5_mil_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op9_block_rules": html_text.op9_block_rules,
     "op10_pattern_packing": packing.op10_pattern_packing,
     "op7_hmm_lm": hmm.op7_hmm_lm,
     "op8_decontaminate": decontaminate.op8_decontaminate,
