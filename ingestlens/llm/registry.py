@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ingestlens.llm import decontaminate, exact_dedup, hmm, html_text, near_dedup, packing, quality, sharding
+from ingestlens.llm import chat, decontaminate, exact_dedup, hmm, html_text, near_dedup, packing, quality, sharding
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_perspectives": chat.op4_perspectives,
     "op5_mil_quality": quality.op5_mil_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_block_rules": html_text.op9_block_rules,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_perspectives": chat.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
 }
