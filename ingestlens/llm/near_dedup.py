@@ -19,6 +19,8 @@ REGISTERS, BANDS = 128, 32
 BLOCK = 1024
 #: Pairs whose signatures agree in less than this are not verified: six standard deviations under 0.75.
 LEAST_AGREEMENT = 0.55
+#: Rows of the filter that keeps other documents' texts out of the shuffle to the candidates (16 bytes each).
+FILTER_WORDS = 1 << 18
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> list[str | None]:
@@ -122,6 +124,22 @@ def _across(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return rows.groupBy("cluster", "row_block", "col_block").applyInArrow(run, "u long, v long")
 
 
+def _maybe_among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose id is not in ``wanted``, so that few texts are shuffled to it.
+
+    A one-hash Bloom filter as a table of at most ``FILTER_WORDS`` words of 32
+    bits, whatever ``wanted`` holds; a fuller filter lets more rows through and
+    never loses one.
+    """
+    count = wanted.count()
+    words = min(FILTER_WORDS, 1 << max(10, count.bit_length()))
+    slot = F.pmod(F.xxhash64("id", F.lit("filter")), F.lit(words * 32))
+    bit = F.expr("shiftleft(1L, cast(slot % 32 as int))")
+    filled = wanted.select(slot.alias("slot")).groupBy(F.expr("slot div 32").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    placed = rows.withColumn("slot", slot).withColumn("word", F.expr("slot div 32"))
+    return placed.join(F.broadcast(filled), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75
 ) -> DataFrame:
@@ -156,7 +174,7 @@ def near_groups(
     )
     wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     texts = stored(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        _maybe_among(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), wanted)
         .join(wanted, "id")
         .dropDuplicates(["id"]),
         "candidate-texts",
