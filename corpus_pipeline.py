@@ -1,16 +1,56 @@
-"""Corpus pipeline: quality, exact dedup, near dedup, decontamination, packing."""
+"""Corpus pipeline: quality, exact dedup, near dedup, decontamination, packing.
 
-from __future__ import annotations
+Every stage takes all rows its predecessor kept and, but for the last, returns
+the columns of ``documents`` for the rows that it keeps itself.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ingestlens.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 from ingestlens.llm.common import stored, table
 
-STAGES: list[tuple[str, Callable]] = []
 
-#: Model training, tokenisation and the iterative near-dedup are outside SQL.
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores at least 0.5."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.quality_scores(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the longest original; of repeated rows of it, one."""
+    kept = exact_dedup.exact_dedup(docs).filter("kept")
+    return kept.dropDuplicates(["doc_id", "text_sha256"]).select(*docs.columns)
+
+
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id; documents without shingles stay."""
+    groups = near_dedup.near_groups(docs)
+    dropped = groups.filter("not kept").select(F.col("id").alias("doc_id"))
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents with their sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("exact_dedup", keep_one_of_equal),
+    ("near_dedup", keep_one_of_near),
+    ("decontamination", keep_clean),
+    ("packing", pack),
+]
+
+#: Model training, tokenisation and the iterative near-dedup are outside SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

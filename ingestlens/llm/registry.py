@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ingestlens.llm import chat, decontaminate, exact_dedup, hmm, html_text, near_dedup, packing, quality, sharding
+from ingestlens.llm import chat, decontaminate, exact_dedup, hmm, html_text, near_dedup, packing, quality, sharding, surrogates
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
+    "op2_surrogates": surrogates.op2_surrogates,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_perspectives": chat.op4_perspectives,
     "op5_mil_quality": quality.op5_mil_quality,
