@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from ingestlens.plans import audits, listings
+
+QUERIES: dict = listings.QUERIES | audits.QUERIES
+ORACLE_SQL: dict = listings.ORACLE_SQL | audits.ORACLE_SQL
