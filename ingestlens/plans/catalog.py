@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ingestlens.plans import audits, listings
+from ingestlens.plans import audits, listings, streams
 
-QUERIES: dict = listings.QUERIES | audits.QUERIES
-ORACLE_SQL: dict = listings.ORACLE_SQL | audits.ORACLE_SQL
+QUERIES: dict = listings.QUERIES | audits.QUERIES | streams.QUERIES
+ORACLE_SQL: dict = listings.ORACLE_SQL | audits.ORACLE_SQL | streams.ORACLE_SQL
