@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ingestlens.functions import scalars as S
 from ingestlens.operators.filters import expired
-from ingestlens.operators.fold import Rules, close_expired, finish, step
+from ingestlens.operators.fold import Rules, finish, step
 from ingestlens.operators.quality import validate
-from ingestlens.schemas import CANCELLED, COMPLETED, FAILED, IN_PROGRESS, NOT_COMPLETED, STATUSES, TERMINAL, TIMEOUT_MINUTES
+from ingestlens.schemas import CANCELLED, COMPLETED, FAILED, IN_PROGRESS, NOT_COMPLETED, TERMINAL, TIMEOUT_MINUTES
 
 
 def may_become(old: str, new: str) -> Column:
@@ -144,7 +144,7 @@ def _folded(events: DataFrame, key: str, rules: Rules, as_of: datetime | None) -
     names = ["kind", *(f.split()[0] for f in f"{_BATCH}, {_REJECT}".split(", "))]
     kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "timestamp": pa.timestamp("us", "UTC")}
     types = [pa.string(), *(kinds[f.split()[1]] for f in f"{_BATCH}, {_REJECT}".split(", "))]
-    end = None if as_of is None else int(as_of.timestamp() * 1_000_000)
+    end = None if as_of is None else round((as_of if as_of.tzinfo else as_of.replace(tzinfo=UTC)).timestamp() * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, open_, out = object(), {}, []
@@ -185,7 +185,7 @@ def replay(
     else ``site_id``. ``expire_at='deadline'`` closes a silent batch at its
     deadline, ``'tick'`` at the next five-minute sweep after it; with
     ``expire_on_start`` a start closes an expired batch before the sweep.
-    Batches open at the end stay so, unless ``as_of`` is past their deadline.
+    Batches open at the end stay so, unless ``as_of`` (UTC) is past their deadline.
     """
     if limit is not None and key != "account_id":
         raise ValueError("a limit per account needs the account as key")
@@ -195,6 +195,3 @@ def replay(
         folded.filter("kind = 'batch'").select(*names(_BATCH)),
         folded.filter("kind = 'rejected'").select("site_id", "batch_id", *names(_REJECT)),
     )
-
-
-__all__ = ["STATUSES", "apply_commands", "change", "close_expired", "deactivate_accounts", "delete_batches", "feed", "flag_errors", "may_become", "replay", "sweep"]
