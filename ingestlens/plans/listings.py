@@ -238,7 +238,7 @@ _add(
     "sta9_outcomes",
     """select status, count(*) batches, avg(s) avg_seconds, quantile_cont(s, 0.5) p50_seconds, quantile_cont(s, 0.95) p95_seconds, count(*) / (select count(*) from batches) as share
        from (select status, cast(epoch_us(completed_at) - epoch_us(started_at) as double) / 1e6 s from batches) group by 1""",
-    lambda m: stats.outcomes(m["batches"]),
+    lambda m: stats.outcomes(m["batches"], exact=True),
 )
 _add(
     "sta9_success_share",

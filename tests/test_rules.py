@@ -149,6 +149,12 @@ def test_empty_tables(small):
     assert stats.global_statistics(*(empty[k] for k in ("accounts", "sites", "batches", "files", "errors"))).first()["bytes"] == 0
 
 
+def test_outcomes(small):
+    for exact in (True, False):
+        got = {r["status"]: r for r in stats.outcomes(small["batches"], exact).collect()}
+        assert (got["COMPLETED"]["p50_seconds"], got["FAILED"]["p95_seconds"], got["IN_PROGRESS"]["p50_seconds"]) == (300.0, 540.0, None)
+
+
 def test_nested_details(small):
     got = {r["batch_id"]: [f["file_id"] for f in r["files"]] for r in joins.batch_details(small["batches"], small["files"], small["sites"]).collect()}
     assert got == {"b1": ["f1", "f2"], "b2": ["f3"], "b3": []}
