@@ -103,7 +103,7 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
             x, owner = x[open_], owner[open_]
             rows = np.arange(len(x))
             if perm is None:
-                perm = np.repeat(np.arange(m, dtype=np.uint16)[None], len(x), 0)
+                perm = np.repeat(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16)[None], len(x), 0)
                 perm[rows, first_k[open_]] = 0
             else:
                 perm = perm[open_]
@@ -120,7 +120,7 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def blocks(texts, k: int = 5, size: int = 200_000):
+def blocks(texts, k: int = 5, size: int = 100_000):
     """Consecutive texts' shingle sets in lists of about ``size`` elements in all."""
     block, total = [], 0
     for text in texts:
