@@ -1,8 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
-The first pass decides a block from its place, link density, length and
-stop-word density; the second gives short undecided blocks the class of their
-nearest decided neighbours.
+The first pass decides every block from its link density, length and stop-word
+density, by bounds that its place raises or lowers; the second gives undecided
+blocks the class of their nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -59,6 +59,13 @@ _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style
 
 #: First-pass bounds: link density from which a block is boilerplate; characters of a short and a long block; stop-word densities.
 LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 70, 200, 0.15, 0.28
+#: The same by place: lower within the article, higher beside an article with most of the page's text, highest where marks speak against a block.
+BOUNDS = {
+    "in": (LINKS, SHORT, SHORT, STOP_LOW / 2, STOP_LOW),
+    "": (LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH),
+    "beside": (LINKS / 2, SHORT, 2 * LONG, STOP_LOW, STOP_HIGH),
+    "out": (LINKS / 2, 3 * LONG, 3 * LONG, STOP_HIGH, STOP_HIGH),
+}
 
 
 class Block:
@@ -173,39 +180,43 @@ def _density(text: str) -> float:
 
 def classify(found: list[Block]) -> None:
     """Sets ``good`` of every block."""
-    article = any(b.place == "in" for b in found)
+    plain = {where: sum(len(b.text) - b.linked for b in found if b.place == where) for where in ("in", "")}
+    beside = "beside" if plain["in"] > plain[""] else ""
     for b in found:  # first pass
-        links = b.linked / max(1, len(b.text))
-        if b.place == "out" or links > LINKS:
+        links, short, long, low, high = BOUNDS[b.place or beside]
+        if b.linked / max(1, len(b.text)) > links:
             b.good = False
-        elif article:
-            # The page marks its article: within it only links make a block boilerplate.
-            b.good = b.place == "in" and (True if len(b.text) >= SHORT or not b.linked else None)
-        elif len(b.text) >= SHORT:
+        elif len(b.text) < short:
+            b.good = False if b.place == "out" else None
+        else:
             stop = _density(b.text)
-            if stop >= STOP_HIGH and len(b.text) >= LONG:
-                b.good = True
-            elif stop >= STOP_LOW:
-                b.good = True if len(b.text) >= LONG or stop >= STOP_HIGH else None
+            if stop >= low:
+                b.good = True if len(b.text) >= long or b.place != "out" and beside == "" and stop >= high else None
+            elif b.place == "out":
+                b.good = False
             else:
-                b.good = False if not b.linked and len(b.text) < LONG else None
+                b.good = False if not b.place and not b.linked and len(b.text) < LONG else None
     decided = [i for i, b in enumerate(found) if b.good is not None]
-    classes = [found[i].good for i in decided]
     for i, b in enumerate(found):  # second pass
         if b.good is not None:
             continue
         k = bisect_left(decided, i)
-        before = classes[k - 1] if k else None
-        after = classes[k] if k < len(decided) else None
-        if before == after:
-            b.good = bool(before) if before is not None else _density(b.text) >= STOP_LOW
-        elif before is None or after is None:
-            b.good = bool(before or after)
+        sides = [j for j in (decided[k - 1] if k else None, decided[k] if k < len(decided) else None) if j is not None]
+        # A neighbour in the same place counts before one elsewhere; the article and what stands beside it do not inherit from each other.
+        same = [j for j in sides if found[j].place == b.place]
+        sides = same or ([] if b.place == "in" or beside and not b.heading else sides)
+        if not sides and beside and not b.place:
+            b.good = len(b.text) >= LONG and _density(b.text) >= STOP_HIGH
+        elif not sides:
+            b.good = _density(b.text) >= STOP_LOW or b.place == "in" and not b.linked
+        elif len({found[j].good for j in sides}) == 1:
+            b.good = found[sides[0]].good
         elif b.heading:
-            b.good = after  # a heading goes with what it heads
+            b.good = found[sides[1]].good  # a heading goes with what it heads
         else:
-            near_before, near_after = i - decided[k - 1], decided[k] - i
-            b.good = before if near_before < near_after else after if near_after < near_before else _density(b.text) >= STOP_LOW
+            near_before, near_after = i - sides[0], sides[1] - i
+            near = sides[0] if near_before < near_after else sides[1]
+            b.good = found[near].good if near_before != near_after else _density(b.text) >= STOP_LOW
 
 
 def main_text(page: str | None) -> str:

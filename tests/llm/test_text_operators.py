@@ -164,3 +164,14 @@ def test_given_pages_have_their_articles(spark):
         body = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1].replace("<br>", " ")
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", body)]
         assert r["text"] == "\n".join(b for b in blocks if b)
+
+
+def test_article_is_no_veto():
+    body, short = f"{GOOD} {GOOD}", "Short one."
+    advert = "Brand sneakers sale fifty percent reduced today only, order now: hotline, free shipping worldwide"
+    teaser = "<div><article><h3>Read next</h3><p>A card.</p></article></div>"
+    plain = f"<div><h1>Title</h1><p>{body}</p><p>{GOOD}</p><p>{short}</p><p>{advert}</p><p>{body}</p></div>"
+    assert html_text.main_text(plain) == "\n".join(["Title", body, GOOD, short, body])
+    assert html_text.main_text(plain + teaser).startswith("\n".join(["Title", body, GOOD, short, body]))
+    assert html_text.main_text(f"<article><p>{body}</p><p>{GOOD}</p></article><div><p>{GOOD[:80]}</p><p>Owned by Example.</p></div>") == f"{body}\n{GOOD}"
+    assert html_text.main_text(f"<article><p>{body}</p></article><div><p>{body} {body}</p></div>") == f"{body}\n{body} {body}"
