@@ -71,16 +71,15 @@ BOUNDS = {
 class Block:
     """One block: its text, and what the rules look at."""
 
-    __slots__ = ("text", "linked", "place", "heading", "good")
+    __slots__ = ("text", "linked", "place", "heading", "good", "around")
 
-    def __init__(self, text: str, linked: int, place: str, heading: bool):
-        self.text, self.linked, self.place, self.heading, self.good = text, linked, place, heading, None
+    def __init__(self, text: str, linked: int, around: list[tuple[int, str]], heading: bool):
+        self.text, self.linked, self.around, self.heading = text, linked, around, heading
+        self.place, self.good = "", None
 
 
 def _marks(name: str, attributes: str) -> str | None:
-    """What an element says of its content: ``out``, ``in``, ``gone`` (not displayed) or nothing."""
-    if name in FRAME:
-        return "out"
+    """What an element says of its content: ``out``, ``in`` (``main`` if there is one such), ``gone`` (not displayed) or nothing."""
     values = {}
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
@@ -88,33 +87,62 @@ def _marks(name: str, attributes: str) -> str | None:
     if "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I):
         return "gone"
     if name in ("article", "main") or values.get("role") in ("main", "article"):
-        return "in"
+        return "main" if "main" in (name, values.get("role")) else "in"
+    if name in FRAME:
+        return "out"
+    if name in ("html", "body"):
+        return None
     named = " ".join(v for k, v in values.items() if k in ("class", "id", "role"))
     if named and ASIDE.search(named):
         return None if ARTICLE.search(named) else "out"
     return None
 
 
+def _places(found: list[Block]) -> None:
+    """Sets ``place`` of every block: ``out`` if any element around says so, else ``in`` within the article, else nothing.
+
+    An ``out`` element is not believed if it holds the article: a <main>, half
+    of all text in articles (more of it than a long block that is marked ``out``
+    must have), or half of the page's text with no article elsewhere.
+    """
+    total = articles = 0
+    held: dict[int, list] = {}  # of each out element: plain text, plain text in articles opened within, whether a <main> is
+    for b in found:
+        size = len(b.text) - b.linked
+        total += size
+        articles += size * any(m != "out" for _, m in b.around)
+        for at, (i, mark) in enumerate(b.around):
+            if mark == "out":
+                inner = [m for _, m in b.around[at + 1 :] if m != "out"]
+                entry = held.setdefault(i, [0, 0, False])
+                entry[0] += size
+                entry[1] += size * bool(inner)
+                entry[2] |= "main" in inner
+    wrong = set()
+    for i, (size, within, main) in held.items():
+        if main or 2 * within > articles and within >= BOUNDS["out"][1] or 2 * size > total and within == articles:
+            wrong.add(i)
+    for b in found:
+        marks = [m for i, m in b.around if i not in wrong]
+        b.place = "out" if "out" in marks else "in" if marks else ""
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, each with white space as single spaces; nothing of unseen elements."""
     found: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, str | None]] = []
-    links = at = 0
+    stack: list[tuple[str, str | None, int]] = []
+    links = at = opened = 0
     length = len(page)
 
-    def place() -> str:
-        """``gone`` or ``out`` if any element around says so, else ``in`` within the article, else nothing."""
-        marks = [m for _, m in stack if m]
-        return "gone" if "gone" in marks else "out" if "out" in marks else "in" if marks else ""
-
     def end() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
-        if text and (where := place()) != "gone":
-            found.append(Block(text, min(linked, len(text)), where, any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n, _ in stack)))
+        if text and not any(m == "gone" for _, m, _ in stack):
+            around = [(i, m) for _, m, i in stack if m]
+            found.append(Block(text, min(linked, len(text)), around, any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n, _, _ in stack)))
         linked = 0
 
     def add(piece: str) -> None:
@@ -138,14 +166,14 @@ def blocks(page: str) -> list[Block]:
             continue
         name = m[2].lower()
         if m[1]:
-            if name not in {n for n, _ in stack}:
+            if name not in {n for n, _, _ in stack}:
                 if name == "p":
                     end()
                 continue
             if name in BLOCK:
                 end()
             while stack:
-                n, _ = stack.pop()
+                n, _, _ = stack.pop()
                 links -= n == "a"
                 if n == name:
                     break
@@ -164,12 +192,14 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCK:
             end()
             closes = SELF_CLOSING.get(name, {"p"} if name != "body" else set())
-            while stack and (stack[-1][0] in closes or stack[-1][0] in ("b", "i", "em", "strong", "span", "font", "u", "a", "small") and any(n in closes for n, _ in stack[-4:])):
+            while stack and (stack[-1][0] in closes or stack[-1][0] in ("b", "i", "em", "strong", "span", "font", "u", "a", "small") and any(n in closes for n, _, _ in stack[-4:])):
                 links -= stack.pop()[0] == "a"
         if name not in VOID:
-            stack.append((name, _marks(name, m[3])))
+            opened += 1
+            stack.append((name, _marks(name, m[3]), opened))
             links += name == "a"
     end()
+    _places(found)
     return found
 
 

@@ -175,3 +175,22 @@ def test_article_is_no_veto():
     assert html_text.main_text(plain + teaser).startswith("\n".join(["Title", body, GOOD, short, body]))
     assert html_text.main_text(f"<article><p>{body}</p><p>{GOOD}</p></article><div><p>{GOOD[:80]}</p><p>Owned by Example.</p></div>") == f"{body}\n{GOOD}"
     assert html_text.main_text(f"<article><p>{body}</p></article><div><p>{body} {body}</p></div>") == f"{body}\n{body} {body}"
+
+
+@pytest.mark.parametrize("around", ["body class='right-sidebar'", "div class='page with-sidebar'", "div class='two-column sidebar-left'", "div class='no-cookies'", "form"])
+@pytest.mark.parametrize("kind", ["article", "main", "div"])
+def test_wrappers_do_not_empty_the_page(around, kind):
+    name = around.split()[0]
+    page = f"<html><{around}><nav><a href=x>Home</a></nav><{kind}><p>{GOOD} {GOOD}</p><p>{GOOD}</p><p>{GOOD} {GOOD}</p></{kind}></{name}></html>"
+    assert html_text.main_text(page) == f"{GOOD} {GOOD}\n{GOOD}\n{GOOD} {GOOD}"
+
+
+def test_marks_within_the_page_still_count():
+    card = "<article><h3>Read next</h3><p>A card of another page.</p></article>"
+    body = f"<p>{GOOD} {GOOD}</p><p>{GOOD} {GOOD}</p>"
+    want = f"{GOOD} {GOOD}\n{GOOD} {GOOD}"
+    assert html_text.main_text(f"<main>{body}</main><div class='related'>{card * 3}</div>") == want
+    assert html_text.main_text(f"<div>{body}</div><div class='related'>{card}</div>") == want
+    comments = f"<div class='comments'>{f'<p>{GOOD}</p>' * 9}</div>"
+    assert html_text.main_text(f"<article>{body}</article>{comments}") == want
+    assert html_text.main_text(f"<article>{body}{comments}</article>") == want
