@@ -2,7 +2,7 @@
 
 Everything is a column expression: a text is split by one pattern of all entity
 kinds and joined again around the replaced mentions, so texts are never moved
-for it. What is replaced is a mention's *parts* (a person has a given name and a
+for it. What is replaced is a mention's *parts* (a person has given names and a
 surname), each from a keyed hash of (type, canonical form): equal parts get
 equal surrogates everywhere (coreference) without any lookup. The distinct
 parts of the whole corpus are checked for two with one surrogate, and for
@@ -23,11 +23,13 @@ DEFAULT_KEY = "not-a-secret"
 
 #: Mentions with a further attempt that are looked up inside the expression; more are joined.
 FEW_RETRIES = 5000
+#: Added to the attempt of a given name after a neutral title whose gender is not the one its list tells.
+OTHER_GENDER = 1000
 
 MALE_TITLES = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Srta", "Madame", "Mme", "Mlle", "госпожа", "г-жа"]
 NEUTRAL_TITLES = ["Dr", "Prof", "Mx"]
-#: Given names by gender and script; surnames are made of the syllables.
+#: Given names by gender and script, with syllables after them at further attempts; surnames are made of the syllables.
 GIVEN = {
     ("m", "latin"): "Adam Albert Anton Bruno Carl Daniel David Edgar Erik Felix Frank Georg Henry Hugo Jakob Jonas Julian Karl Leon Louis Lucas Martin Max Nathan Oscar Paul Peter Simon Thomas Victor".split(),
     ("f", "latin"): "Ada Agnes Alice Anna Bella Clara Diana Edith Elena Emma Flora Greta Hanna Helena Ida Irene Julia Klara Laura Lena Lucia Maria Marta Nina Olga Paula Rosa Sara Sofia Vera".split(),
@@ -39,6 +41,7 @@ SYLLABLES = {
     "cyrillic": "бар вел гор дол жар зин кал лан мир нар пол рад сав тим фил хол чер шар".split(),
 }
 
+FEMALE_NAMES = [n.lower() for (gender, _), names in GIVEN.items() if gender == "f" for n in names]
 _TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES)
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _SECRET = r"(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
@@ -102,11 +105,18 @@ def _iban_rest(v: Column) -> Column:
     return F.aggregate(F.split(F.concat(F.substring(v, 5, 64), F.substring(v, 1, 4)), ""), F.lit(0), add)
 
 
-def _person(m: Column, group: int) -> Column:
-    """Title with its space (1), given name (2, empty if there is none), surname (3)."""
-    return F.rtrim(F.regexp_extract(m, rf"^((?:{_TITLES})\.? )({_NAME} )?({_NAME})$", group)) if group == 2 else F.regexp_extract(
-        m, rf"^((?:{_TITLES})\.? )({_NAME} )?({_NAME})$", group
-    )
+def _title(m: Column) -> Column:
+    """A person's title with its space."""
+    return F.regexp_extract(m, rf"^((?:{_TITLES})\.? )", 1)
+
+
+def _names(m: Column) -> Column:
+    """A person's name words, the surname last."""
+    return F.split(F.regexp_replace(m, rf"^(?:{_TITLES})\.? ", ""), " ")
+
+
+def _has_title(m: Column, titles: list[str]) -> Column:
+    return F.regexp_replace(_title(m), r"\.? $", "").isin(titles)
 
 
 def parts_of(m: Column, kind: Column) -> Column:
@@ -114,9 +124,15 @@ def parts_of(m: Column, kind: Column) -> Column:
     part = lambda t, c: F.struct(t.alias("type"), c.alias("canon"))
 
     def person() -> Column:
-        gender = F.when(F.regexp_replace(_person(m, 1), r"\.? $", "").isin(FEMALE_TITLES), "given_f").otherwise("given_m")
-        last = part(F.lit("surname"), F.lower(_person(m, 3)))
-        return _let(_person(m, 2), lambda given: F.when(given == "", F.array(last)).otherwise(F.array(part(gender, F.lower(given)), last)))
+        female = lambda w: _has_title(m, FEMALE_TITLES) | _has_title(m, NEUTRAL_TITLES) & F.lower(w).isin(FEMALE_NAMES)
+
+        def one(w: Column, i: Column, n: Column) -> Column:
+            return (
+                F.when(i == n - 1, part(F.lit("surname"), F.lower(w)))
+                .otherwise(part(F.when(female(w), "given_f").otherwise("given_m"), F.lower(w)))
+            )
+
+        return _let(_names(m), lambda names: F.transform(names, lambda w, i: one(w, i, F.size(names))))
 
     canon = (
         F.when(kind == "email", F.lower(m))
@@ -162,10 +178,10 @@ def _pick(words: list[str], b: Column) -> Column:
 
 def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical surrogate of a part."""
-    return _let(canon, lambda c: _let(_stream(key, kind, c, attempt), lambda s: _surrogate(key, kind, c, s)))
+    return _let(canon, lambda c: _let(_stream(key, kind, c, attempt), lambda s: _surrogate(key, kind, c, s, attempt)))
 
 
-def _surrogate(key: str, kind: Column, canon: Column, s: Column) -> Column:
+def _surrogate(key: str, kind: Column, canon: Column, s: Column, attempt: Column) -> Column:
     at = lambda i: _byte(s, F.lit(i))
 
     def email(domain: Column) -> Column:
@@ -187,7 +203,9 @@ def _surrogate(key: str, kind: Column, canon: Column, s: Column) -> Column:
         lambda x: F.concat(country, F.lpad((98 - _iban_rest(F.concat(country, F.lit("00"), x))).cast("string"), 2, "0"), x),
     )
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
-    given = lambda g: F.when(cyrillic, _pick(GIVEN[g, "cyrillic"], at(0) * 7 + at(1))).otherwise(_pick(GIVEN[g, "latin"], at(0) * 7 + at(1)))
+    more = lambda script, n: F.when(attempt >= n, _pick(SYLLABLES[script], at(n) * 5 + at(n + 9))).otherwise("")
+    named = lambda g, script: F.concat(_pick(GIVEN[g, script], at(0) * 7 + at(1)), *[more(script, n) for n in range(1, 5)])
+    given = lambda g: F.when(cyrillic, named(g, "cyrillic")).otherwise(named(g, "latin"))
     made = lambda script: F.initcap(F.concat(*[_pick(SYLLABLES[script], at(i) * 5 + at(i + 9)) for i in range(4)]))
     return (
         F.when(kind == "email", _let(F.substring_index(canon, "@", -1), email))
@@ -208,22 +226,27 @@ def _like(model: Column, value: Column) -> Column:
     return F.when((F.length(model) > 1) & (model == F.upper(model)) & (model != F.lower(model)), F.upper(value)).otherwise(value)
 
 
+def _other(kind: Column) -> Column:
+    """The type of a given name of the other gender."""
+    return F.when(kind == "given_m", "given_f").otherwise("given_m")
+
+
 def replacement(key: str, m: Column, attempts: Column) -> Column:
     """A mention's replacement in the mention's format; ``attempts``: a number per part, 0 where missing."""
-    made = lambda kind: F.transform(
-        parts_of(m, kind), lambda p, i: surrogate_of(key, p["type"], p["canon"], F.coalesce(F.get(attempts, i), F.lit(0)))
-    )
+
+    def one(p: Column, i: Column) -> Column:
+        attempt = F.coalesce(F.get(attempts, i), F.lit(0))
+        kind = F.when(attempt >= OTHER_GENDER, _other(p["type"])).otherwise(p["type"])
+        return surrogate_of(key, kind, p["canon"], attempt % OTHER_GENDER)
+
+    made = lambda kind: F.transform(parts_of(m, kind), one)
     return _let(kind_of(m), lambda kind: F.when(kind.isNull(), m).otherwise(_let(made(kind), lambda parts: _formatted(m, kind, parts))))
 
 
 def _formatted(m: Column, kind: Column, parts: Column) -> Column:
     first = F.get(parts, F.lit(0))
-    given = _person(m, 2)
-    person = F.concat(
-        _person(m, 1),
-        F.when(given == "", "").otherwise(F.concat(_like(given, first), F.lit(" "))),
-        _like(_person(m, 3), F.element_at(parts, -1)),
-    )
+    names = F.transform(_names(m), lambda w, i: _like(w, F.get(parts, i)))
+    person = F.concat(_title(m), F.array_join(names, " "))
     before = lambda i: F.length(_digits(F.substr(m, F.lit(1), i)))
     in_format = F.array_join(
         F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(first, before(i) + 1, F.lit(1))).otherwise(c)), ""
@@ -243,26 +266,42 @@ def retries(parts: DataFrame, key: str, most: int = 50) -> DataFrame:
 
     Of two parts of one type with one surrogate the first keeps it; a surrogate
     that is real data of its type elsewhere in the corpus is refused too. Given
-    names are drawn from short lists and stand beside a distinct surname, so
-    they are not checked.
+    names of both genders count as one type here.
     """
     surrogate = surrogate_of(key, F.col("type"), F.col("canon"), F.col("attempt"))
-    real = parts.select("type", F.col("canon").alias("surrogate"))
-    now = parts.filter(~F.col("type").startswith("given_")).withColumn("attempt", F.lit(0))
+    parts = parts.withColumn("space", F.when(F.col("type").startswith("given_"), "given").otherwise(F.col("type")))
+    real = parts.select("space", F.col("canon").alias("surrogate")).distinct()
+    now = parts.withColumn("attempt", F.lit(0))
     for _ in range(most):
-        now = stored(now.withColumn("surrogate", F.when(F.col("type") == "surname", F.lower(surrogate)).otherwise(surrogate)), "surrogates")
-        order = W.partitionBy("type", "surrogate").orderBy("attempt", "canon")
-        taken = now.join(real, ["type", "surrogate"], "left_semi").select("type", "canon").withColumn("bad", F.lit(True))
+        now = stored(now.withColumn("surrogate", F.when(F.col("space").isin("surname", "given"), F.lower(surrogate)).otherwise(surrogate)), "surrogates")
+        order = W.partitionBy("space", "surrogate").orderBy("attempt", "canon", "type")
+        taken = now.join(real, ["space", "surrogate"], "left_semi").select("type", "canon").withColumn("bad", F.lit(True))
         again = now.withColumn("nth", F.row_number().over(order)).join(taken, ["type", "canon"], "left")
         again = again.withColumn("redo", (F.col("nth") > 1) | F.coalesce("bad", F.lit(False)))
         if again.filter("redo").isEmpty():
             break
-        now = again.select("type", "canon", (F.col("attempt") + F.col("redo").cast("int")).alias("attempt"))
+        now = again.select("type", "canon", "space", (F.col("attempt") + F.col("redo").cast("int")).alias("attempt"))
     else:
         raise ValueError("the surrogates of some kind are used up")
     return now.filter("attempt > 0").select("type", "canon", "attempt")
 
 
+def _genders(by_mention: DataFrame) -> DataFrame:
+    """``m, i, other`` of given names after neutral titles whose gender other mentions tell: of the same full name, else of the given name."""
+    neutral = _has_title(F.col("m"), NEUTRAL_TITLES)
+    each = by_mention.filter(F.col("kind") == "person").select(
+        "m", neutral.alias("neutral"), F.transform("parts", lambda p: p["canon"]).alias("name"), F.posexplode("parts").alias("i", "p")
+    )
+    each = each.select("m", "neutral", "name", "i", "p.type", "p.canon").filter(F.col("type").startswith("given_"))
+
+    def told(by: str, name: str) -> DataFrame:
+        seen = each.filter(~F.col("neutral")).groupBy(by).agg(F.min("type").alias(name), F.max("type").alias("most"))
+        return seen.filter(F.col(name) == F.col("most")).drop("most")
+
+    known = each.filter("neutral").join(told("name", "of_name"), "name", "left").join(told("canon", "of_given"), "canon", "left")
+    return known.select("m", "i", (F.coalesce("of_name", "of_given", "type") != F.col("type")).alias("other")).filter("other")
+
+
 def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the text's entities replaced, plus ``n_entities`` and ``entity_kinds``.
 
@@ -277,19 +316,21 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "t
     found = base.withColumn("mentions", mentions)
     seen = found.filter(F.size("mentions") > 0).select(F.explode("mentions").alias("m")).distinct()
     kinds = seen.withColumn("kind", kind_of(F.col("m"))).filter("kind is not null")
-    by_mention = stored(kinds.select("m", parts_of(F.col("m"), F.col("kind")).alias("parts")), "mentions")
-    parts = by_mention.select(F.explode("parts").alias("p")).select("p.type", "p.canon").distinct()
-    odd = retries(parts, key)
+    by_mention = stored(kinds.select("m", "kind", parts_of(F.col("m"), F.col("kind")).alias("parts")), "mentions")
+    nth = by_mention.select("m", F.posexplode("parts").alias("i", "p")).select("m", "i", "p.type", "p.canon").join(_genders(by_mention), ["m", "i"], "left")
+    nth = nth.withColumn("type", F.when(F.col("other"), _other(F.col("type"))).otherwise(F.col("type")))
+    odd = retries(nth.select("type", "canon").distinct(), key)
     none = F.array().cast("array<int>")
-    nth = by_mention.select("m", F.posexplode("parts").alias("i", "p")).select("m", "i", "p.type", "p.canon").join(odd, ["type", "canon"], "left")
-    tries = F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("attempt", F.lit(0)).alias("a")))), lambda x: x["a"])
+    number = F.coalesce("attempt", F.lit(0)) + F.when(F.col("other"), OTHER_GENDER).otherwise(0)
+    nth = nth.join(odd, ["type", "canon"], "left").select("m", "i", number.alias("attempt"))
+    tries = F.transform(F.sort_array(F.collect_list(F.struct("i", F.col("attempt").alias("a")))), lambda x: x["a"])
     per_mention = nth.groupBy("m").agg(tries.alias("tries")).filter(F.exists("tries", lambda a: a > 0))
     few = per_mention.limit(FEW_RETRIES + 1).collect()
     if len(few) <= FEW_RETRIES:
         # Their numbers are part of the expression, so that no text is moved for them.
         at = lambda m: F.array_position(F.lit([r["m"] for r in few]), m).cast("int")
-        number = lambda m, i: F.get(F.lit([(r["tries"] + [0])[i] for r in few]), at(m) - 1)
-        look = lambda m: F.when(at(m) > 0, F.array(number(m, 0), number(m, 1))).otherwise(none)
+        numbers = F.lit([" ".join(map(str, r["tries"])) for r in few])
+        look = lambda m: F.when(at(m) > 0, F.split(F.get(numbers, at(m) - 1), " ").cast("array<int>")).otherwise(none)
         done = found.withColumn("attempts", F.transform("mentions", look if few else lambda m: none))
     else:
         # Only texts with a mention that needs another attempt meet its number; they find it by the text itself.

@@ -194,3 +194,16 @@ def test_marks_within_the_page_still_count():
     comments = f"<div class='comments'>{f'<p>{GOOD}</p>' * 9}</div>"
     assert html_text.main_text(f"<article>{body}</article>{comments}") == want
     assert html_text.main_text(f"<article>{body}{comments}</article>") == want
+
+
+@pytest.mark.parametrize("few", [5000, 0])
+def test_given_names_are_distinct_and_keep_gender(spark, monkeypatch, few):
+    monkeypatch.setattr(surrogates, "FEW_RETRIES", few)
+    names = surrogates.GIVEN["m", "latin"] + [f"Name{c}" for c in "abcdefghijklmnopqrst"]
+    rows = [f"Mr. {n} Weber" for n in names] + ["Mrs. Anna Weber", "Dr. Anna Weber", "Mrs. Xenia Weber", "Prof. Xenia Weber", "Dr. Xenia Kolb", "Dr. Max Weber"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    got = {rows[r["doc_id"]]: r["text"].split()[1] for r in surrogates.replace_entities(df).collect()}
+    men = [got[f"Mr. {n} Weber"] for n in names]
+    assert len(set(men)) == len(names) and not set(men) & set(names)
+    assert got["Mrs. Anna Weber"] == got["Dr. Anna Weber"] != got["Mrs. Xenia Weber"] == got["Prof. Xenia Weber"] == got["Dr. Xenia Kolb"]
+    assert got["Dr. Max Weber"] == got["Mr. Max Weber"] and got["Dr. Anna Weber"].startswith(tuple(surrogates.GIVEN["f", "latin"]))
