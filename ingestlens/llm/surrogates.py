@@ -12,6 +12,8 @@ attempt, and only their mentions need a join.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,7 +45,11 @@ SYLLABLES = {
 
 FEMALE_NAMES = [n.lower() for (gender, _), names in GIVEN.items() if gender == "f" for n in names]
 _TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES)
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_NAME = rf"(?!(?:{_TITLES})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'’-]+"
+_INITIAL = r"(?:\p{Lu}\.)+|\p{Lu}(?= )"
+#: Words inside names that stay as they are.
+_PARTICLE = "von|van|vom|der|den|de|del|della|di|da|dos|du|la|las|le|los|ter|ten|af|av|bin|ibn|al|el|y"
+_BETWEEN = rf"(?:(?:{_INITIAL}|{_PARTICLE}) ){{0,8}}"
 _SECRET = r"(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
@@ -52,14 +58,14 @@ PATTERNS = {
     "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|(?<=[ .-])\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "person": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<![\p{{L}}])(?:{_TITLES})\.? (?:{_BETWEEN}{_NAME}(?: {_BETWEEN}{_NAME}){{0,15}}|(?:\p{{Lu}}\.)+(?!\p{{L}}))",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: No text without a match of this has an entity.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd|passphrase|secret|token|key)|(?:{_TITLES})\.? "
+HINT = rf"[0-9@]|(?i:password|passwd|pwd|passphrase|secret|token|key)|AKIA|ASIA|gh[pousr]_|sk-|(?:{_TITLES})\.? "
 
 
 def _let(value: Column, use) -> Column:
@@ -128,7 +134,9 @@ def parts_of(m: Column, kind: Column) -> Column:
 
         def one(w: Column, i: Column, n: Column) -> Column:
             return (
-                F.when(i == n - 1, part(F.lit("surname"), F.lower(w)))
+                F.when(w.rlike(r"^(?:\p{Lu}\.)+$|^\p{Lu}$"), part(F.lit("initial"), w))
+                .when(w.rlike(rf"^(?:{_PARTICLE})$"), part(F.lit("particle"), w))
+                .when(i == n - 1, part(F.lit("surname"), F.lower(w)))
                 .otherwise(part(F.when(female(w), "given_f").otherwise("given_m"), F.lower(w)))
             )
 
@@ -181,6 +189,16 @@ def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Colu
     return _let(canon, lambda c: _let(_stream(key, kind, c, attempt), lambda s: _surrogate(key, kind, c, s, attempt)))
 
 
+def _initials(key: str, c: Column) -> Column:
+    """Every initial as another one: alphabets turned by a keyed step, so that distinct ones stay distinct."""
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŁŠŽ", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"]
+    turned = []
+    for a in alphabets:
+        step = int(hashlib.sha256(f"{key}|initial|{a}".encode()).hexdigest(), 16) % (len(a) - 1) + 1
+        turned.append(a[step:] + a[:step])
+    return F.translate(F.regexp_replace(c, f"[^{''.join(alphabets)}.]", "X"), "".join(alphabets), "".join(turned))
+
+
 def _surrogate(key: str, kind: Column, canon: Column, s: Column, attempt: Column) -> Column:
     at = lambda i: _byte(s, F.lit(i))
 
@@ -216,6 +234,8 @@ def _surrogate(key: str, kind: Column, canon: Column, s: Column, attempt: Column
         .when(kind == "iban", iban)
         .when(kind == "given_m", given("m"))
         .when(kind == "given_f", given("f"))
+        .when(kind == "initial", _initials(key, canon))
+        .when(kind == "particle", canon)
         .when(kind == "surname", F.when(cyrillic, made("cyrillic")).otherwise(made("latin")))
         .otherwise(_same_classes(canon, s, F.when(kind == "key", 4).otherwise(0)))
     )
@@ -319,7 +339,7 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "t
     by_mention = stored(kinds.select("m", "kind", parts_of(F.col("m"), F.col("kind")).alias("parts")), "mentions")
     nth = by_mention.select("m", F.posexplode("parts").alias("i", "p")).select("m", "i", "p.type", "p.canon").join(_genders(by_mention), ["m", "i"], "left")
     nth = nth.withColumn("type", F.when(F.col("other"), _other(F.col("type"))).otherwise(F.col("type")))
-    odd = retries(nth.select("type", "canon").distinct(), key)
+    odd = retries(nth.filter(~F.col("type").isin("initial", "particle")).select("type", "canon").distinct(), key)
     none = F.array().cast("array<int>")
     number = F.coalesce("attempt", F.lit(0)) + F.when(F.col("other"), OTHER_GENDER).otherwise(0)
     nth = nth.join(odd, ["type", "canon"], "left").select("m", "i", number.alias("attempt"))
