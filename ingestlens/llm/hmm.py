@@ -152,33 +152,60 @@ class Hmm:
     move: np.ndarray
     emit: np.ndarray  # symbol, state
 
-    def expected(self, symbols: np.ndarray, lengths: np.ndarray):
-        """Expected starts, moves and emissions of padded sequences (time, sequence), and their log likelihood."""
+    def expected(self, symbols: np.ndarray, lengths: np.ndarray, piece: int = 64, kept: int = 200_000):
+        """Expected starts, moves and emissions of padded whole sequences (time, sequence), and their log likelihood.
+
+        The recursions run piece by piece. What the forward one found of a piece
+        is kept for some ``kept`` tokens in all; further pieces keep the state
+        they start from and are run again on the way back.
+        """
+        order = np.argsort(-lengths, kind="stable")
+        symbols, lengths = symbols[:, order], lengths[order]
         steps, n = symbols.shape
         k = len(self.start)
-        real = np.arange(steps)[:, None] < lengths[None]
-        e = self.emit[symbols]
-        e[~real] = 1.0
-        alpha, scale = np.empty((steps, n, k)), np.ones((steps, n))
-        a = self.start * e[0]
-        for t in range(steps):
-            if t:
-                a = (alpha[t - 1] @ self.move) * e[t]
-            scale[t] = a.sum(1)
-            alpha[t] = a / scale[t][:, None]
-        beta = np.ones((n, k))
-        gamma = np.empty_like(alpha)
-        moves = np.zeros((k, k))
-        for t in range(steps - 1, -1, -1):
-            gamma[t] = alpha[t] * beta
-            if t:
-                ahead = e[t] * beta / scale[t][:, None]
-                moves += (alpha[t - 1] * real[t][:, None]).T @ (ahead * real[t][:, None])
-                beta = np.where(real[t][:, None], ahead @ self.move.T, beta)
-        gamma /= gamma.sum(2, keepdims=True)
-        flat, g = symbols[real], gamma[real]
-        emitted = np.stack([np.bincount(flat, g[:, s], len(self.emit)) for s in range(k)], 1)
-        return gamma[0].sum(0), moves * self.move, emitted, float(np.log(scale[real]).sum())
+        active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # sequences that have a token at each time
+
+        def forward(first: int, a: np.ndarray | None):
+            out = []
+            for t in range(first, min(first + piece, steps)):
+                e = self.emit[symbols[t, : active[t]]]
+                a = (self.start if a is None else a[: active[t]] @ self.move) * e
+                scale = a.sum(1)
+                a = a / scale[:, None]
+                out.append((a, e, scale))
+            return out
+
+        entries, stored_pieces, tokens, like, a = {}, {}, 0, 0.0, None
+        for first in range(0, steps, piece):
+            entries[first] = a
+            done = forward(first, a)
+            a = done[-1][0]
+            like += sum(float(np.log(scale).sum()) for _, _, scale in done)
+            tokens += int(active[first : first + piece].sum())
+            if tokens <= kept:
+                stored_pieces[first] = done
+        start, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((len(self.emit), k))
+        beta = np.ones((0, k))
+        for first in reversed(entries):
+            done = stored_pieces.pop(first, None) or forward(first, entries[first])
+            gammas = []
+            for t in range(first + len(done) - 1, first - 1, -1):
+                alpha, e, scale = done[t - first]
+                beta = np.concatenate((beta, np.ones((len(alpha) - len(beta), k))))  # a sequence's last token
+                gamma = alpha * beta
+                gammas.append(gamma / gamma.sum(1, keepdims=True))
+                if t:
+                    before = done[t - first - 1][0] if t > first else entries[first]
+                    ahead = e * beta / scale[:, None]
+                    moves += before[: len(ahead)].T @ ahead
+                    beta = ahead @ self.move.T
+            flat = np.concatenate([symbols[t, : active[t]] for t in range(first + len(done) - 1, first - 1, -1)])
+            g = np.concatenate(gammas)
+            for s in range(k):
+                emitted[:, s] += np.bincount(flat, g[:, s], len(self.emit))
+            if not first:
+                start = gammas[-1].sum(0)
+        return start, moves * self.move, emitted, like
 
     @staticmethod
     def fitted(start, moves, emitted, prior: np.ndarray) -> Hmm:
@@ -205,12 +232,13 @@ class Hmm:
         return back
 
 
-def _segments(streams: list[np.ndarray], length: int = 64, at_once: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Symbol streams cut into sequences of ``length`` for training, padded, time first."""
-    cut = [s[i : i + length] for s in streams for i in range(0, len(s), length)]
-    cut.sort(key=len)
-    for i in range(0, len(cut), at_once):
-        part = cut[i : i + at_once]
+def _segments(streams: list[np.ndarray], at_once: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole symbol streams for training, padded, time first; those of one batch are at most four times as long as its shortest, or short."""
+    left = sorted(streams, key=len)
+    while left:
+        most = max(64, 4 * len(left[0]))
+        n = next((i for i, s in enumerate(left[:at_once]) if len(s) > most), min(at_once, len(left)))
+        part, left = left[:n], left[n:]
         lengths = np.array([len(s) for s in part])
         padded = np.zeros((int(lengths.max()), len(part)), np.int32)
         for j, s in enumerate(part):
@@ -243,9 +271,9 @@ def baum_welch(texts: DataFrame, vocab: Vocabulary, model: Hmm) -> Hmm:
         total = [np.zeros(states), np.zeros((states, states)), np.zeros((size, states))]
         for batch in batches:
             column, at = batch.column("text"), 0
-            while at < len(column):  # some 200,000 tokens at a time
+            while at < len(column):  # some two million tokens at a time, so that few long texts share their steps with many
                 streams, tokens = [], 0
-                while at < len(column) and tokens < 200_000:
+                while at < len(column) and tokens < 2_000_000:
                     streams.append(encode(words(column[at].as_py()), number, symbol, first_bucket)[1])
                     tokens += len(streams[-1])
                     at += 1

@@ -176,3 +176,27 @@ def test_pipeline_stages(spark):
     empty = rows.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_expected_counts_of_long_texts():
+    """One text of 150 tokens: counts by a plain forward-backward over the whole text."""
+    rng = np.random.default_rng(6)
+    model = random_model(rng)
+    x = rng.integers(0, 4, 150)
+    alpha, beta = [model.start * model.emit[x[0]]], [np.ones(3)]
+    for s in x[1:]:
+        alpha.append((alpha[-1] @ model.move) * model.emit[s])
+    for s in x[:0:-1]:
+        beta.insert(0, model.move @ (model.emit[s] * beta[0]))
+    p = alpha[-1].sum()
+    gamma = [a * b / p for a, b in zip(alpha, beta, strict=True)]
+    moves = sum(np.outer(alpha[t - 1], model.emit[x[t]] * beta[t]) for t in range(1, 150)) * model.move / p
+    for kept in (0, 200_000):
+        batches = list(hmm._segments([x, x[:0:-1], x[:3]]))
+        got = [sum(y) for y in zip(*(model.expected(*b, kept=kept) if kept == 0 else model.expected(*b) for b in batches), strict=True)]
+        assert got[1].sum() == pytest.approx(149 + 148 + 2) and got[0].sum() == pytest.approx(3) and got[2].sum() == pytest.approx(150 + 149 + 3)
+    (batch,) = hmm._segments([x])
+    for kept in (0, 200_000):
+        got = model.expected(*batch, kept=kept)
+        assert got[0] == pytest.approx(gamma[0]) and got[1] == pytest.approx(moves) and got[3] == pytest.approx(math.log(p))
+        assert got[2] == pytest.approx(np.stack([sum((g for g, s in zip(gamma, x, strict=True) if s == m), np.zeros(3)) for m in range(4)]))
