@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ingestlens.llm.common import lower_ascii, stored, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Benchmark shingles up to this number are broadcast (8 bytes each and a hash slot); more are joined by shuffle.
+#: Benchmark shingles up to this number are broadcast (8 bytes each and a hash slot); more are joined by shuffle,
+#: which then carries a row's number, a place and a hash for every word, never words.
 BROADCAST_ROWS = 500_000
 
 
@@ -48,6 +49,11 @@ def _places(windows: DataFrame, shingle: int) -> DataFrame:
     return rows.withColumn("h", h)
 
 
+def wanted_places(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``row, pos, h`` of the words in ``hashed`` at which a shingle of ``wanted`` (h) begins, by shuffle of these columns only."""
+    return hashed.select("row", "pos", "h").join(wanted.hint("shuffle_merge"), "h").select("row", "pos", "h")
+
+
 def find_contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -76,10 +82,10 @@ def find_contamination(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("id"),
         F.xxhash64(text_col).alias("text_hash"),
-        F.col(text_col).alias("text") if not few else words_of(F.col(text_col)).alias("words"),
+        words_of(F.col(text_col)).alias("words"),
     )
-    if not few:  # the rows are read twice below and must keep their numbers
-        base = stored(base, "numbered").withColumn("words", words_of(F.col("text"))).drop("text")
+    if not few:  # the rows are read again below, must keep their numbers and need no second splitting
+        base = stored(base, "numbered")
 
     # Place -1 stands for the document itself, so that one reading gives both its word count and its hits.
     at = base.select("row", "id", "text_hash", "words", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("pos"))
@@ -104,7 +110,10 @@ def find_contamination(
     if few:
         found = hashed.join(F.broadcast(marked), "h", "left").filter(is_doc | F.col("wanted")).select(*out)
     else:
-        found = hashed.filter(is_doc).select(*out).unionByName(hashed.filter(~is_doc).join(marked, "h").select(*out))
+        met = wanted_places(hashed.filter(~is_doc), wanted).groupBy("row").agg(F.collect_list(F.struct("pos", "h")).alias("met"))
+        again = base.join(met, "row").select("row", "id", "text_hash", "words", F.inline("met"))
+        heads = base.select("row", "id", "text_hash", "words", F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("h"))
+        found = heads.unionByName(again).select(*out)
     found = stored(found, "shingle-hits")
     heads = found.filter("pos < 0").dropDuplicates(["row"]).select("row", "id", "text_hash", "n_words")
     hits = found.filter("pos >= 0").select("row", "n_words", "pos", "h", "first", "near")
