@@ -19,10 +19,15 @@ def normalised(text):
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
+def _salt(id_col: str, text_col: str, salts: int):
+    """A row's part of its group: by id, and by the original's length for rows that share one."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.char_length(text_col)), F.lit(salts)).cast("int")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """One row per distinct normalised text: ``text_sha256, keep_id, group_size``.
+    """One row per distinct normalised text: ``text_sha256, keep_id, keep_length, group_size, salts`` (a bit for each that its rows have).
 
-    ``salts`` bounds what one task sees of a single group: a text that makes up
+    ``salts`` (at most 63) bounds what one task sees of a single group: a text that makes up
     a third of all rows is first merged in ``salts`` parts, each of which is at
     most one row per map task thanks to the partial aggregation.
     """
@@ -37,19 +42,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.col(id_col).isNull().alias("no_id"),
             F.col(id_col).alias("id"),
         ).alias("best"),
-        F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("salt"),
+        _salt(id_col, text_col, salts).alias("salt"),
     )
     merged = rows.groupBy("digest", "salt", "content").agg(F.min("best").alias("best"), F.count("*").alias("n"))
-    groups = merged.groupBy("digest", "content").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-    winners = groups.select("digest", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"))
+    groups = merged.groupBy("digest", "content").agg(F.min("best").alias("best"), F.sum("n").alias("n"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
+    winners = groups.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.n")).alias("keep_length"), F.col("n").alias("group_size"), "salts")
     # Members find their group by digest alone. That is safe only while a digest
     # has one content, so a collision stops the job instead of mixing two texts.
     return (
         winners.groupBy("digest")
-        .agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("contents"))
+        .agg(*[F.max(c).alias(c) for c in ("keep_id", "keep_length", "group_size", "salts")], F.count("*").alias("contents"))
         .select(
             F.lower(F.hex("digest")).alias("text_sha256"),
             "keep_id",
+            "keep_length",
+            "salts",
             F.when(F.col("contents") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long"))
             .otherwise(F.col("group_size"))
             .alias("group_size"),
@@ -63,19 +70,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical after deleting every character of
     ``[\\x20\\x09-\\x0D]``; the row with the most code points stays, then the one
     with the smallest id. Null and empty texts form one group. Repeated rows
-    (same id and text) count in ``group_size``; as their id is that of the row
-    that stays, each of them is marked kept. Columns of ``docs`` with the names
-    of the result columns are replaced. The join that hands each row its group
-    has one small row per digest on its right; a hot digest on the left is split
-    by adaptive execution.
+    (same id, and as many code points) count in ``group_size`` and cannot be
+    told apart: if one stays, each is marked kept. Columns of ``docs`` with the
+    names of the result columns are replaced. Rows meet their group by (digest,
+    salt), of which the group has one row for every salt among its rows, so the
+    rows of a hot text are in ``salts`` tasks here too.
     """
     groups = exact_groups(docs, id_col, text_col, salts)
-    base = docs.drop("keep_id", "group_size", "kept", "text_sha256")
-    tagged = base.withColumn("text_sha256", F.sha2(normalised(F.col(text_col)), 256))
-    return (
-        tagged.join(groups, "text_sha256", "left")
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
-    )
+    new = ("keep_id", "group_size", "kept", "text_sha256")
+    base = docs.drop(*new)
+    tagged = base.select("*", F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"), _salt(id_col, text_col, salts).alias("__salt"))
+    by_salt = groups.withColumn("__salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (salts & shiftleft(1L, s)) <> 0)"))).select("text_sha256", "__salt", "keep_id", "keep_length", "group_size")
+    joined = tagged.join(by_salt, ["text_sha256", "__salt"], "left")
+    longest = F.char_length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("keep_length")
+    kept = F.col(id_col).eqNullSafe(F.col("keep_id")) & longest
+    return joined.select(*base.columns, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def op6_exact_dedup(spark, sf_dir):
@@ -89,7 +98,8 @@ with n as (
 select doc_id,
        first_value(doc_id) over (partition by c order by length(t) desc, doc_id) as keep_id,
        count(*) over (partition by c) as group_size,
-       doc_id = first_value(doc_id) over (partition by c order by length(t) desc, doc_id) as kept,
+       doc_id = first_value(doc_id) over (partition by c order by length(t) desc, doc_id)
+         and length(t) = max(length(t)) over (partition by c) as kept,
        sha256(c) as text_sha256
 from n
 """
