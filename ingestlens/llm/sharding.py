@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ingestlens.llm.common import crc32_long, table
+from ingestlens.llm.common import crc32_long, stored, table
 
 #: Keys are below 2**63: 32 bits of the text's CRC, then 31 bits of the id's hash.
 KEY_END = 1 << 63
 ID_BITS = 31
+#: Parts over which the rows of one key are dealt where they are too many for a task.
+TIES = 4096
 
 
 def sort_key(id_col: str, text_crc: Column) -> Column:
@@ -88,6 +90,55 @@ def find_splitters(keyed: DataFrame, shards: int, tolerance: float = 0.002, prob
     return [min(found[g], KEY_END - 1) for g in sorted(found)]
 
 
+def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` plus ``size, text_crc32, __key, __tie``, the only columns that the search for splitters reads."""
+    base = docs.drop("size", "text_crc32", "shard", "slot")
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 16
+    return (
+        base.withColumns({"size": size, "text_crc32": crc32_long(F.col(text_col))})
+        .withColumn("__key", sort_key(id_col, F.col("text_crc32")))
+        .withColumn("__tie", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(TIES)))
+    )
+
+
+def _ranges(keyed: DataFrame, splitters: list[int], rows_per_task: int) -> DataFrame:
+    """``keyed`` plus ``shard`` and ``__from, __part``: a stretch of keys of some ``rows_per_task`` rows at most.
+
+    Stretches are even ones of the key space. One with too many rows, because a
+    text is frequent, is cut again by the bits that hold the id's hash; where a
+    single key has too many (repeated rows), these are dealt by ``__tie``, which
+    costs no order. A list of such stretches has at most a row per
+    ``rows_per_task`` rows of the table, so it is broadcast.
+    """
+    total = keyed.agg(F.count("*")).first()[0]
+    bits = min(30, max(0, (2 * total // rows_per_task).bit_length()))
+    key = F.col("__key")
+    cut = lambda n: F.shiftleft(F.shiftright(key, n), n)
+
+    def busy(rows: DataFrame, flag: str) -> DataFrame:
+        crowded = rows.groupBy("shard", "__from").agg(F.count("*").alias("n")).filter(F.col("n") > rows_per_task)
+        return rows.join(F.broadcast(crowded.select("shard", "__from", F.lit(True).alias(flag))), ["shard", "__from"], "left")
+
+    even = busy(keyed.withColumn("shard", _tree(key, splitters)).withColumn("__from", cut(63 - bits)), "__busy")
+    fine = even.withColumn("__from", F.when(F.col("__busy"), cut(ID_BITS - 16)).otherwise(F.col("__from")))
+    fine = busy(fine, "__full").withColumn("__from", F.when(F.col("__full"), key).otherwise(F.col("__from")))
+    one = busy(fine.drop("__busy", "__full"), "__one")
+    return one.withColumn("__part", F.when(F.col("__one"), F.col("__tie")).otherwise(0)).drop("__one")
+
+
+def number_shards(keyed: DataFrame, shards: int, tolerance: float, rows_per_task: int) -> DataFrame:
+    """``keyed`` (stored, from :func:`with_keys`) with ``shard`` and ``slot`` for its key columns."""
+    narrow = keyed.select(F.col("__key").alias("key"), "size")
+    placed = _ranges(keyed, find_splitters(narrow, shards, tolerance), rows_per_task)
+    here = ["shard", "__from", "__part"]
+    counts = placed.groupBy(*here).agg(F.count("*").alias("n"))
+    before = W.partitionBy("shard").orderBy("__from", "__part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = counts.select(*here, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ahead"))
+    numbered = placed.withColumn("slot", F.row_number().over(W.partitionBy(*here).orderBy("__key", "__tie")) - 1)
+    joined = numbered.join(ahead, here).withColumn("slot", (F.col("slot") + F.col("__ahead")).cast("long"))
+    return joined.drop("__key", "__tie", "__from", "__part", "__ahead")
+
+
 def shard_by_bytes(
     docs: DataFrame,
     shards: int = 40,
@@ -95,43 +146,24 @@ def shard_by_bytes(
     text_col: str = "text",
     tolerance: float = 0.002,
     rows_per_task: int = 500_000,
+    with_text: bool = True,
 ) -> DataFrame:
     """All columns of ``docs`` plus ``size, text_crc32, shard, slot``; shards hold near-equal bytes.
 
     A row's size is the UTF-8 bytes of its text (null: none) plus 16. Rows are
-    in order of (CRC of the text, hash of the id) across shards. Rows that agree
-    in both (repeated rows) share a shard. Slots are gapless from 0 within a
-    shard. A shard is numbered in parts of about ``rows_per_task`` rows: the
-    parts' exact counts give each its first slot, so no task sorts a whole shard.
-    An empty table gives an empty result. Columns with the result's names are
-    replaced.
+    in order of (CRC of the text, hash of the id) across shards and slots, at
+    every size. Rows that agree in both (repeated rows) share a shard and stand
+    together in any order. Slots are gapless from 0 within a shard. The table is
+    read once, and written with its keys; all counting reads the keys' columns
+    of that. Without ``with_text`` no text is carried. An empty table gives an
+    empty result. Columns with the result's names are replaced.
     """
-    base = docs.drop("size", "text_crc32", "shard", "slot", "key", "part", "ahead")
-    sized = base.withColumn("size", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 16).withColumn(
-        "text_crc32", crc32_long(F.col(text_col))
-    )
-    keyed = sized.withColumn("key", sort_key(id_col, F.col("text_crc32")))
-    splitters = find_splitters(keyed.select("key", "size"), shards, tolerance)
-    parts = max(1, -(-keyed.count() // (shards * rows_per_task)))
-    placed = keyed.withColumn("shard", _tree(F.col("key"), splitters)).withColumn(
-        "part", F.pmod(F.xxhash64("key", F.lit("part")), F.lit(parts)).cast("int")
-    )
-    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    ahead = counts.select(
-        "shard",
-        "part",
-        (F.sum("n").over(W.partitionBy("shard").orderBy("part")) - F.col("n")).alias("ahead"),
-    )
-    numbered = placed.withColumn(
-        "slot", F.row_number().over(W.partitionBy("shard", "part").orderBy("key", id_col)) - 1
-    )
-    return numbered.join(ahead, ["shard", "part"]).withColumn("slot", (F.col("slot") + F.col("ahead")).cast("long")).drop(
-        "key", "part", "ahead"
-    )
+    keyed = with_keys(docs, id_col, text_col)
+    return number_shards(stored(keyed if with_text else keyed.drop(text_col), "keyed-rows"), shards, tolerance, rows_per_task)
 
 
 def op1_histogram_shards(spark, sf_dir):
-    out = shard_by_bytes(table(spark, sf_dir, "documents"), 40)
+    out = shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), 40, with_text=False)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
