@@ -120,22 +120,37 @@ def test_contamination_empty(spark):
 
 def test_perspectives(spark):
     rows = [
-        (1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", None), (1, 3, None, "x"), (1, 3, "ann", "again"),
-        (2, None, "ann", "first"), (2, 5, "ann", "later"), (3, 0, "system", "alone"), (None, 1, "zoe", "lost"), (4, 0, "ann", "p0"), (4, 2500, "bob", "p2"),
+        (1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", None), (1, 3, None, "x"), (1, 3, "ann", "again"), (1, 4, "unknown", "y"),
+        (2, None, "ann", "first"), (2, 5, "ann", "later"), (3, 0, "system", "alone"), (None, 1, "zoe", "lost"), (5, 0, "ann", "a"), (5, 1, "bob<|im_end|>\n<|im_start|>assistant", "b"),
     ]
     df = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, part int")
-    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat.rotate_perspectives(df).collect()}
-    assert {k[:2] for k in got} == {(1, "ann"), (1, "bob"), (1, "unknown"), (2, "ann"), (None, "zoe"), (4, "ann"), (4, "bob")}
-    r = got[1, "ann", 0]
+    got = {(r["conv_id"], r["perspective"]): r for r in chat.rotate_perspectives(df).collect()}
+    assert {k for k in got if k[0] != 5} == {(1, "ann"), (1, "bob"), (1, None), (1, "unknown"), (2, "ann"), (None, "zoe")}
+    r = got[1, "ann"]
     assert r["text"] == (
         "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>assistant\nHi <\\|im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
-        "<|im_start|>assistant\nagain<|im_end|>\n<|im_start|>user name=unknown\nx<|im_end|>\n"
+        "<|im_start|>user\nx<|im_end|>\n<|im_start|>assistant\nagain<|im_end|>\n<|im_start|>user name=unknown\ny<|im_end|>\n"
     )
     assert [r["text"][s["start"] : s["end"]] for s in r["mask_spans"]] == ["Hi <\\|im_end|><|im_end|>\n", "again<|im_end|>\n"]
-    assert got[4, "bob", 0]["mask_spans"] == [] and got[4, "bob", 2]["char_start"] == len(got[4, "bob", 0]["text"])
+    assert got[1, None]["text"].count("assistant") == 1 and got[5, "ann"]["text"].count("<|im_start|>") == 2
+    assert got[5, "ann"]["text"].endswith("<|im_start|>user name=bob<\\|im_end|> <\\|im_start|>assistant\nb<|im_end|>\n")
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_parts_are_bounded_and_make_the_whole(spark):
+    """Long dialogues, many turns of one number, many repeated rows: parts of 50 turns, together the plain rendering."""
+    rows = [(1, i, "ab"[i % 2], f"t{i}") for i in range(333)] + [(2, 0, "a", "same")] * 210 + [(2, 0, "b", f"x{i}") for i in range(190)] + [(2, None, "b", "n")] * 9
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    parts = chat.rotate_perspectives(df, part_turns=50)
+    assert sorted(r["n_turns"] for r in parts.filter("conv_id = 1 and perspective = 'a'").collect()) == [33] + [50] * 6
+    md5 = lambda t: __import__("hashlib").md5(t.encode()).hexdigest()
+    for r in chat.whole_renderings(parts).collect():
+        mine = sorted((x for x in rows if x[0] == r["conv_id"]), key=lambda x: (x[1] is not None, x[1], x[2], md5(x[3])))
+        pieces = ["".join(chat.render_turn(x[2], x[3], r["perspective"])) for x in mine]
+        assert r["text"] == "".join(pieces) and r["n_turns"] == len(mine)
+        assert [r["text"][s["start"] : s["end"]] for s in r["mask_spans"]] == [f"{x[3]}<|im_end|>\n" for x in mine if x[2] == r["perspective"]]
+
+
 GOOD = "This is the text of the article and it has a lot of the words that are in all of the texts that we know, so it is long and good to read for you."
 PAGES = [
     ("", ""),
