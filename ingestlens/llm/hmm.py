@@ -5,7 +5,8 @@ words are emission symbols of their own. All others are emitted as one of
 ``BUCKETS`` classes of word endings times the word's share of its class, so the
 model stays a proper distribution over the whole vocabulary and one unknown
 word per class. Counts of common words are known inside each task; those of the
-long tail are joined by shuffle.
+long tail are joined by shuffle. Texts are read twice, for counts and for their
+symbols; all rounds and the scores read the symbols.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BUCKETS = 1024
 #: At most so many words have their counts in every task (about 20 MB), and of them so many are symbols of their own.
 COMMON, SYMBOLS = 131_072, 16_384
 STATES = 8
+#: Baum-Welch rounds at most, and the gain in log10 likelihood a token below which one is the last.
+ROUNDS, SETTLED = 4, 0.005
 #: Words kept in a task's counter before it is handed on.
 COUNTER = 250_000
 #: Weight, in tokens, of the corpus distribution in each state's emissions.
@@ -163,13 +166,15 @@ class Hmm:
         symbols, lengths = symbols[:, order], lengths[order]
         steps, n = symbols.shape
         k = len(self.start)
+        # Single precision within a sequence; every step is scaled, and sums over sequences are double.
+        first_state, move, emit = (x.astype(np.float32) for x in (self.start, self.move, self.emit))
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # sequences that have a token at each time
 
         def forward(first: int, a: np.ndarray | None):
             out = []
             for t in range(first, min(first + piece, steps)):
-                e = self.emit[symbols[t, : active[t]]]
-                a = (self.start if a is None else a[: active[t]] @ self.move) * e
+                e = emit[symbols[t, : active[t]]]
+                a = (first_state if a is None else a[: active[t]] @ move) * e
                 scale = a.sum(1)
                 a = a / scale[:, None]
                 out.append((a, e, scale))
@@ -180,31 +185,32 @@ class Hmm:
             entries[first] = a
             done = forward(first, a)
             a = done[-1][0]
-            like += sum(float(np.log(scale).sum()) for _, _, scale in done)
+            like += sum(float(np.log(scale).sum(dtype=float)) for _, _, scale in done)
             tokens += int(active[first : first + piece].sum())
             if tokens <= kept:
                 stored_pieces[first] = done
         start, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((len(self.emit), k))
-        beta = np.ones((0, k))
+        beta = np.ones((0, k), np.float32)
         for first in reversed(entries):
             done = stored_pieces.pop(first, None) or forward(first, entries[first])
             gammas = []
             for t in range(first + len(done) - 1, first - 1, -1):
                 alpha, e, scale = done[t - first]
-                beta = np.concatenate((beta, np.ones((len(alpha) - len(beta), k))))  # a sequence's last token
-                gamma = alpha * beta
-                gammas.append(gamma / gamma.sum(1, keepdims=True))
+                beta = np.concatenate((beta, np.ones((len(alpha) - len(beta), k), np.float32)))  # a sequence's last token
+                if not gammas:  # alpha * beta sums to one but for rounding, which is taken out once a piece
+                    beta = beta / (alpha * beta).sum(1, keepdims=True)
+                gammas.append(alpha * beta)
                 if t:
                     before = done[t - first - 1][0] if t > first else entries[first]
                     ahead = e * beta / scale[:, None]
                     moves += before[: len(ahead)].T @ ahead
-                    beta = ahead @ self.move.T
+                    beta = ahead @ move.T
             flat = np.concatenate([symbols[t, : active[t]] for t in range(first + len(done) - 1, first - 1, -1)])
             g = np.concatenate(gammas)
             for s in range(k):
                 emitted[:, s] += np.bincount(flat, g[:, s], len(self.emit))
             if not first:
-                start = gammas[-1].sum(0)
+                start = gammas[-1].sum(0, dtype=float)
         return start, moves * self.move, emitted, like
 
     @staticmethod
@@ -246,122 +252,138 @@ def _segments(streams: list[np.ndarray], at_once: int = 2048) -> Iterator[tuple[
         yield padded, lengths
 
 
-def first_guess(streams: list[np.ndarray], prior: np.ndarray, states: int, rounds: int, seed: int = 7) -> Hmm:
-    """Parameters from a bounded sample: sticky states started from random documents, then Baum-Welch."""
+def first_guess(vocab: Vocabulary, states: int, stay: float = 0.9, width: float = 1.0, seed: int = 7) -> Hmm:
+    """Where Baum-Welch starts: counts over all training rows, tilted by the words' letters, and sticky states.
+
+    A state's emissions are the corpus distribution times exp(width * g), where
+    g is a fixed random projection of the pairs of letters in the word. Words
+    written alike lean to the same state, which tells states apart from the
+    first round on; no row is looked at.
+    """
     rng = np.random.default_rng(seed)
-    emitted = np.zeros((len(prior), states))
-    for s, k in zip(streams, rng.integers(0, states, len(streams)), strict=True):
-        np.add.at(emitted[:, k], s, 1.0)
-    model = Hmm.fitted(np.ones(states), np.ones((states, states)) + 40 * states * np.eye(states), emitted, prior)
-    batches = list(_segments(streams))
-    for _ in range(rounds if batches else 0):
-        got = [model.expected(*b) for b in batches]
-        model = Hmm.fitted(sum(g[0] for g in got), sum(g[1] for g in got), sum(g[2] for g in got), prior)
-    return model
-
-
-def baum_welch(texts: DataFrame, vocab: Vocabulary, model: Hmm) -> Hmm:
-    """One Baum-Welch round over all ``texts``: every partition hands on its expected counts, which Spark adds up."""
-    sc = texts.sparkSession.sparkContext
-    shared = sc.broadcast((vocab.number, vocab.symbol_of(), vocab.symbols, model))
+    table_, prior = rng.normal(size=(4096, states)), vocab.prior()
+    tilt = np.zeros((len(prior), states))
+    for word, i in vocab.number.items():
+        if i < vocab.symbols:
+            w = b" " + word + b" "
+            pairs = [zlib.crc32(w[j : j + 2]) % len(table_) for j in range(len(w) - 1)]
+            tilt[i] = table_[pairs].sum(0) / len(pairs) ** 0.5
+    emit = prior[:, None] * np.exp(width * tilt)
+    return Hmm(np.full(states, 1 / states), np.full((states, states), (1 - stay) / states) + stay * np.eye(states), emit / emit.sum(0))
+
+
+def encoded(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> DataFrame:
+    """Every row's tokens as symbols (two bytes each), its figures over common words, and its rare words with their counts."""
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast((vocab.number, vocab.symbol_of(), vocab.symbols, vocab.base_log(vocab.counts), vocab.share_log()))
+    names = ["row", "id", "train", "symbols", "n_tokens", "n_known", "base", "share", "words", "buckets", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, symbol, first_bucket, base_log, share_log = shared.value
+        for batch in batches:
+            flat, lengths, known, base, share, tails = [], [], [], [], [], []
+            for text in batch.column("text"):
+                ws = words(text.as_py())
+                k, s = encode(ws, number, symbol, first_bucket)
+                some = k[k >= 0]
+                flat.append(s.astype("<u2").tobytes())
+                lengths.append(len(s))
+                known.append(len(some))
+                base.append(float(base_log[some].sum()))
+                share.append(float(share_log[some].sum()))
+                tails.append(Counter(ws[i] if i < len(ws) else END for i in np.flatnonzero(k < 0)))
+            ends = np.cumsum([0, *map(len, tails)]).astype(np.int32)
+            rare = [w for t in tails for w in t]
+            lists = [
+                pa.array(rare, pa.binary()),
+                pa.array([bucket_of(w) for w in rare], pa.int32()),
+                pa.array([n for t in tails for n in t.values()], pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("id"), batch.column("train"), pa.array(flat, pa.binary()), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()),
+                 pa.array(base, pa.float64()), pa.array(share, pa.float64()), *(pa.ListArray.from_arrays(ends, x) for x in lists)],
+                names,
+            )
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (~held_out(id_col)).alias("train"), F.col(text_col).alias("text"))
+    schema = f"row long, id {id_type}, train boolean, symbols binary, n_tokens long, n_known long, base double, share double, words array<binary>, buckets array<int>, times array<int>"
+    return stored(rows.mapInArrow(run, schema), "encoded-texts")
+
+
+def baum_welch(coded: DataFrame, vocab: Vocabulary, model: Hmm) -> tuple[Hmm, float]:
+    """One Baum-Welch round over all training texts, and the log10 likelihood a token before it.
+
+    Every partition hands on its expected counts, which Spark adds up.
+    """
+    sc = coded.sparkSession.sparkContext
+    shared = sc.broadcast(model)
     states, size = len(model.start), len(model.emit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, symbol, first_bucket, model = shared.value
-        total = [np.zeros(states), np.zeros((states, states)), np.zeros((size, states))]
+        model = shared.value
+        total = [np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0]
         for batch in batches:
-            column, at = batch.column("text"), 0
+            column, at = batch.column("symbols"), 0
             while at < len(column):  # some two million tokens at a time, so that few long texts share their steps with many
                 streams, tokens = [], 0
                 while at < len(column) and tokens < 2_000_000:
-                    streams.append(encode(words(column[at].as_py()), number, symbol, first_bucket)[1])
+                    streams.append(np.frombuffer(column[at].as_py(), "<u2"))
                     tokens += len(streams[-1])
                     at += 1
                 for padded, lengths in _segments(streams):
-                    for t, x in zip(total, model.expected(padded, lengths), strict=False):
-                        t += x
-        rows = np.concatenate((total[2], total[1], total[0][None]))
+                    total = [t + x for t, x in zip(total, model.expected(padded, lengths), strict=True)]
+        rows = np.concatenate((total[2], total[1], total[0][None], np.full((1, states), total[3])))
         some = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(some, pa.int64()), *(pa.array(rows[some, s]) for s in range(states))], ["at", *(f"n{s}" for s in range(states))]
         )
 
     schema = "at long, " + ", ".join(f"n{s} double" for s in range(states))
-    sums = texts.select("text").mapInArrow(run, schema).groupBy("at").agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(states)])
-    rows = np.zeros((size + states + 1, states))
+    sums = coded.filter("train").select("symbols").mapInArrow(run, schema).groupBy("at").agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(states)])
+    rows = np.zeros((size + states + 2, states))
     for r in sums.collect():  # a row per symbol and state, whatever the corpus
         rows[r["at"]] = r[1:]
     shared.unpersist()
-    return Hmm.fitted(rows[-1], rows[size : size + states], rows[:size], vocab.prior())
+    like = rows[-1, 0] / max(1, vocab.tokens) / np.log(10)
+    return Hmm.fitted(rows[-2], rows[size : size + states], rows[:size], vocab.prior()), like
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, states: int = STATES, rounds: int = 2, sample: int = 1000, sample_rounds: int = 10):
-    """``counted, vocabulary, model`` from the rows that are not held out.
+def train(docs: DataFrame, id_col: str, text_col: str, states: int = STATES, rounds: int = ROUNDS, settled: float = SETTLED):
+    """``counted, vocabulary, encoded rows, model, likelihoods`` from the rows that are not held out.
 
-    Counts and each of the ``rounds`` Baum-Welch rounds cover all of them; only
-    the point where these rounds start comes from about ``sample`` rows, chosen
-    by a hash of their id, of which the first 20,000 characters.
+    Counts and every Baum-Welch round cover all of them, and their whole texts.
+    Rounds end when one gains less than ``settled`` in log10 likelihood a token,
+    and after ``rounds`` of them.
     """
-    rows = docs.filter(~held_out(id_col)).select(F.xxhash64(id_col).alias("order"), F.col(text_col).alias("text"))
-    counted = stored(word_counts(rows), "word-counts")
+    counted = stored(word_counts(docs.filter(~held_out(id_col)).select(F.col(text_col).alias("text"))), "word-counts")
     vocab = vocabulary(counted)
-    # A share of the hash's range that holds about ``sample`` rows: no task sends more than its part of them.
-    texts = counted.filter(F.col("word") == END).agg(F.sum("c")).first()[0] or 0
-    share = F.lit(min(sample / max(texts, 1), 1.0) * 2.0**64 - 2.0**63)
-    near = rows.filter(F.col("order").cast("double") <= share).limit(4 * sample)
-    some = near.select(F.substring("text", 1, 20_000).alias("text")).collect()
-    streams = [encode(words(r["text"]), vocab.number, vocab.symbol_of(), vocab.symbols)[1] for r in some]
-    model = first_guess(streams, vocab.prior(), states, sample_rounds)
+    coded = encoded(docs, vocab, id_col, text_col)
+    model, likes = first_guess(vocab, states), []
     for _ in range(rounds):
-        model = baum_welch(rows, vocab, model)
-    return counted, vocab, model
+        model, like = baum_welch(coded, vocab, model)
+        likes.append(like)
+        if len(likes) > 1 and like - likes[-2] < settled:
+            break
+    return counted, vocab, coded, model, likes
 
 
-def score_texts(docs: DataFrame, counted: DataFrame, vocab: Vocabulary, model: Hmm, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_tokens, n_known, base_score, score`` for every row of ``docs``."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((vocab.number, vocab.symbol_of(), vocab.symbols, vocab.base_log(vocab.counts), vocab.share_log(), model))
+def score_texts(coded: DataFrame, counted: DataFrame, vocab: Vocabulary, model: Hmm) -> DataFrame:
+    """``id, n_tokens, n_known, base_score, score`` for every row of ``coded``."""
+    shared = coded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, symbol, first_bucket, base_log, share_log, model = shared.value
+        model = shared.value
         for batch in batches:
-            column = batch.column("text")
-            flat, lengths, known, base, share, tails = [], [], [], [], [], []
-            for text in column:
-                ws = words(text.as_py())
-                k, s = encode(ws, number, symbol, first_bucket)
-                some = k[k >= 0]
-                flat.append(s)
-                lengths.append(len(s))
-                known.append(len(some))
-                base.append(float(base_log[some].sum()))
-                share.append(float(share_log[some].sum()))
-                tails.append(Counter(ws[i] if i < len(ws) else END for i in np.flatnonzero(k < 0)))
-            sizes = np.array(lengths, np.int64)
-            like = model.log10_likelihood(np.concatenate(flat), sizes) if flat else np.zeros(0)
-            ends = np.cumsum([0, *map(len, tails)]).astype(np.int32)
-            rare = [w for t in tails for w in t]
-            lists = [
-                pa.array(rare, pa.binary()),
-                pa.array([bucket_of(w) for w in rare], pa.int32()),
-                pa.array([n for t in tails for n in t.values()], pa.int32()),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("id"), pa.array(sizes), pa.array(known, pa.int64()), pa.array(base), pa.array(like + np.array(share)),
-                 *(pa.ListArray.from_arrays(ends, x) for x in lists)],
-                ["row", "id", "n_tokens", "n_known", "base", "score", "words", "buckets", "times"],
-            )
+            flat = np.frombuffer(b"".join(batch.column("symbols").to_pylist()), "<u2")
+            like = model.log10_likelihood(flat, np.asarray(batch.column("n_tokens")))
+            yield batch.drop_columns(["symbols", "share"]).append_column("score", pa.array(like + np.asarray(batch.column("share"))))
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    local = stored(
-        rows.mapInArrow(
-            run, f"row long, id {id_type}, n_tokens long, n_known long, base double, score double, words array<binary>, buckets array<int>, times array<int>"
-        ),
-        "forward-scores",
-    )
+    columns = ["row", "id", "symbols", "n_tokens", "n_known", "base", "share"]
+    id_type = coded.schema["id"].dataType.simpleString()
+    local = coded.select(*columns).mapInArrow(run, f"row long, id {id_type}, n_tokens long, n_known long, base double, score double")
     # The tail: each text's rare words meet their counts. No count here reaches the common ones', so no word is hot.
-    rare = local.select("row", F.explode(F.arrays_zip("words", "buckets", "times")).alias("t")).select(
+    rare = coded.select("row", F.explode(F.arrays_zip("words", "buckets", "times")).alias("t")).select(
         "row", F.col("t.words").alias("word"), F.col("t.buckets").alias("bucket"), F.col("t.times").alias("times")
     )
     c = F.coalesce("c", F.lit(0))
@@ -378,8 +400,8 @@ def score_texts(docs: DataFrame, counted: DataFrame, vocab: Vocabulary, model: H
         )
     )
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias
-    return local.drop("words", "buckets", "times").join(tail, "row", "left").select(
-        F.col("id").alias(id_col),
+    return local.join(tail, "row", "left").select(
+        "id",
         "n_tokens",
         plus("n_known", "more_known")("n_known"),
         plus("base", "more_base")("base_score"),
@@ -394,8 +416,8 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty texts are one end token. Repeated rows are scored each. With no
     training rows every word is unknown; an empty table gives an empty result.
     """
-    counted, vocab, model = train(docs, id_col, text_col, **options)
-    scored = score_texts(docs, counted, vocab, model, id_col, text_col)
+    counted, vocab, coded, model, _ = train(docs, id_col, text_col, **options)
+    scored = score_texts(coded, counted, vocab, model).withColumnRenamed("id", id_col)
     return scored.select(
         id_col, held_out(id_col).alias("held_out"), "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -68,7 +68,7 @@ def docs(spark):
 
 
 def test_base_scores_and_counts(spark, docs):
-    got = {r["doc_id"]: r for r in hmm.hmm_scores(docs, sample=50, sample_rounds=2, rounds=1).collect()}
+    got = {r["doc_id"]: r for r in hmm.hmm_scores(docs).collect()}
     rows = docs.collect()
     tokens = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), b" "] for r in rows}
     counts = Counter(t for i, ts in tokens.items() if zlib.crc32(str(i).encode()) % 10 for t in ts)
@@ -82,13 +82,78 @@ def test_base_scores_and_counts(spark, docs):
 
 
 def test_tiers_do_not_change_the_base(spark, docs, monkeypatch):
-    before = {r["doc_id"]: r["base_score"] for r in hmm.hmm_scores(docs, sample=20, sample_rounds=1, rounds=1).collect()}
+    before = {r["doc_id"]: r["base_score"] for r in hmm.hmm_scores(docs, rounds=1).collect()}
     monkeypatch.setattr(hmm, "COMMON", 50)
     monkeypatch.setattr(hmm, "SYMBOLS", 20)
-    after = {r["doc_id"]: r["base_score"] for r in hmm.hmm_scores(docs, sample=20, sample_rounds=1, rounds=1).collect()}
+    after = {r["doc_id"]: r["base_score"] for r in hmm.hmm_scores(docs, rounds=1).collect()}
     assert before == pytest.approx(after)
 
 
+def test_scores_equal_a_plain_model(spark, monkeypatch):
+    """Counts, starting point, rounds and scores once more, token by token in plain Python and double precision."""
+    monkeypatch.setattr(hmm, "COMMON", 40)
+    monkeypatch.setattr(hmm, "SYMBOLS", 12)
+    rng = np.random.default_rng(8)
+    pool = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(pool[:30] if i % 2 else pool[20:], rng.integers(0, 90)))) for i in range(60)] + [(100, None), (101, "never seen " + "w1 " * 3000)]
+    got = {r["doc_id"]: r for r in hmm.hmm_scores(spark.createDataFrame(rows, "doc_id long, text string"), states=3, rounds=2, settled=-1.0).collect()}
+    tokens = {i: [*(t or "").encode().split(), b" "] for i, t in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for i in train for w in tokens[i])
+    _, vocab, _, _, likes = hmm.train(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", states=3, rounds=2, settled=-1.0)
+    assert set(vocab.number) <= set(counts) and vocab.number[b" "] == 0
+    own = sorted(vocab.number, key=vocab.number.get)[: vocab.symbols]
+    classes = {}
+    for w, c in counts.items():
+        if w not in own:
+            classes[hmm.bucket_of(w)] = classes.get(hmm.bucket_of(w), 0.1) + c + 0.1
+    name = lambda w: w if w in own else hmm.bucket_of(w)
+    prior = {w: counts[w] + 0.1 for w in own} | {b: classes.get(b, 0.1) for b in range(hmm.BUCKETS)}
+    whole = sum(prior.values())
+    prior = {k: x / whole for k, x in prior.items()}
+    first = hmm.first_guess(vocab, 3)
+    start, move = list(first.start), [list(r) for r in first.move]
+    emit = {k: list(first.emit[vocab.number[k] if isinstance(k, bytes) else vocab.symbols + k]) for k in prior}
+    ks = range(3)
+
+    def forward(ts):
+        a, out, like = None, [], 0.0
+        for t in ts:
+            a = [(start[k] if a is None else sum(a[j] * move[j][k] for j in ks)) * emit[name(t)][k] for k in ks]
+            c = sum(a)
+            a = [x / c for x in a]
+            like += math.log10(c)
+            out.append((a, c))
+        return out, like
+
+    for r in range(2):
+        n_start, n_move, n_emit, total = [0.0] * 3, [[0.0] * 3 for _ in ks], {k: [0.0] * 3 for k in prior}, 0.0
+        for i in train:
+            ts = tokens[i]
+            done, like = forward(ts)
+            total += like
+            b = [1.0] * 3
+            for t in range(len(ts) - 1, -1, -1):
+                g = [done[t][0][k] * b[k] for k in ks]
+                for k in ks:
+                    n_emit[name(ts[t])][k] += g[k]
+                    n_start[k] += g[k] if t == 0 else 0
+                if t:
+                    after = [emit[name(ts[t])][k] * b[k] / done[t][1] for k in ks]
+                    for j in ks:
+                        for k in ks:
+                            n_move[j][k] += done[t - 1][0][j] * move[j][k] * after[k]
+                    b = [sum(move[j][k] * after[k] for k in ks) for j in ks]
+        assert likes[r] == pytest.approx(total / sum(counts.values()), rel=1e-4)
+        start = [(x + 0.5) / (sum(n_start) + 1.5) for x in n_start]
+        move = [[(x + 0.5) / (sum(row) + 1.5) for x in row] for row in n_move]
+        sums = [sum(x[k] for x in n_emit.values()) + hmm.PRIOR for k in ks]
+        emit = {w: [(x[k] + hmm.PRIOR * prior[w]) / sums[k] for k in ks] for w, x in n_emit.items()}
+    for i, ts in tokens.items():
+        share = sum(math.log10((counts[w] + 0.1) / classes.get(hmm.bucket_of(w), 0.1)) for w in ts if w not in own)
+        assert got[i]["score"] == pytest.approx(forward(ts)[1] + share, rel=1e-4)
+
+
 def random_model(rng, k=3, m=4):
     p = lambda *s: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(s) + 0.1)
     return hmm.Hmm(p(k), p(k, k), p(k, m).T.copy())
@@ -132,12 +197,12 @@ def test_expected_counts_are_those_over_paths():
                 emitted[x, a] += p / z
     (padded, lengths), = hmm._segments(list(seqs))
     got = model.expected(padded, lengths)
-    assert got[0] == pytest.approx(start) and got[1] == pytest.approx(moves) and got[2] == pytest.approx(emitted)
+    assert got[0] == pytest.approx(start, rel=1e-4) and got[1] == pytest.approx(moves, rel=1e-4) and got[2] == pytest.approx(emitted, rel=1e-4)
 
 
 def test_lm_odd_rows(spark):
     rows = spark.createDataFrame([(i, t, "x") for i, t in ODD], "doc_id long, text string, held_out string")
-    got = hmm.hmm_scores(rows, sample=5, sample_rounds=1, rounds=1).collect()
+    got = hmm.hmm_scores(rows).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     assert hmm.hmm_scores(rows.limit(0)).count() == 0
     only = hmm.hmm_scores(rows.filter(F.col("doc_id").isNull())).collect()
@@ -194,9 +259,10 @@ def test_expected_counts_of_long_texts():
     for kept in (0, 200_000):
         batches = list(hmm._segments([x, x[:0:-1], x[:3]]))
         got = [sum(y) for y in zip(*(model.expected(*b, kept=kept) if kept == 0 else model.expected(*b) for b in batches), strict=True)]
-        assert got[1].sum() == pytest.approx(149 + 148 + 2) and got[0].sum() == pytest.approx(3) and got[2].sum() == pytest.approx(150 + 149 + 3)
+        assert got[1].sum() == pytest.approx(149 + 148 + 2, rel=1e-4) and got[0].sum() == pytest.approx(3, rel=1e-4) and got[2].sum() == pytest.approx(150 + 149 + 3, rel=1e-4)
     (batch,) = hmm._segments([x])
     for kept in (0, 200_000):
         got = model.expected(*batch, kept=kept)
-        assert got[0] == pytest.approx(gamma[0]) and got[1] == pytest.approx(moves) and got[3] == pytest.approx(math.log(p))
-        assert got[2] == pytest.approx(np.stack([sum((g for g, s in zip(gamma, x, strict=True) if s == m), np.zeros(3)) for m in range(4)]))
+        near = lambda x: pytest.approx(x, rel=1e-4, abs=1e-5)
+        assert got[0] == near(gamma[0]) and got[1] == near(moves) and got[3] == near(math.log(p))
+        assert got[2] == near(np.stack([sum((g for g, s in zip(gamma, x, strict=True) if s == m), np.zeros(3)) for m in range(4)]))
