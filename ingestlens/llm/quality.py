@@ -1,8 +1,9 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages. Every passage is encoded, gated attention
-weights (learned from document labels alone) say how much each counts, and the
-weighted representation is scored.
+A document is a bag of passages. Every passage is encoded from its words, pairs
+of words and word endings (hashed) and from figures of its surface, gated
+attention weights (learned from document labels alone) say how much each
+counts, and the weighted representation is scored.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from ingestlens.llm.common import table
 
 #: Words of a passage.
 PASSAGE = 64
-#: The classifier is fitted on at most this many labelled rows, the first in order of a hash of their id,
+#: The classifier is fitted on at most this many labelled rows, the first in order of a hash of their id, and on all their passages.
 SAMPLE = 4000
-#: and on at most this many evenly spaced passages of each. Scoring uses all passages of every row.
-SAMPLE_PASSAGES = 64
+#: Rows of the embedding that words, pairs and endings are hashed to.
+GRAMS = 8192
+#: Passages scored at a time.
+AT_ONCE = 4000
 
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", bytes(range(128, 256)), b" ", b".", b",;:", b"!?", b"|", b"'\"()-", b"@/\\_=<>{}[]", b"#$%&*+^~`"]
 _KIND_OF = np.full(256, len(_KINDS), np.int64)
@@ -32,11 +35,27 @@ for _i, _bytes in enumerate(_KINDS):
 FEATURES = len(_KINDS) + 1 + 10
 
 
-def passage_features(text: str | None) -> np.ndarray:
-    """A row of ``FEATURES`` per passage of the whole text; a text without words is one row of zeros."""
+@dataclass
+class Passages:
+    """Passages of one or more texts: figures of the surface, hashed grams one passage after another, and how many grams each has."""
+
+    x: np.ndarray
+    grams: np.ndarray
+    sizes: np.ndarray
+
+    @staticmethod
+    def join(parts: list[Passages]) -> Passages:
+        return Passages(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("x", "grams", "sizes")))
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+
+def passages(text: str | None) -> Passages:
+    """All passages of the whole text; a text without words is one passage of zeros and no grams."""
     raw = text.encode("utf-8", "surrogatepass").split() if text else []
     if not raw:
-        return np.zeros((1, FEATURES), np.float32)
+        return Passages(np.zeros((1, FEATURES), np.float32), np.empty(0, np.int32), np.zeros(1, np.int64))
     joined = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     ends = np.flatnonzero(joined == 32)
     sizes = np.diff(np.concatenate(([-1], ends))) - 1
@@ -75,7 +94,16 @@ def passage_features(text: str | None) -> np.ndarray:
             np.log1p(n_words) / 4,
         )
     )
-    return out.astype(np.float32)
+    # A passage's words, pairs of words that both lie in it, and last three letters, in this order of each word.
+    endings = np.zeros(len(raw), np.uint64)
+    for back in (1, 2, 3):
+        endings = endings * np.uint64(257) + np.where(sizes >= back, joined[ends - back], 32).astype(np.uint64)
+    pair = np.concatenate((np.zeros(1, np.uint64), pairs))
+    every = np.stack((S.mix(hashes), S.mix(pair + np.uint64(1)), S.mix(endings + np.uint64(2))), 1)
+    there = np.ones(every.shape, bool)
+    there[::PASSAGE, 1] = False
+    grams = (every[there] % np.uint64(GRAMS)).astype(np.int32)
+    return Passages(out.astype(np.float32), grams, 3 * n_words.astype(np.int64) - 1)
 
 
 @dataclass
@@ -86,18 +114,23 @@ class GatedAttention:
     spread: np.ndarray
     p: dict[str, np.ndarray]
 
-    def forward(self, x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-        """``x``: all passages, one bag after another; ``starts``: where each bag begins."""
+    def forward(self, bags: Passages, starts: np.ndarray) -> dict[str, np.ndarray]:
+        """``bags``: all passages, one bag after another; ``starts``: where each bag begins."""
         p = self.p
-        x = np.clip((x - self.mean) / self.spread, -8, 8)
+        x = np.clip((bags.x - self.mean) / self.spread, -8, 8)
+        known = bags.sizes > 0
+        embedded = np.zeros((len(x), p["E"].shape[1]), p["E"].dtype)
+        if known.any():
+            sizes = bags.sizes[known]
+            embedded[known] = np.add.reduceat(p["E"][bags.grams], np.cumsum(sizes) - sizes) / sizes[:, None]
         bag = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
-        h = np.tanh(x @ p["W"] + p["b"])
+        h = np.tanh(x @ p["W"] + embedded + p["b"])
         v, u = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         e = (v * u) @ p["w"]
         e = np.exp(e - np.maximum.reduceat(e, starts)[bag])
         a = e / np.add.reduceat(e, starts)[bag]
         z = np.add.reduceat(a[:, None] * h, starts)
-        return {"x": x, "bag": bag, "h": h, "v": v, "u": u, "a": a, "z": z, "score": 1 / (1 + np.exp(-(z @ p["o"] + p["c"])))}
+        return {"x": x, "grams": bags.grams, "sizes": bags.sizes, "bag": bag, "h": h, "v": v, "u": u, "a": a, "z": z, "score": 1 / (1 + np.exp(-(z @ p["o"] + p["c"])))}
 
     def gradients(self, f: dict[str, np.ndarray], starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p, bag, a, h = self.p, f["bag"], f["a"], f["h"]
@@ -108,16 +141,19 @@ class GatedAttention:
         dvu = de[:, None] * p["w"]
         dv, du = dvu * f["u"] * (1 - f["v"] ** 2), dvu * f["v"] * f["u"] * (1 - f["u"])
         dh = (a[:, None] * dz[bag] + dv @ p["V"].T + du @ p["U"].T) * (1 - h**2)
-        return {"W": f["x"].T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (f["v"] * f["u"]).T @ de, "o": f["z"].T @ d, "c": d.sum()}
+        each = np.repeat((dh / np.maximum(f["sizes"], 1)[:, None]).astype(p["E"].dtype), f["sizes"], 0)
+        embedding = np.stack([np.bincount(f["grams"], each[:, k], GRAMS) for k in range(each.shape[1])], 1).astype(p["E"].dtype)
+        return {"E": embedding, "W": f["x"].T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (f["v"] * f["u"]).T @ de, "o": f["z"].T @ d, "c": d.sum()}
 
 
-def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 16, gate: int = 8, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> GatedAttention:
+def fit(bags: list[Passages], y: np.ndarray, hidden: int = 16, gate: int = 8, epochs: int = 10, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> GatedAttention:
     """Adam on the log loss of the bags' labels. Without bags of both labels every score is the share of ones (0.5 for none)."""
     rng = np.random.default_rng(seed)
-    x = np.concatenate([*bags, np.zeros((1, FEATURES), np.float32)])
+    x = np.concatenate([*(b.x for b in bags), np.zeros((1, FEATURES), np.float32)])
     share = (y.sum() + 0.5) / (len(y) + 1)
     shapes = {"W": (FEATURES, hidden), "b": (hidden,), "V": (hidden, gate), "U": (hidden, gate), "w": (gate,), "o": (hidden,)}
     p = {k: rng.normal(0, s[0] ** -0.5, s) if k != "b" else np.zeros(s) for k, s in shapes.items()}
+    p["E"] = np.zeros((GRAMS, hidden), np.float32)  # what was never seen counts for nothing
     model = GatedAttention(x.mean(0), x.std(0) + 0.02, p | {"o": np.zeros(hidden), "c": np.log(share / (1 - share))})
     if len(set(y.tolist())) < 2:
         return model
@@ -129,7 +165,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 16, gate: int = 8,
             part = order[i : i + 128]
             lengths = np.array([len(bags[j]) for j in part])
             starts = np.cumsum(lengths) - lengths
-            g = model.gradients(model.forward(np.concatenate([bags[j] for j in part]), starts), starts, y[part])
+            g = model.gradients(model.forward(Passages.join([bags[j] for j in part]), starts), starts, y[part])
             step += 1
             for k, grad in g.items():
                 grad = grad + decay * model.p[k]
@@ -146,27 +182,31 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> GatedAttention:
-    """The classifier, fitted on at most ``sample`` labelled rows that are not held out."""
-    usable = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
-    some = usable.orderBy(F.xxhash64("id"), "id").limit(sample).dropDuplicates(["id"])
+    """The classifier, fitted on at most ``sample`` labelled rows that are not held out.
+
+    An id with several labels counts with their mean; of several texts of one
+    id the one with the least hash is learned from. Labels other than 0 and 1
+    count for nothing.
+    """
+    y = F.avg(F.col(label_col).cast("double")).alias("y")
+    usable = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(y)
+    some = usable.orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = []
-            for text in batch.column("text"):
-                x = passage_features(text.as_py())
-                if len(x) > SAMPLE_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).astype(int)]
-                bags.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(bags, pa.binary())], ["id", "y", "bag"])
+            bags = [passages(text.as_py()) for text in batch.column("text")]
+            columns = [pa.array([getattr(b, c).tobytes() for b in bags], pa.binary()) for c in ("x", "grams", "sizes")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *columns], ["id", "y", "x", "grams", "sizes"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # ``some`` has at most ``sample`` rows, whatever the tables hold.
-    rows = texts.join(F.broadcast(some), "id").dropDuplicates(["id"]).select("id", "y", "text")
+    rows = texts.join(F.broadcast(some), "id").groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {id_type}, y double, bag binary").collect()
+    got = rows.select("id", "y", "t.text").mapInArrow(run, f"id {id_type}, y double, x binary, grams binary, sizes binary").collect()
     got.sort(key=lambda r: str(r["id"]))
-    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in got]
+    bags = [
+        Passages(np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES), np.frombuffer(r["grams"], np.int32), np.frombuffer(r["sizes"], np.int64)) for r in got
+    ]
     return fit(bags, np.array([r["y"] for r in got]))
 
 
@@ -185,14 +225,14 @@ def quality_scores(docs: DataFrame, model: GatedAttention, id_col: str = "doc_id
         for batch in batches:
             texts, names, at = batch.column(text_col), base_names, 0
             while at < batch.num_rows:
-                bags: list[np.ndarray] = []
+                bags: list[Passages] = []
                 n = 0
-                while at + len(bags) < batch.num_rows and n < 20_000:  # passages at a time
-                    bags.append(passage_features(texts[at + len(bags)].as_py()))
+                while at + len(bags) < batch.num_rows and n < AT_ONCE:
+                    bags.append(passages(texts[at + len(bags)].as_py()))
                     n += len(bags[-1])
                 lengths = np.array([len(b) for b in bags])
                 starts = np.cumsum(lengths) - lengths
-                f = model.forward(np.concatenate(bags), starts)
+                f = model.forward(Passages.join(bags), starts)
                 tops = np.array([int(f["a"][s : s + k].argmax()) for s, k in zip(starts, lengths, strict=True)])
                 score = np.clip(f["score"], 0, 1)
                 arrays = [c.slice(at, len(bags)) for c in batch.columns]

@@ -31,17 +31,19 @@ def test_held_out_accuracy(spark, scored):
 
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
-    bags = [rng.normal(size=(n, quality.FEATURES)) for n in (1, 3, 5)]
+    sizes = [np.array(x) for x in ([0], [4, 0, 2], [1, 1, 3, 2, 2])]
+    bags = [quality.Passages(rng.normal(size=(len(n), quality.FEATURES)), rng.integers(0, 9, n.sum()), n) for n in sizes]
     y = np.array([1.0, 0.0, 1.0])
     model = quality.fit(bags, y, epochs=1)
-    x, starts = np.concatenate(bags), np.array([0, 1, 4])
+    model.p["E"] = rng.normal(size=model.p["E"].shape)
+    x, starts = quality.Passages.join(bags), np.array([0, 1, 4])
     grads = model.gradients(model.forward(x, starts), starts, y)
 
     def loss():
         s = model.forward(x, starts)["score"]
         return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
 
-    for k in ("W", "V", "U", "w", "o"):
+    for k in ("E", "W", "V", "U", "w", "o"):
         at = tuple(0 for _ in model.p[k].shape)
         old = model.p[k][at]
         model.p[k][at] = old + 1e-5
@@ -52,6 +54,29 @@ def test_gradients_are_those_of_the_loss():
         assert grads[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7)
 
 
+def test_whole_texts_are_grams():
+    """Every word of a text of 100,000 counts: its words, its pairs within passages and its endings."""
+    words = [f"w{i % 977}" for i in range(100_000)]
+    got = quality.passages(" ".join(words))
+    last = 100_000 % quality.PASSAGE
+    assert len(got) == -(-100_000 // quality.PASSAGE) and got.sizes[-1] == 3 * last - 1 and len(got.grams) == got.sizes.sum() == 300_000 - len(got)
+    one = quality.passages("w1 w2")
+    assert len(one.grams) == 5 and set(quality.passages("w1").grams) <= set(one.grams)
+
+
+def test_learns_from_words_and_settles_labels(spark):
+    """Texts that differ in one word only; an id with both labels counts half, repeated ids and rows do not change the model."""
+    rows = [(i, f"the report of day {i % 7} was {'splendid' if i % 2 else 'dreadful'} to all of them") for i in range(600)]
+    labels = [(i, i % 2) for i in range(600)] + [(0, 1), (0, 0)]
+    frames = lambda r, la: (spark.createDataFrame(r, "doc_id long, text string"), spark.createDataFrame(la, "doc_id long, quality int"))
+    docs, marks = frames(rows, labels)
+    model = quality.train(docs, marks)
+    got = quality.quality_scores(docs, model).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    again = quality.train(frames(rows[::-1] + rows[:50], labels)[0].repartition(5), marks.repartition(3))
+    assert all((model.p[k] == again.p[k]).all() for k in model.p)
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, 3.0) for i, t in ODD], "doc_id long, text string, score double")
     for labels in ([], [(3, 1)], [(3, 1), (1, 0), (3, None), (99, 1)]):
