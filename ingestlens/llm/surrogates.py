@@ -1,13 +1,14 @@
 """Personal data replaced by keyed surrogates of the same type, gender, script and format.
 
-Everything is a column expression: a text is split by one pattern of all entity
-kinds and joined again around the replaced mentions, so texts are never moved
-for it. What is replaced is a mention's *parts* (a person has given names and a
+Everything is a column expression: a text is cut once by one pattern of all
+entity kinds, written as mentions and what lies between them, and joined again
+around the replaced mentions. What is replaced is a mention's *parts* (a person has given names and a
 surname), each from a keyed hash of (type, canonical form): equal parts get
 equal surrogates everywhere (coreference) without any lookup. The distinct
 parts of the whole corpus are checked for two with one surrogate, and for
 surrogates that are someone's real data; only parts that fail get a further
-attempt, and only their mentions need a join.
+attempt, and only their mentions need a join. Surrogates grow longer at further
+attempts, so a format of few values is never used up.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from ingestlens.llm.common import stored, table
 #: For tests and demonstration; a real run passes a secret of its own.
 DEFAULT_KEY = "not-a-secret"
 
-#: Mentions with a further attempt that are looked up inside the expression; more are joined.
-FEW_RETRIES = 5000
+#: The attempt from which on a surrogate gets one character more than its mention at each.
+LONGER = 6
+#: Stands around mentions while a text is cut; texts that have it themselves are cut by the pattern twice.
+MARK = "\x01"
 #: Added to the attempt of a given name after a neutral title whose gender is not the one its list tells.
 OTHER_GENDER = 1000
 
-MALE_TITLES = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н"]
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Srta", "Madame", "Mme", "Mlle", "госпожа", "г-жа"]
+MALE_TITLES = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н", "κύριος"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Srta", "Madame", "Mme", "Mlle", "госпожа", "г-жа", "κυρία"]
 NEUTRAL_TITLES = ["Dr", "Prof", "Mx"]
 #: Given names by gender and script, with syllables after them at further attempts; surnames are made of the syllables.
 GIVEN = {
@@ -37,10 +40,26 @@ GIVEN = {
     ("f", "latin"): "Ada Agnes Alice Anna Bella Clara Diana Edith Elena Emma Flora Greta Hanna Helena Ida Irene Julia Klara Laura Lena Lucia Maria Marta Nina Olga Paula Rosa Sara Sofia Vera".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Олег Павел Роман Степан Фёдор".split(),
     ("f", "cyrillic"): "Алла Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лидия Мария Нина Ольга Раиса Софья".split(),
+    ("m", "greek"): "Αντώνης Γιώργος Δημήτρης Ηλίας Θανάσης Κώστας Λευτέρης Μιχάλης Νίκος Πέτρος Σπύρος Στέλιος".split(),
+    ("f", "greek"): "Αθηνά Βασιλική Δέσποινα Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Ξένια Σοφία Φωτεινή Χριστίνα".split(),
 }
 SYLLABLES = {
     "latin": "bal ber bran cal cor dal den dor fal fen gar gol hal hen jar kel kor lan lin mar mel nor pal ram ren sal sol tan ter vel win".split(),
     "cyrillic": "бар вел гор дол жар зин кал лан мир нар пол рад сав тим фил хол чер шар".split(),
+    "greek": "βαλ γορ δαμ ζαν θεν καλ λαν μαρ νικ παλ ραν σολ ταν φιλ χαρ".split(),
+}
+#: Letters of other scripts that stand for letters of theirs; a letter of any further script becomes one of a-z.
+LETTERS = {
+    "Cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя",
+    "Greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "Hebrew": "אבגדהוזחטילמנסעפצקרשת",
+    "Arabic": "بتثجحدرزسشصطعفقكلمنهوي",
+    "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    "Katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    "Han": "一丁七万三上下中人今他代休作来光入八六共分力十千口古同名四国土大天女子学小山川工年心手文方日月木本東林水火田白目石空立竹糸耳花見車金雨青音",
+    "Hangul": "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허고노도로모보소오조초코토포호",
+    "Devanagari": "कखगघचछजझटठडढतथदधनपफबभमयरलवशसह",
+    "Thai": "กขคงจฉชซญดตถทธนบปผฝพฟภมยรลวสหอ",
 }
 
 FEMALE_NAMES = [n.lower() for (gender, _), names in GIVEN.items() if gender == "f" for n in names]
@@ -55,8 +74,10 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+",
     "secret": rf"(?<![A-Za-z]){_SECRET}[^\s\"',;]{{8,}}+",
-    "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
+    "pem": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,20}PRIVATE KEY-----",
+    "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f:]{0,40}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -64,8 +85,20 @@ PATTERNS = {
     "person": rf"(?<![\p{{L}}])(?:{_TITLES})\.? (?:{_BETWEEN}{_NAME}(?: {_BETWEEN}{_NAME}){{0,15}}|(?:\p{{Lu}}\.)+(?!\p{{L}}))",
 }
 ENTITY = "|".join(PATTERNS.values())
-#: No text without a match of this has an entity.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd|passphrase|secret|token|key)|AKIA|ASIA|gh[pousr]_|sk-|(?:{_TITLES})\.? "
+#: No text without a digit, an ``@`` or one of these has an entity; the first list in any case.
+HINT_WORDS = "password passwd pwd passphrase secret token key".split()
+HINT_PARTS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "eyJ", "PRIVATE KEY", *sorted({*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES} - {"Mrs", "Sra", "Srta"})]
+
+
+def may_have(text: Column) -> Column:
+    """Whether an entity is possible at all: plain searches, far cheaper than the pattern, that pass every text it matches."""
+    lower = F.lower(text)
+    found = text.rlike("[0-9@]")
+    for word in HINT_WORDS:
+        found = found | F.contains(lower, F.lit(word))
+    for part in HINT_PARTS:
+        found = found | F.contains(text, F.lit(part))
+    return found
 
 
 def _let(value: Column, use) -> Column:
@@ -89,11 +122,13 @@ def _luhn(digits: Column) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """The kind of a mention that ``ENTITY`` matched; null for what is none after all (a failed checksum)."""
+    """The kind of a mention that ``ENTITY`` matched; null for what is none after all (a failed checksum, a secret of stars)."""
     return (
-        F.when(m.rlike(rf"^{_SECRET}"), F.lit("secret"))
+        F.when(m.rlike(rf"^{_SECRET}"), F.when(F.regexp_replace(m, rf"^{_SECRET}", "").rlike(r"[\p{L}\p{N}]"), F.lit("secret")))
+        .when(m.startswith("-----BEGIN"), F.lit("pem"))
         .when(m.contains("@"), F.lit("email"))
-        .when(m.rlike("^(?:AKIA|ASIA|gh[pousr]_|sk-)[A-Za-z0-9]+$"), F.lit("key"))
+        .when(m.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|sk-)[A-Za-z0-9]+$|^eyJ[\w-]+\.[\w-]+\.[\w-]+$"), F.lit("key"))
+        .when(m.rlike("^[0-9A-Fa-f:]+:[0-9A-Fa-f:]+$"), F.lit("ip6"))
         .when(m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), F.lit("ip"))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.lit("ssn"))
         .when(m.rlike(r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$"), F.lit("phone"))
@@ -143,7 +178,7 @@ def parts_of(m: Column, kind: Column) -> Column:
         return _let(_names(m), lambda names: F.transform(names, lambda w, i: one(w, i, F.size(names))))
 
     canon = (
-        F.when(kind == "email", F.lower(m))
+        F.when(kind.isin("email", "ip6"), F.lower(m))
         .when(kind.isin("phone", "card", "ssn"), _digits(m))
         .when(kind == "secret", F.regexp_replace(m, rf"^{_SECRET}", ""))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
@@ -162,26 +197,38 @@ def _stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     return F.concat(F.sha2(seed("0"), 256), F.sha2(seed("1"), 256))
 
 
+def _letter(c: Column, b: Column) -> Column:
+    """A letter of the script and case of ``c``, which is none of a-z."""
+    chosen = F.char(b % 26 + 97)
+    for script, letters in LETTERS.items():
+        chosen = F.when(c.rlike(rf"\p{{Is{script}}}"), F.substr(F.lit(letters), b % len(letters) + 1, F.lit(1))).otherwise(chosen)
+    return F.when(c.rlike(r"\p{Lu}"), F.upper(chosen)).otherwise(chosen)
+
+
 def _same_classes(canon: Column, stream: Column, keep: Column | int = 0) -> Column:
-    """Digits for digits, letters for letters of the same case (hex for all-hex values); the first ``keep`` characters stay."""
+    """Digits for digits, letters for letters of the same script and case (hex for all-hex values); the first ``keep`` characters stay."""
+    kept = F.lit(keep) if isinstance(keep, int) else keep
 
     def one(c: Column, i: Column, letters: Column) -> Column:
         return (
-            F.when(i < keep, c)
+            F.when(i < kept, c)
             .when(c.rlike("[0-9]"), (_byte(stream, i) % 10).cast("string"))
             .when(c.rlike("[a-z]"), F.char(_byte(stream, i) % letters + 97))
             .when(c.rlike("[A-Z]"), F.char(_byte(stream, i) % letters + 65))
+            .when(c.rlike(r"\p{L}"), _letter(c, _byte(stream, i)))
+            .when(c.rlike(r"\p{N}"), (_byte(stream, i) % 10).cast("string"))
             .otherwise(c)
         )
 
     return _let(
-        F.when(canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 6).otherwise(26),
+        F.when(canon.rlike("^(?:[0-9a-f:]+|[0-9A-F]+)$"), 6).otherwise(26),
         lambda letters: F.array_join(F.transform(F.split(canon, ""), lambda c, i: one(c, i, letters)), ""),
     )
 
 
 def _pick(words: list[str], b: Column) -> Column:
-    return F.element_at(F.lit(words), b % len(words) + 1)
+    """One of ``words``, given to Spark as one literal that it splits once."""
+    return F.element_at(F.split(F.lit(" ".join(words)), " "), b % len(words) + 1)
 
 
 def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
@@ -200,12 +247,31 @@ def _initials(key: str, c: Column) -> Column:
 
 
 def _surrogate(key: str, kind: Column, canon: Column, s: Column, attempt: Column) -> Column:
+    # The part of the value that is replaced character by character, and how many of its first characters stay.
+    header = F.regexp_extract(canon, "^(-----BEGIN [A-Z ]+-----)", 1)
+    footer = F.regexp_extract(canon, "(-----END [A-Z ]+-----)$", 1)
+    inner = F.substr(canon, F.length(header) + 1, F.length(canon) - F.length(header) - F.length(footer))
+    changed = (
+        F.when(kind == "email", F.substring_index(canon, "@", 1))
+        .when(kind == "card", F.substr(canon, F.lit(1), F.length(canon) - 1))
+        .when(kind == "pem", inner)
+        .otherwise(canon)
+    )
+    keep = F.when(kind == "card", 1).when(kind.isin("iban", "key"), 4).when(kind == "phone", F.length(canon) - 10).otherwise(0)
+    alike = F.when(~kind.isin("given_m", "given_f", "surname", "ip"), _same_classes(changed, s, keep))
+    return _let(alike, lambda x: _assembled(key, kind, canon, s, attempt, x, header, footer))
+
+
+def _assembled(key: str, kind: Column, canon: Column, s: Column, attempt: Column, alike: Column, header: Column, footer: Column) -> Column:
     at = lambda i: _byte(s, F.lit(i))
+    longer = F.when(attempt >= LONGER, F.substr(s, F.lit(97), attempt - (LONGER - 1))).otherwise("")
+    digits = F.translate(longer, "abcdef", "012345")
 
     def email(domain: Column) -> Column:
         tld = F.substring_index(domain, ".", -1)
         return F.concat(
-            _same_classes(F.substring_index(canon, "@", 1), s),
+            alike,
+            longer,
             F.lit("@"),
             _same_classes(F.substring_index(domain, ".", 1), _stream(key, F.lit("domain"), domain, F.lit(0))),
             F.lit(".example."),
@@ -213,31 +279,35 @@ def _surrogate(key: str, kind: Column, canon: Column, s: Column, attempt: Column
         )
 
     octet = lambda i, most: ((at(i) * 256 + at(i + 8)) % most + 1).cast("string")
-    body = F.substr(canon, F.lit(1), F.length(canon) - 1)
-    card = _let(_same_classes(body, s, 1), lambda x: F.concat(x, ((F.lit(10) - _luhn(F.concat(x, F.lit("0")))) % 10).cast("string")))
+    card = _let(F.concat(alike, digits), lambda x: F.concat(x, ((F.lit(10) - _luhn(F.concat(x, F.lit("0")))) % 10).cast("string")))
     country = F.substring(canon, 1, 2)
     iban = _let(
-        F.substring(_same_classes(canon, s, 4), 5, 64),
+        F.concat(F.substring(alike, 5, 64), digits),
         lambda x: F.concat(country, F.lpad((98 - _iban_rest(F.concat(country, F.lit("00"), x))).cast("string"), 2, "0"), x),
     )
-    cyrillic = canon.rlike(r"\p{IsCyrillic}")
+    # Addresses kept for documents, with 96 keyed bits; where IPv4 ones are used up.
+    documented = F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(s, 1 + 4 * i, 4)) for i in range(6)])
+    by_script = lambda make: F.when(canon.rlike(r"\p{IsCyrillic}"), make("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), make("greek")).otherwise(make("latin"))
     more = lambda script, n: F.when(attempt >= n, _pick(SYLLABLES[script], at(n) * 5 + at(n + 9))).otherwise("")
-    named = lambda g, script: F.concat(_pick(GIVEN[g, script], at(0) * 7 + at(1)), *[more(script, n) for n in range(1, 5)])
-    given = lambda g: F.when(cyrillic, named(g, "cyrillic")).otherwise(named(g, "latin"))
-    made = lambda script: F.initcap(F.concat(*[_pick(SYLLABLES[script], at(i) * 5 + at(i + 9)) for i in range(4)]))
+    named = lambda g, script: F.concat(_pick(GIVEN[g, script], at(0) * 7 + at(1)), *[more(script, n) for n in range(1, 9)])
+    given = lambda g: by_script(lambda script: named(g, script))
+    made = lambda script: F.initcap(F.concat(*[_pick(SYLLABLES[script], at(i + 20) * 5 + at(i + 29)) for i in range(4)], *[more(script, n) for n in range(1, 9)]))
     return (
         F.when(kind == "email", _let(F.substring_index(canon, "@", -1), email))
+        .when(kind.isin("ip", "ip6") & (attempt >= LONGER), documented)
         .when(kind == "ip", F.concat_ws(".", octet(0, 223), octet(1, 254), octet(2, 254), octet(3, 254)))
+        .when(kind == "ip6", alike)
+        .when(kind == "pem", F.concat(header, alike, longer, footer))
         .when(kind == "card", card)
-        .when(kind == "phone", _same_classes(canon, s, F.greatest(F.length(canon) - 10, F.lit(0))))
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_same_classes(canon, s), 2, 8)))
+        .when(kind == "phone", F.concat(alike, digits))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(alike, 2, 8), digits))
         .when(kind == "iban", iban)
         .when(kind == "given_m", given("m"))
         .when(kind == "given_f", given("f"))
         .when(kind == "initial", _initials(key, canon))
         .when(kind == "particle", canon)
-        .when(kind == "surname", F.when(cyrillic, made("cyrillic")).otherwise(made("latin")))
-        .otherwise(_same_classes(canon, s, F.when(kind == "key", 4).otherwise(0)))
+        .when(kind == "surname", by_script(made))
+        .otherwise(F.concat(alike, longer))
     )
 
 
@@ -246,6 +316,13 @@ def _like(model: Column, value: Column) -> Column:
     return F.when((F.length(model) > 1) & (model == F.upper(model)) & (model != F.lower(model)), F.upper(value)).otherwise(value)
 
 
+def _cased(model: Column, value: Column) -> Column:
+    """``value`` with capitals at the places where the mention has them."""
+    capital = lambda i: F.substr(model, i + 1, F.lit(1)).rlike("[A-Z]")
+    placed = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(capital(i), F.upper(c)).otherwise(c)), "")
+    return F.when(model.rlike("[A-Z]"), F.when(model == F.upper(model), F.upper(value)).otherwise(placed)).otherwise(value)
+
+
 def _other(kind: Column) -> Column:
     """The type of a given name of the other gender."""
     return F.when(kind == "given_m", "given_f").otherwise("given_m")
@@ -273,37 +350,35 @@ def _formatted(m: Column, kind: Column, parts: Column) -> Column:
     )
     return (
         F.when(kind == "person", person)
-        .when(kind.isin("phone", "card", "ssn"), in_format)
+        .when(kind.isin("phone", "card", "ssn"), F.concat(in_format, F.substr(first, F.length(_digits(m)) + 1, F.length(first))))
         .when(kind == "secret", F.concat(F.regexp_extract(m, rf"^({_SECRET})", 1), first))
         .when(kind == "iban", F.when(m.contains(" "), F.regexp_replace(first, "(.{4})(?=.)", "$1 ")).otherwise(first))
-        .when(kind == "email", _like(m, first))
+        .when(kind.isin("email", "ip6"), _cased(m, first))
         .otherwise(first)
     )
 
 
-def retries(parts: DataFrame, key: str, most: int = 50) -> DataFrame:
+def retries(parts: DataFrame, key: str) -> DataFrame:
     """The (type, canon) of ``parts`` that need an attempt other than 0, so that all surrogates are distinct.
 
     Of two parts of one type with one surrogate the first keeps it; a surrogate
     that is real data of its type elsewhere in the corpus is refused too. Given
-    names of both genders count as one type here.
+    names of both genders count as one type here. As surrogates grow at further
+    attempts, the number of rounds is that of a few collisions in a row.
     """
     surrogate = surrogate_of(key, F.col("type"), F.col("canon"), F.col("attempt"))
-    parts = parts.withColumn("space", F.when(F.col("type").startswith("given_"), "given").otherwise(F.col("type")))
+    parts = stored(parts.withColumn("space", F.when(F.col("type").startswith("given_"), "given").otherwise(F.col("type"))), "parts")
     real = parts.select("space", F.col("canon").alias("surrogate")).distinct()
     now = parts.withColumn("attempt", F.lit(0))
-    for _ in range(most):
+    while True:
         now = stored(now.withColumn("surrogate", F.when(F.col("space").isin("surname", "given"), F.lower(surrogate)).otherwise(surrogate)), "surrogates")
         order = W.partitionBy("space", "surrogate").orderBy("attempt", "canon", "type")
         taken = now.join(real, ["space", "surrogate"], "left_semi").select("type", "canon").withColumn("bad", F.lit(True))
         again = now.withColumn("nth", F.row_number().over(order)).join(taken, ["type", "canon"], "left")
-        again = again.withColumn("redo", (F.col("nth") > 1) | F.coalesce("bad", F.lit(False)))
+        again = stored(again.withColumn("redo", (F.col("nth") > 1) | F.coalesce("bad", F.lit(False))), "judged")
         if again.filter("redo").isEmpty():
-            break
+            return now.filter("attempt > 0").select("type", "canon", "attempt")
         now = again.select("type", "canon", "space", (F.col("attempt") + F.col("redo").cast("int")).alias("attempt"))
-    else:
-        raise ValueError("the surrogates of some kind are used up")
-    return now.filter("attempt > 0").select("type", "canon", "attempt")
 
 
 def _genders(by_mention: DataFrame) -> DataFrame:
@@ -322,6 +397,26 @@ def _genders(by_mention: DataFrame) -> DataFrame:
     return known.select("m", "i", (F.coalesce("of_name", "of_given", "type") != F.col("type")).alias("other")).filter("other")
 
 
+def cut_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``__mentions`` and the ``__pieces`` around them, in place of the text where there are any; each with a number ``__row``."""
+    text = F.col(text_col)
+    marked = F.when(
+        may_have(text) & ~F.contains(text, F.lit(MARK)), F.split(F.regexp_replace(text, ENTITY, f"{MARK}$0{MARK}"), MARK, -1)
+    )
+    both = docs.withColumn("__cut", marked)
+    twice = may_have(text) & F.contains(text, F.lit(MARK))
+    mentions = F.when(twice, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.filter("__cut", lambda _, i: i % 2 == 1))
+    pieces = F.when(twice, F.split(text, ENTITY, -1)).otherwise(F.filter("__cut", lambda _, i: i % 2 == 0))
+    both = both.withColumn("__mentions", F.coalesce(mentions, F.array().cast("array<string>"))).withColumn("__pieces", pieces)
+    has = F.size("__mentions") > 0
+    return both.select(
+        *[F.when(~has, text).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        F.when(has, F.col("__pieces")).alias("__pieces"),
+        "__mentions",
+        F.monotonically_increasing_id().alias("__row"),
+    )
+
+
 def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the text's entities replaced, plus ``n_entities`` and ``entity_kinds``.
 
@@ -330,11 +425,9 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "t
     the sorted distinct kinds, comma-joined. Columns with the result's names are
     replaced.
     """
-    base = docs.drop("n_entities", "entity_kinds", "mentions", "attempts")
-    text = F.col(text_col)
-    mentions = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = base.withColumn("mentions", mentions)
-    seen = found.filter(F.size("mentions") > 0).select(F.explode("mentions").alias("m")).distinct()
+    base = docs.drop("n_entities", "entity_kinds")
+    found = stored(cut_texts(base, text_col), "cut-texts")
+    seen = found.select(F.explode("__mentions").alias("m")).distinct()
     kinds = seen.withColumn("kind", kind_of(F.col("m"))).filter("kind is not null")
     by_mention = stored(kinds.select("m", "kind", parts_of(F.col("m"), F.col("kind")).alias("parts")), "mentions")
     nth = by_mention.select("m", F.posexplode("parts").alias("i", "p")).select("m", "i", "p.type", "p.canon").join(_genders(by_mention), ["m", "i"], "left")
@@ -345,31 +438,21 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "t
     nth = nth.join(odd, ["type", "canon"], "left").select("m", "i", number.alias("attempt"))
     tries = F.transform(F.sort_array(F.collect_list(F.struct("i", F.col("attempt").alias("a")))), lambda x: x["a"])
     per_mention = nth.groupBy("m").agg(tries.alias("tries")).filter(F.exists("tries", lambda a: a > 0))
-    few = per_mention.limit(FEW_RETRIES + 1).collect()
-    if len(few) <= FEW_RETRIES:
-        # Their numbers are part of the expression, so that no text is moved for them.
-        at = lambda m: F.array_position(F.lit([r["m"] for r in few]), m).cast("int")
-        numbers = F.lit([" ".join(map(str, r["tries"])) for r in few])
-        look = lambda m: F.when(at(m) > 0, F.split(F.get(numbers, at(m) - 1), " ").cast("array<int>")).otherwise(none)
-        done = found.withColumn("attempts", F.transform("mentions", look if few else lambda m: none))
-    else:
-        # Only texts with a mention that needs another attempt meet its number; they find it by the text itself.
-        told = found.filter(F.size("mentions") > 0).select(F.sha2(text, 256).alias("digest"), F.posexplode("mentions").alias("at", "m"))
-        told = told.join(per_mention, "m").groupBy("digest").agg(F.map_from_entries(F.collect_set(F.struct("at", "tries"))).alias("told"))
-        with_digest = found.withColumn("digest", F.when(F.size("mentions") > 0, F.sha2(text, 256)))
-        done = with_digest.join(told, "digest", "left").withColumn(
-            "attempts", F.transform("mentions", lambda m, i: F.coalesce(F.try_element_at("told", i), none))
-        ).drop("digest", "told")
-    pieces = F.split(text, ENTITY, -1)
-    replaced = F.transform("mentions", lambda m, i: replacement(key, m, F.get("attempts", i)))
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(replaced, i), F.lit("")))), "")
-    kinds_of = F.filter(F.transform("mentions", kind_of), lambda k: k.isNotNull())
-    has = F.size("mentions") > 0
-    return done.select(
-        *[F.when(has, joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in base.columns],
-        F.when(has, F.size(kinds_of)).otherwise(0).cast("long").alias("n_entities"),
-        F.when(has, F.array_join(F.array_sort(F.array_distinct(kinds_of)), ",")).otherwise("").alias("entity_kinds"),
+    # Rows with a mention that needs another attempt meet its numbers; those without mentions take no part in this join.
+    has = F.size("__mentions") > 0
+    told = found.select("__row", F.posexplode("__mentions").alias("at", "m")).join(per_mention, "m")
+    told = stored(told.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("at", "tries"))).alias("__told")), "attempts")
+    done = found.filter(has).join(told, "__row", "left")
+    attempt = lambda i: F.coalesce(F.try_element_at("__told", i), none)
+    replaced = done.withColumn("__new", F.transform("__mentions", lambda m, i: replacement(key, m, attempt(i))))
+    joined = F.array_join(F.transform("__pieces", lambda p, i: F.concat(p, F.coalesce(F.get("__new", i), F.lit("")))), "")
+    kinds_of = F.filter(F.transform("__mentions", kind_of), lambda k: k.isNotNull())
+    changed = replaced.select(
+        *[joined.alias(c) if c == text_col else F.col(c) for c in base.columns],
+        F.size(kinds_of).cast("long").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct(kinds_of)), ",").alias("entity_kinds"),
     )
+    return changed.unionByName(found.filter(~has).select(*base.columns, F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entity_kinds")))
 
 
 def op2_surrogates(spark, sf_dir):
