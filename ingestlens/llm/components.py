@@ -27,7 +27,7 @@ def _state(links: DataFrame):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``id, component`` for every node of ``links`` (``u, v`` long): the least node that it reaches.
+    """``id, component`` for every node of ``links`` (``u, v`` of one type): the least node that it reaches.
 
     A node's neighbours are never gathered: each step keeps a minimum per node,
     which combines before the shuffle, and a join that adaptive execution can

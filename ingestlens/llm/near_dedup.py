@@ -17,10 +17,16 @@ from ingestlens.llm.components import components
 REGISTERS, BANDS = 128, 32
 #: Documents of a cluster compared at once with others, on either side of a block.
 BLOCK = 1024
-#: Pairs whose signatures agree in less than this are not verified: six standard deviations under 0.75.
+#: Pairs whose signatures agree in less than this are not verified: five standard deviations under 0.75.
 LEAST_AGREEMENT = 0.55
-#: Rows of the filter that keeps other documents' texts out of the shuffle to the candidates (16 bytes each).
-FILTER_WORDS = 1 << 18
+#: A bucket end's members are verified in this many parts at most, each with one copy of the end's text.
+PARTS = 1024
+#: Counters of the order of shingles by rarity (a byte each in every task); any order is right, a finer one keeps more apart.
+COUNTERS = 1 << 20
+
+
+def _kind(rows: DataFrame, column: str = "id") -> str:
+    return rows.schema[column].dataType.simpleString()
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> list[str | None]:
@@ -50,8 +56,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 )
                 at += len(block)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, set_a long, set_b long, bands array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {_kind(rows)}, n long, set_a long, set_b long, bands array<long>")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -63,21 +69,93 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs ``u, v`` whose full shingle sets are similar."""
+    """The pairs ``u, v`` whose full shingle sets are similar; ``v`` is the end of a bucket, which very many may share.
+
+    A member's text travels once for each of its pairs, of which it has two a
+    band at most, an end's text once for every part of its members; neither is
+    looked up by a key that many rows share.
+    """
+    part = F.pmod(F.xxhash64("u"), F.lit(PARTS)).cast("int").alias("part")
+    members = pairs.join(texts.select(F.col("id").alias("u"), "text"), "u").select("v", part, F.lit(1).alias("member"), "u", "text")
+    ends = pairs.select("v", part).distinct().join(texts.select(F.col("id").alias("v"), "text"), "v")
+    rows = members.unionByName(ends.select("v", "part", F.lit(0).alias("member"), F.lit(None).cast(_kind(pairs, "u")).alias("u"), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot = None, None
+        end = None
         for batch in batches:
             keep = []
-            for v, one, other in zip(batch.column("v").to_pylist(), _texts(batch, "text_v"), _texts(batch, "text_u"), strict=True):
-                if v != last:
-                    last, pivot = v, S.shingle_set(one, shingle)
-                keep.append(_similar(pivot, S.shingle_set(other, shingle), percent))
+            for member, text in zip(batch.column("member").to_pylist(), _texts(batch, "text"), strict=True):
+                one = S.shingle_set(text, shingle)
+                if not member:  # comes before its part's members
+                    end = one
+                keep.append(bool(member) and _similar(end, one, percent))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    joined = pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "text_v", "text_u")
-    return joined.repartition("u").sortWithinPartitions("v").mapInArrow(run, "u long, v long")
+    placed = rows.repartition("v", "part").sortWithinPartitions("v", "part", "member")
+    return placed.select("u", "v", "member", "text").mapInArrow(run, f"u {_kind(pairs, 'u')}, v {_kind(pairs, 'v')}")
+
+
+def _rarity(open_texts: DataFrame, shingle: int) -> np.ndarray:
+    """How often the shingles of each of ``COUNTERS`` hash classes occur in ``open_texts``, as a logarithm in a byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in _texts(batch, "text"):
+                np.add.at(counts, (S.shingle_set(text, shingle) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        some = np.flatnonzero(counts)
+        for at in range(0, len(some), 100_000):
+            part = some[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["slot", "n"])
+
+    sums = open_texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    level = (F.least(F.floor(F.log2("n") * 4) + 1, F.lit(255))).cast("int")
+    # A thousand counters in a row: what comes to the driver is at most COUNTERS small numbers.
+    rows = sums.groupBy(F.expr("slot div 1024").alias("b")).agg(F.collect_list(F.struct((F.col("slot") % 1024).cast("int").alias("at"), level.alias("level"))).alias("x")).collect()
+    out = np.zeros(COUNTERS, np.uint8)
+    for r in rows:
+        for at, n in r["x"]:
+            out[r["b"] * 1024 + at] = n
+    return out
+
+
+def _prefixes(open_texts: DataFrame, rarity: np.ndarray, shingle: int, percent: int) -> DataFrame:
+    """``comp, h``: for every document of ``open_texts`` (comp, text) its shingles up to the necessary prefix in order of rarity.
+
+    Two sets of ``percent`` per cent similarity share a shingle among the first
+    n - ceil(n * percent / 100) + 1 of each, in any one order. One that the
+    counters show to be a single document's own is left out.
+    """
+    shared = open_texts.sparkSession.sparkContext.broadcast(rarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in batches:
+            found, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for i, text in enumerate(_texts(batch, "text")):
+                one = S.shingle_set(text, shingle)
+                level = rarity[(one % np.uint64(COUNTERS)).astype(np.int64)]
+                first = np.lexsort((one, level))[: len(one) - -(-len(one) * percent // 100) + 1]
+                found.append(one[first[level[first] > 1]])
+                owner.append(np.full(len(found[-1]), i))
+            where = pa.array(np.concatenate(owner))
+            yield pa.RecordBatch.from_arrays([batch.column("comp").take(where), pa.array(np.concatenate(found).view(np.int64))], ["comp", "h"])
+
+    return open_texts.select("comp", "text").mapInArrow(run, f"comp {_kind(open_texts, 'comp')}, h long").distinct()
+
+
+def _reachable(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``open_`` (id, comp) with ``cluster``: components between which a link is still possible, as they share a prefix shingle.
+
+    Documents that cannot be similar to any outside their component are not
+    returned. Work is linear in the shingles: components that share one are
+    joined to the least of them, not to each other.
+    """
+    open_texts = stored(open_.select("id", "comp").join(texts, "id"), "open-texts")
+    shared = stored(_prefixes(open_texts, _rarity(open_texts, shingle), shingle, percent), "prefix-shingles")
+    least = shared.groupBy("h").agg(F.min("comp").alias("v"), F.max("comp").alias("most")).filter("v < most").select("h", "v")
+    links = shared.join(least, "h").filter("comp <> v").select(F.col("comp").alias("u"), "v").distinct()
+    return open_.join(components(links).withColumnsRenamed({"id": "comp", "component": "cluster"}), "comp")
 
 
 def _across(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -119,20 +197,20 @@ def _across(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
             if root(comps[i]) != root(comps[j]) and _similar(sets[i], sets[j], percent):
                 parent[root(comps[i])] = root(comps[j])
                 links.append((ids[i], ids[j]))
-        return pa.table({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
+        kind = table_.schema.field("id").type
+        return pa.table({"u": pa.array([x[0] for x in links], kind), "v": pa.array([x[1] for x in links], kind)})
 
-    return rows.groupBy("cluster", "row_block", "col_block").applyInArrow(run, "u long, v long")
+    return rows.groupBy("cluster", "row_block", "col_block").applyInArrow(run, f"u {_kind(rows)}, v {_kind(rows)}")
 
 
 def _maybe_among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rows`` without most of those whose id is not in ``wanted``, so that few texts are shuffled to it.
 
-    A one-hash Bloom filter as a table of at most ``FILTER_WORDS`` words of 32
-    bits, whatever ``wanted`` holds; a fuller filter lets more rows through and
-    never loses one.
+    A one-hash Bloom filter of eight bits and more for every id, as a table of
+    32-bit words; past 2**28 bits (128 MB as a table) it grows no more, but
+    lets more rows through and never loses one.
     """
-    count = wanted.count()
-    words = min(FILTER_WORDS, 1 << max(10, count.bit_length()))
+    words = min(1 << 23, max(1 << 10, 1 << (wanted.count() // 4).bit_length()))
     slot = F.pmod(F.xxhash64("id", F.lit("filter")), F.lit(words * 32))
     bit = F.expr("shiftleft(1L, cast(slot % 32 as int))")
     filled = wanted.select(slot.alias("slot")).groupBy(F.expr("slot div 32").alias("word")).agg(F.bit_or(bit).alias("bits"))
@@ -153,9 +231,12 @@ def near_groups(
 
     Work on a bucket is linear in its size: its members are verified against its
     two ends only. What that leaves apart inside a cluster of candidates is
-    compared in blocks: each document outside the cluster's main component with
-    all the cluster's others, first by signature and then on the full sets, so
-    no link depends on which document was the pivot.
+    split further by shared shingles of their prefixes, without which no link is
+    possible: pages of one template that differ in the rest fall apart here. The
+    few that still share one are compared in blocks, each document outside the
+    main component with all others, first by signature and then on the full
+    sets, so no link depends on which document was the pivot. Ids may be of any
+    type that can be ordered.
     """
     sketched = stored(sketches(docs, id_col, text_col, shingle), "sketches")
     filled = sketched.filter("n > 0 and id is not null")
@@ -165,16 +246,11 @@ def near_groups(
     members = classes.select("rep", F.explode("bands").alias("bucket"))
     ends = members.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
     met = members.join(ends, "bucket")
-    pairs = stored(
-        met.select(F.explode(F.array(F.struct("rep", F.col("low").alias("end")), F.struct("rep", F.col("high").alias("end")))).alias("p"))
-        .select(F.greatest("p.rep", "p.end").alias("u"), F.least("p.rep", "p.end").alias("v"))
-        .filter("u > v")
-        .distinct(),
-        "candidates",
-    )
+    either = F.explode(F.when(F.col("rep") == F.col("high"), F.array("low")).otherwise(F.array("low", "high")))
+    pairs = stored(met.select(F.col("rep").alias("u"), either.alias("v")).filter("u <> v").distinct(), "candidates")
     wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     texts = stored(
-        _maybe_among(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), wanted)
+        _maybe_among(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted)
         .join(wanted, "id")
         .dropDuplicates(["id"]),
         "candidate-texts",
@@ -184,11 +260,17 @@ def near_groups(
     cluster = components(pairs).withColumnRenamed("component", "cluster")
     comp = components(links).withColumnRenamed("component", "comp")
     state = cluster.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    sizes = state.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(
-        F.max(F.struct("n", "comp")).getField("comp").alias("main"), F.sum("n").alias("size"), F.count("*").alias("comps")
-    ).filter("comps > 1")
-    open_ = stored(state.join(main, "cluster").withColumn("side", (F.col("comp") == F.col("main")).cast("int")), "open")
+
+    def with_main(rows: DataFrame) -> DataFrame:
+        """Of ``rows`` (id, comp, cluster) those of clusters with several components; ``side`` 1 in the largest, else 0."""
+        sizes = rows.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("cluster").agg(
+            F.max(F.struct("n", "comp")).getField("comp").alias("main"), F.sum("n").alias("size"), F.count("*").alias("comps")
+        ).filter("comps > 1")
+        return rows.join(main, "cluster").withColumn("side", (F.col("comp") == F.col("main")).cast("int"))
+
+    apart = stored(with_main(state).select("id", "comp"), "apart")
+    open_ = stored(with_main(_reachable(apart, texts, shingle, percent)), "open")
     strays = open_.groupBy("cluster").agg(F.sum(1 - F.col("side")).alias("strays"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     spread = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
@@ -219,3 +301,22 @@ def near_groups(
 
 def op3_near_dedup(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: Every pair of documents that share a shingle is counted exactly; for small tables.
+OP3_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') as h
+  from (select doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+both_ as (select a.doc_id as u, b.doc_id as v, count(*) as k from s a join s b using (h) where a.doc_id <> b.doc_id group by all),
+links as (
+  select u, v from both_ join n as x on x.doc_id = u join n as y on y.doc_id = v where 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) as (
+  select doc_id, doc_id from d union select reach.a, links.v from reach join links on reach.b = links.u)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, least_id as component_id, doc_id = least_id as kept
+from d left join n using (doc_id) join (select a, min(b) as least_id from reach group by a) on a = doc_id
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_near_dedup": near_dedup.OP3_SQL,
     "op4_perspectives": chat.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,

@@ -22,7 +22,7 @@ def frame(spark, rows):
 
 
 def test_sql(spark, duck):
-    for name in ("op4_perspectives", "op6_exact_dedup", "op8_decontaminate"):
+    for name in registry.ORACLE_SQL:
         same_rows(registry.QUERIES[name](spark, SMALL), duck.sql(registry.ORACLE_SQL[name]))
 
 
@@ -103,6 +103,27 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert {r["id"]: r["component_id"] for r in near_dedup.near_groups(frame(spark, rows)).collect()} == {i: c for i, (_, c) in brute(rows).items()}
 
 
+def test_template_pages_are_not_compared(spark, monkeypatch):
+    """Pages of one template, similarity about 0.49: candidates of each other, no links; none of their texts goes into blocks."""
+    seen = []
+    across = near_dedup._across
+    monkeypatch.setattr(near_dedup, "_across", lambda rows, *a: seen.append(rows.count()) or across(rows, *a))
+    rng = np.random.default_rng(9)
+    template = " ".join(f"t{i}" for i in range(120))
+    for n in (150, 300):
+        rows = [(i, template + " " + " ".join(f"x{rng.integers(0, 10**9)}" for _ in range(58))) for i in range(n)]
+        rows += [(1000 + i, rows[i][1] + " tail") for i in range(9)]  # and some real copies
+        got = {r["id"]: r["component_id"] for r in near_dedup.near_groups(frame(spark, rows)).collect()}
+        assert got == {i: i % 1000 for i, _ in rows}
+    assert max(seen) < 40
+
+
+def test_near_text_ids(spark):
+    rows = [(f"k{i}", f"one two three four five six seven eight {'x' * (i % 2)} nine") for i in range(6)]
+    got = {r["id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {f"k{i}": f"k{i % 2}" for i in range(6)}
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.sampled_from(["a", "B", "é", "\t", "\n", " ", "\x0b", " ", "x1"]), max_size=40))
 def test_shingles_equal_strings(parts):
