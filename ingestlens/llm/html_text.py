@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +39,7 @@ BLOCK = frozenset(
 )
 #: Elements around the article.
 FRAME = frozenset("nav header footer aside form menu dialog fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a new one of the same kind closes.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
@@ -51,7 +53,9 @@ ASIDE = re.compile(
 #: Class and id parts that name the article in spite of a word above (as ``header`` of an article).
 ARTICLE = re.compile(r"(?:^|[-_\s])(?:article|post|entry|story|main|content)(?:[-_](?:body|text|content|header|title))?(?=$|\s)", re.I)
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: What ends a tag, or begins a quoted value in it.
+_STOP = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$)""", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -59,6 +63,10 @@ _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style
 
 #: First-pass bounds: link density from which a block is boilerplate; characters of a short and a long block; stop-word densities.
 LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 70, 200, 0.15, 0.28
+#: Stop-word density below which a block of middle length outside the article is no prose.
+STOP_NONE = 0.1
+#: Link density beyond which a block is a list of links wherever it stands.
+MOSTLY = 0.8
 #: The same by place: lower within the article, higher beside an article with most of the page's text, highest where marks speak against a block.
 BOUNDS = {
     "in": (LINKS, SHORT, SHORT, STOP_LOW / 2, STOP_LOW),
@@ -69,17 +77,20 @@ BOUNDS = {
 
 
 class Block:
-    """One block: its text, and what the rules look at."""
+    """One block: its text, and what the rules look at. ``node`` is the innermost marked element around it, -1 for none."""
 
-    __slots__ = ("text", "linked", "place", "heading", "good", "around")
+    __slots__ = ("text", "linked", "place", "heading", "good", "node")
 
-    def __init__(self, text: str, linked: int, around: list[tuple[int, str]], heading: bool):
-        self.text, self.linked, self.around, self.heading = text, linked, around, heading
+    def __init__(self, text: str, linked: int, node: int, heading: bool):
+        self.text, self.linked, self.node, self.heading = text, linked, node, heading
         self.place, self.good = "", None
 
 
-def _marks(name: str, attributes: str) -> str | None:
-    """What an element says of its content: ``out``, ``in`` (``main`` if there is one such), ``gone`` (not displayed) or nothing."""
+def _marks(name: str, attributes: str, within: bool) -> str | None:
+    """What an element says of its content: ``out``, ``in`` (``main`` if there is one such), ``gone`` (not displayed) or nothing.
+
+    ``within`` an article a header is its title's.
+    """
     values = {}
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
@@ -88,6 +99,8 @@ def _marks(name: str, attributes: str) -> str | None:
         return "gone"
     if name in ("article", "main") or values.get("role") in ("main", "article"):
         return "main" if "main" in (name, values.get("role")) else "in"
+    if name == "header" and within:
+        return None
     if name in FRAME:
         return "out"
     if name in ("html", "body"):
@@ -98,51 +111,68 @@ def _marks(name: str, attributes: str) -> str | None:
     return None
 
 
-def _places(found: list[Block]) -> None:
+def _places(found: list[Block], nodes: list[tuple[int, str]]) -> None:
     """Sets ``place`` of every block: ``out`` if any element around says so, else ``in`` within the article, else nothing.
 
-    An ``out`` element is not believed if it holds the article: a <main>, half
-    of all text in articles (more of it than a long block that is marked ``out``
+    ``nodes`` are the marked elements as (parent, mark), parents first. An
+    ``out`` element is not believed if it holds the article: a <main>, half of
+    all text in articles (more of it than a long block that is marked ``out``
     must have), or half of the page's text with no article elsewhere.
     """
+    text = [0] * len(nodes)  # of each element: plain text
+    article = [0] * len(nodes)  # plain text within articles, itself included
+    main = [False] * len(nodes)  # whether a <main> with text is in it
+    inner, inner_main = [0] * len(nodes), [False] * len(nodes)  # the same of what is opened within it
     total = articles = 0
-    held: dict[int, list] = {}  # of each out element: plain text, plain text in articles opened within, whether a <main> is
     for b in found:
-        size = len(b.text) - b.linked
-        total += size
-        articles += size * any(m != "out" for _, m in b.around)
-        for at, (i, mark) in enumerate(b.around):
-            if mark == "out":
-                inner = [m for _, m in b.around[at + 1 :] if m != "out"]
-                entry = held.setdefault(i, [0, 0, False])
-                entry[0] += size
-                entry[1] += size * bool(inner)
-                entry[2] |= "main" in inner
-    wrong = set()
-    for i, (size, within, main) in held.items():
-        if main or 2 * within > articles and within >= BOUNDS["out"][1] or 2 * size > total and within == articles:
-            wrong.add(i)
+        total += len(b.text) - b.linked
+        if b.node >= 0:
+            text[b.node] += len(b.text) - b.linked
+            main[b.node] = nodes[b.node][1] == "main" or main[b.node]
+    for i in range(len(nodes) - 1, -1, -1):
+        parent, mark = nodes[i]
+        article[i] = text[i] if mark != "out" else inner[i]
+        main[i] |= inner_main[i] or mark == "main" and text[i] > 0
+        if parent >= 0:
+            text[parent] += text[i]
+            inner[parent] += article[i]
+            inner_main[parent] |= main[i]
+        else:
+            articles += article[i]
+    state = []  # of each element: whether a believed mark says out, and whether one says in
+    for i, (parent, mark) in enumerate(nodes):
+        out, within = state[parent] if parent >= 0 else (False, False)
+        if mark != "out":
+            within = True
+        elif not (inner_main[i] or 2 * inner[i] > articles and inner[i] >= BOUNDS["out"][1] or 2 * text[i] > total and inner[i] == articles):
+            out = True
+        state.append((out, within))
     for b in found:
-        marks = [m for i, m in b.around if i not in wrong]
-        b.place = "out" if "out" in marks else "in" if marks else ""
+        out, within = state[b.node] if b.node >= 0 else (False, False)
+        b.place = "out" if out else "in" if within else ""
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, each with white space as single spaces; nothing of unseen elements."""
+    """The page's blocks in order, each with white space as single spaces; nothing of unseen elements.
+
+    One pass: no step looks at more than the innermost few open elements, and
+    what is searched for in vain once is not searched for again.
+    """
     found: list[Block] = []
+    nodes: list[tuple[int, str]] = []
     parts: list[str] = []
-    linked = 0
-    stack: list[tuple[str, str | None, int]] = []
-    links = at = opened = 0
-    length = len(page)
+    stack: list[tuple[str, str | None, int]] = []  # name, mark, and the node that was innermost outside
+    opened: Counter = Counter()  # open elements by name
+    node, hidden, within, headings, linked, links, at = -1, 0, 0, 0, 0, 0, 0
+    length, last = len(page), {q: page.rfind(q) for q in "\"'"}
+    unclosed: set[str] = set()
 
     def end() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
-        if text and not any(m == "gone" for _, m, _ in stack):
-            around = [(i, m) for _, m, i in stack if m]
-            found.append(Block(text, min(linked, len(text)), around, any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n, _, _ in stack)))
+        if text and not hidden:
+            found.append(Block(text, min(linked, len(text)), node, headings > 0))
         linked = 0
 
     def add(piece: str) -> None:
@@ -153,6 +183,25 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(piece.strip())
 
+    def close() -> str:
+        nonlocal node, hidden, within, headings, links
+        name, mark, node = stack.pop()
+        opened[name] -= 1
+        hidden -= mark == "gone"
+        within -= mark in ("in", "main")
+        headings -= name in HEADINGS
+        links -= name == "a"
+        return name
+
+    def tag_end(start: int) -> tuple[int, int]:
+        """Where the attributes end and where the tag does; a quote that is never closed is none."""
+        here = start
+        while m := _STOP.search(page, here):
+            if m[1] is None:
+                return m.start(), m.end()
+            here = page.find(m[1], m.end()) + 1 if last[m[1]] >= m.end() else m.end()
+        return length, length
+
     while at < length:
         m = _TAG.search(page, at)
         if not m:
@@ -165,18 +214,17 @@ def blocks(page: str) -> list[Block]:
                 add(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         name = m[2].lower()
+        stop, at = tag_end(at)
+        attributes = page[m.end() : stop]
         if m[1]:
-            if name not in {n for n, _, _ in stack}:
+            if not opened[name]:
                 if name == "p":
                     end()
                 continue
             if name in BLOCK:
                 end()
-            while stack:
-                n, _, _ = stack.pop()
-                links -= n == "a"
-                if n == name:
-                    break
+            while close() != name:
+                pass
             continue
         if name == "br" or name == "wbr":
             parts.append(" " if name == "br" else "")
@@ -184,22 +232,31 @@ def blocks(page: str) -> list[Block]:
         if name in UNSEEN and not (name in ("head", "map")):
             if name in BLOCK or name == "iframe":
                 end()
-            if not m[3].rstrip().endswith("/") and name not in VOID:
-                close = _CLOSE.get(name) or re.compile(rf"</{re.escape(name)}\s*>", re.I)
-                closed = close.search(page, at)
+            if not attributes.rstrip().endswith("/") and name not in VOID:
+                pattern = _CLOSE.get(name) or re.compile(rf"</{re.escape(name)}\s*>", re.I)
+                closed = None if name in unclosed else pattern.search(page, at)
+                if not closed:
+                    unclosed.add(name)
                 at = closed.end() if closed else length if name in ("script", "style", "textarea", "title") else at
             continue
         if name in BLOCK:
             end()
             closes = SELF_CLOSING.get(name, {"p"} if name != "body" else set())
             while stack and (stack[-1][0] in closes or stack[-1][0] in ("b", "i", "em", "strong", "span", "font", "u", "a", "small") and any(n in closes for n, _, _ in stack[-4:])):
-                links -= stack.pop()[0] == "a"
+                close()
         if name not in VOID:
-            opened += 1
-            stack.append((name, _marks(name, m[3]), opened))
+            mark = _marks(name, attributes, within > 0)
+            stack.append((name, mark, node))
+            opened[name] += 1
+            hidden += mark == "gone"
+            within += mark in ("in", "main")
+            headings += name in HEADINGS
             links += name == "a"
+            if mark and mark != "gone":
+                nodes.append((node, mark))
+                node = len(nodes) - 1
     end()
-    _places(found)
+    _places(found, nodes)
     return found
 
 
@@ -214,7 +271,10 @@ def classify(found: list[Block]) -> None:
     beside = "beside" if plain["in"] > plain[""] else ""
     for b in found:  # first pass
         links, short, long, low, high = BOUNDS[b.place or beside]
-        if b.linked / max(1, len(b.text)) > links:
+        share = b.linked / max(1, len(b.text))
+        # Within the article, and in long prose anywhere, a linked part does not speak against the rest.
+        prose = share <= MOSTLY and _density(b.text) >= (low if b.place == "in" else high) and (b.place == "in" or len(b.text) >= long)
+        if share > links and not (prose and b.place != "out"):
             b.good = False
         elif len(b.text) < short:
             b.good = False if b.place == "out" else None
@@ -225,7 +285,7 @@ def classify(found: list[Block]) -> None:
             elif b.place == "out":
                 b.good = False
             else:
-                b.good = False if not b.place and not b.linked and len(b.text) < LONG else None
+                b.good = False if not b.place and not b.linked and stop < STOP_NONE and len(b.text) < LONG else None
     decided = [i for i, b in enumerate(found) if b.good is not None]
     for i, b in enumerate(found):  # second pass
         if b.good is not None:
@@ -247,6 +307,9 @@ def classify(found: list[Block]) -> None:
             near_before, near_after = i - sides[0], sides[1] - i
             near = sides[0] if near_before < near_after else sides[1]
             b.good = found[near].good if near_before != near_after else _density(b.text) >= STOP_LOW
+    if not any(b.good for b in found):  # no prose anywhere: what is neither linked nor marked is all the page has
+        for b in found:
+            b.good = b.place != "out" and not b.linked
 
 
 def main_text(page: str | None) -> str:
