@@ -195,13 +195,6 @@ def _counts(tables):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-# Replay of the event feed
-QUERIES["lif2_replayed_batches"] = lambda spark, sf_dir: lifecycle.replay(lifecycle.feed(spark.read.parquet(f"{sf_dir}/events.parquet")), key="site_id")[0]
-QUERIES["lif2_rejected_events"] = lambda spark, sf_dir: lifecycle.replay(lifecycle.feed(spark.read.parquet(f"{sf_dir}/events.parquet")), key="site_id")[1]
-QUERIES["lif3_limited_replay"] = lambda spark, sf_dir: lifecycle.replay(
-    lifecycle.feed(spark.read.parquet(f"{sf_dir}/events.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")), key="account_id", limit=2
-)[1]
-
 # Exports and partitions
 _CSV = """case when contains(x, ',') or contains(x, '"') or contains(x, chr(10)) then '"'||replace(x, '"', '""')||'"' else x end"""
 _esc = lambda c: f"(select {_CSV} from (select coalesce(cast({c} as varchar), '') x))"

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ingestlens.operators.lifecycle import feed
+from ingestlens.plans.replay import _OWNER, PASSED, STREAM_ROWS, fold_sql
 from ingestlens.plans.views import SQL
 from ingestlens.streaming import metrics
-from ingestlens.streaming.lifecycle import lifecycle_stream
+from ingestlens.streaming.lifecycle import STATE_STORE, lifecycle_stream
 
 _KINDS = "case event_type when 'signup' then 'START' when 'purchase' then 'COMPLETE' when 'error' then 'ERROR' else 'UPLOAD' end"
 
@@ -41,8 +43,22 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
+@contextmanager
+def _state_store(spark: SparkSession):
+    """The state store that the lifecycle needs, for the time in which a query starts and ends."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def lif6(spark, sf_dir):
-    return finished(lifecycle_stream(feed(events_stream(spark, sf_dir)))).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    with _state_store(spark):
+        rows = finished(lifecycle_stream(feed(events_stream(spark, sf_dir))))
+    return rows.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 def str1(spark, sf_dir):
@@ -59,7 +75,8 @@ def str2(spark, sf_dir):
 
 
 def str4(spark, sf_dir):
-    rows = finished(lifecycle_stream(feed(events_stream(spark, sf_dir), spark.read.parquet(f"{sf_dir}/customer.parquet"))))
+    with _state_store(spark):
+        rows = finished(lifecycle_stream(feed(events_stream(spark, sf_dir), spark.read.parquet(f"{sf_dir}/customer.parquet"))))
     return metrics.active_per_account(rows)
 
 
@@ -87,6 +104,8 @@ QUERIES = {
 #: A window is emitted when the watermark passes its end; ``availableNow`` ends with a batch that moves the watermark to 10 minutes before the last event.
 _CLOSED = "(select max(ts) from events) - interval 10 minute"
 ORACLE_SQL = {
+    "lif6_lifecycle_stream": fold_sql(until=PASSED) + STREAM_ROWS + "select * from rows_",
+    "str4_active_per_account": fold_sql(account=_OWNER, until=PASSED) + STREAM_ROWS + "select account_id, sum(case event when 'STARTED' then 1 when 'REJECTED' then 0 else -1 end)::bigint active_batches from rows_ group by 1",
     "str1_metric_stream": f"select * from (select time_bucket(interval 1 hour, ts) window_start, {_KINDS} kind, count(*) n from events group by 1, 2) where window_start + interval 1 hour <= {_CLOSED}",
     "str2_first_files_stream": SQL + "select distinct batch_id, original_file_name from uploaded_files",
     "str5_authentication_failures": f"""select * from (select date_trunc('day', ts)::timestamp window_start, case when event_id % 2 = 0 then '10.0.0.'||(user_id % 5) else '192.0.2.1' end address,

@@ -1,4 +1,9 @@
-"""LIF6: the lifecycle with timeout as a stream, by the same fold as the replay."""
+"""LIF6: the lifecycle with timeout as a stream, by the same fold as the replay.
+
+Rows wait in list state until the watermark has passed their time, and are then
+applied in order of time and id, so that rows which come out of order, within
+one micro-batch or over several, give what the replay gives.
+"""
 
 from __future__ import annotations
 
@@ -27,11 +32,28 @@ OUT = T.StructType(
         T.StructField("reason", T.StringType()),
     ]
 )
+WAITING = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("at", T.LongType()),
+        T.StructField("account_id", T.StringType()),
+        T.StructField("site_id", T.StringType()),
+        T.StructField("batch_id", T.StringType()),
+        T.StructField("action", T.StringType()),
+        T.StructField("file_name", T.StringType()),
+        T.StructField("file_size", T.LongType()),
+    ]
+)
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _reached(at: int) -> int:
+    """The first watermark (milliseconds) that is not before a time in microseconds; Spark drops rows up to the watermark."""
+    return -(-at // 1000)
+
+
 class Lifecycle(StatefulProcessor):
-    """State of a key: its open batches. Rows are put in order before the fold; timers only close silent keys."""
+    """State of a key: its open batches and the rows that wait for the watermark; one timer, for the earliest thing to do."""
 
     def __init__(self, rules: Rules):
         self.rules = rules
@@ -39,19 +61,25 @@ class Lifecycle(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", STATE)
+        self.waiting = handle.getListState("waiting", WAITING)
 
     def _load(self) -> dict:
         return json.loads(self.open.get()[0]) if self.open.exists() else {}
 
     def _save(self, open_: dict) -> None:
+        if open_:
+            self.open.update((json.dumps(open_),))
+        else:
+            self.open.clear()
+
+    def _wake(self, open_: dict, waiting: list[int]) -> None:
+        """The one timer: when the first waiting row is due, or the first open batch over."""
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
-        if not open_:
-            self.open.clear()
-            return
-        self.open.update((json.dumps(open_),))
-        # One millisecond later, because a batch exactly at its deadline is still open.
-        self.handle.registerTimer(min(self.rules.closes_at(b["at"]) for b in open_.values()) // 1000 + 1)
+        # Watermarks count milliseconds. A batch exactly at its deadline is still open, hence one more.
+        due = [*map(_reached, waiting), *(self.rules.closes_at(b["at"]) // 1000 + 1 for b in open_.values())]
+        if due:
+            self.handle.registerTimer(min(due))
 
     def _rows(self, key, found: list[dict]):
         for r in found:
@@ -62,21 +90,35 @@ class Lifecycle(StatefulProcessor):
                 yield T.Row(key=key, site_id=r["site_id"], account_id=None, batch_id=r["batch_id"], event="REJECTED", at=r["t"], files=None, bytes=None, has_errors=None, reason=r["reason"])
 
     def handleInputRows(self, key, rows, timerValues):
+        new = [tuple(r[f] for f in WAITING.names) for r in rows]
+        self.waiting.appendList(new)
+        times = list(self.handle.listTimers())
+        first = min(_reached(at) for _, at, *_ in new)
+        if not times or first < min(times):
+            for at in times:
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # Timers and the watermark count milliseconds, the fold microseconds.
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
         open_, name = self._load(), key[0]
-        for e in sorted((r.asDict() for r in rows), key=lambda r: (r["at"], r["event_id"])):
+        waiting = [dict(zip(WAITING.names, r, strict=True)) for r in self.waiting.get()]
+        later = [e for e in waiting if e["at"] > now]
+        for e in sorted((e for e in waiting if e["at"] <= now), key=lambda e: (e["at"], e["event_id"])):
             before = {s: b["batch_id"] for s, b in open_.items()}
             yield from self._rows(name, step(open_, e, self.rules))
             b = open_.get(e["site_id"])
             if b and before.get(e["site_id"]) != b["batch_id"]:
                 yield T.Row(key=name, site_id=b["site_id"], account_id=b["account_id"], batch_id=b["batch_id"], event="STARTED", at=b["at"], files=0, bytes=0, has_errors=False, reason=None)
+        yield from self._rows(name, close_expired(open_, now, self.rules))
         self._save(open_)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        open_ = self._load()
-        # Timers count milliseconds, the fold microseconds.
-        found = close_expired(open_, expiredTimerInfo.getExpiryTimeInMs() * 1000, self.rules)
-        yield from self._rows(key[0], found)
-        self._save(open_)
+        if later:
+            self.waiting.put([tuple(e.values()) for e in later])
+        else:
+            self.waiting.clear()
+        self._wake(open_, [e["at"] for e in later])
 
     def close(self) -> None:
         pass
@@ -90,16 +132,19 @@ def lifecycle_stream(
     expire_at: str = "deadline",
     delay: str = "0 seconds",
 ) -> DataFrame:
-    """Rows STARTED, the four ends, and REJECTED for a stream of events in time order (see ``schemas.EVENTS``).
+    """Rows STARTED, the four ends, and REJECTED for a stream of events (see ``schemas.EVENTS``) in any order within ``delay``.
 
     ``delay`` is the watermark's; rows later than it are dropped by Spark. The
-    result does not depend on how the events fall into micro-batches: a key's
-    rows are applied in order of time and id, and what expired before a row is
-    closed before it. A limit per account needs the account as key, whose open
-    batches are then one state.
+    result does not depend on how the events fall into micro-batches: a row
+    waits until the watermark passes its time, and then a key's rows are applied
+    in order of time and id; what expired before a row is closed before it. When
+    a stream ends, rows less than ``delay`` older than its last one still wait.
+    A limit per account needs the account as key, whose open batches are then
+    one state. Rows within the last millisecond wait as well. The session must keep state in ``STATE_STORE``.
     """
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    kept = events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass")
+    if kept != STATE_STORE:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STATE_STORE} for this stream")
     rows = events.withWatermark("t", delay).select(
         F.col(key).alias("key"), "t", "event_id", F.unix_micros("t").alias("at"), "account_id", "site_id", "batch_id", "action", "file_name", "file_size"
     )

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import time
 from datetime import UTC, datetime
 
 import pytest
@@ -15,19 +16,29 @@ from ingestlens.streaming.lifecycle import lifecycle_stream
 from ingestlens.streaming.metrics import ingest_errors
 
 
-@pytest.mark.parametrize("cuts", [1, 3])
+@pytest.mark.parametrize("cuts", [1, 3, 10])
 def test_lifecycle_stream_equals_replay(spark, tmp_path, cuts):
-    events = lifecycle.feed(spark.read.parquet(f"{SMALL}/events.parquet")).filter("action in ('START', 'COMPLETE')")
-    rows = events.orderBy("t", "event_id").collect()
+    """Every row of the stream, with events out of order within the delay, over one and several micro-batches."""
+    events = lifecycle.feed(spark.read.parquet(f"{SMALL}/events.parquet"))
+    rows = events.orderBy(F.unix_micros("t") + F.pmod(F.hash("event_id"), F.lit(7_000_000_000)), "event_id").collect()  # up to 7,000 s late
     size = -(-len(rows) // cuts)
     for i in range(cuts):
-        spark.createDataFrame(rows[i * size : (i + 1) * size], events.schema).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        spark.createDataFrame(rows[i * size : (i + 1) * size], events.schema).coalesce(1).write.parquet(f"{tmp_path}/{i:02d}")
+        time.sleep(0.02)  # files are taken in order of their time
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path))
-    got = {r["event"]: r["count"] for r in streams.finished(lifecycle_stream(source)).groupBy("event").count().collect()}
-    batches, rejected = lifecycle.replay(events, as_of=datetime.fromtimestamp(events.agg(F.unix_micros(F.max("t"))).first()[0] / 1e6, UTC))
-    want = {r["status"]: r["count"] for r in batches.groupBy("status").count().collect()}
-    assert want == {"COMPLETED": 3, "NOT_COMPLETED": 193}
-    assert got == {"STARTED": 196, "COMPLETED": 3, "NOT_COMPLETED": 193, "REJECTED": rejected.count()}
+    with streams._state_store(spark):
+        out = streams.finished(lifecycle_stream(source, delay="7000 seconds")).collect()
+    got = sorted((r["event"], r["site_id"], r["batch_id"] or "", r["at"], r["files"], r["bytes"], r["reason"]) for r in out if r["event"] != "STARTED")
+    end = events.agg(F.unix_micros(F.max("t"))).first()[0] // 1000 * 1000 - 7_000_000_000  # the last watermark
+    batches, rejected = lifecycle.replay(events.filter(F.unix_micros("t") <= end), as_of=datetime.fromtimestamp(end / 1e6, UTC))
+    want = [(r["status"], r["site_id"], r["batch_id"], r["completed_at"], r["files"], r["bytes"], None) for r in batches.collect() if r["completed_at"]]
+    want += [("REJECTED", r["site_id"], r["batch_id"] or "", r["t"], None, None, r["reason"]) for r in rejected.collect()]
+    assert got == sorted(want) and sum(r["event"] == "STARTED" for r in out) == batches.count()
+
+
+def test_lifecycle_stream_names_the_setting_it_needs(spark):
+    with pytest.raises(ValueError, match="providerClass"):
+        lifecycle_stream(lifecycle.feed(streams.events_stream(spark, SMALL)))
 
 
 def test_error_partitions(spark, tmp_path):
