@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ingestlens.plans import audits, listings, replay, streams
+from ingestlens.plans import audits, listings, replay, storage, streams
 
-QUERIES: dict = listings.QUERIES | audits.QUERIES | replay.QUERIES | streams.QUERIES
-ORACLE_SQL: dict = listings.ORACLE_SQL | audits.ORACLE_SQL | replay.ORACLE_SQL | streams.ORACLE_SQL
+QUERIES: dict = listings.QUERIES | audits.QUERIES | replay.QUERIES | streams.QUERIES | storage.QUERIES
+ORACLE_SQL: dict = listings.ORACLE_SQL | audits.ORACLE_SQL | replay.ORACLE_SQL | streams.ORACLE_SQL | storage.ORACLE_SQL

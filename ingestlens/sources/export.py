@@ -24,7 +24,7 @@ def _field(name: str) -> Column:
 
 
 def csv_rows(errors: DataFrame, dialect: str) -> DataFrame:
-    """SNK1 (``admin``), SNK2 (``service``): one text column ``value``, newest first within range partitions.
+    """SNK1 (``admin``), SNK2 (``service``): one text column ``value``; :func:`write_csv` puts the rows in order.
 
     A null batch is an empty field; fields are quoted for commas, quotes and
     line feeds only.
@@ -41,7 +41,7 @@ def scoped(errors: DataFrame, batch=None, site=None) -> DataFrame:
 
 
 def write_csv(errors: DataFrame, path: str, dialect: str = "admin", single_file: bool = False) -> None:
-    """SNK1-3: text parts in order, newest first, each with the header.
+    """SNK1-3: text parts in order, newest first, each with the header; an export without rows is a part with the header only.
 
     Parts are ranges of time, so no task sorts everything; ``single_file`` is
     for small exports and takes one task.
@@ -50,7 +50,11 @@ def write_csv(errors: DataFrame, path: str, dialect: str = "admin", single_file:
     order = [F.col("occurred_at").desc(), F.col("error_id").desc()]
     placed = errors.coalesce(1) if single_file else errors.repartitionByRange(*order)
     rows = placed.sortWithinPartitions(*order).select(F.concat_ws(",", *map(_field, columns)).alias("value"))
-    _with_header(rows, header).write.text(path)
+    if errors.isEmpty():
+        rows = errors.sparkSession.range(1).select(F.lit(header).alias("value"))
+    else:
+        rows = _with_header(rows, header)
+    rows.write.text(path)
 
 
 def _with_header(rows: DataFrame, header: str) -> DataFrame:

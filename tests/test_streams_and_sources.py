@@ -93,3 +93,23 @@ def test_month_pruning_needs_no_scan_of_others(spark, tmp_path):
     df.withColumns({"error_id": F.lit("x"), "site_id": F.lit("s")}).write.partitionBy("ym").parquet(str(tmp_path / "p"))
     got = tables.load_errors(spark, str(tmp_path / "p"), datetime(2024, 5, 1))
     assert len(got.inputFiles()) >= 1 and got.count() == 1
+
+
+def test_exports_have_order_and_headers(spark, tmp_path):
+    """An empty export is its header; one of several parts has it in each, and the parts in order are newest first."""
+    from ingestlens.sources import export
+
+    rows = [(i, None, 7, "T", "a, b", None, datetime(2024, 1, 1 + i * 7 % 28, i % 24)) for i in range(400)]
+    errors = spark.createDataFrame(rows, "error_id long, batch_id long, site_id long, type string, message string, metadata string, occurred_at timestamp_ntz")
+    for dialect in export.DIALECTS:
+        export.write_csv(errors.limit(0), str(tmp_path / f"none-{dialect}"), dialect)
+        assert [r["value"] for r in spark.read.text(str(tmp_path / f"none-{dialect}")).collect()] == [export.DIALECTS[dialect][0]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        export.write_csv(errors, str(tmp_path / "parts"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "parts").glob("part-*"))]
+    assert len(parts) > 1 and all(p[0] == export.DIALECTS["admin"][0] for p in parts)
+    want = sorted(rows, key=lambda r: (r[6], r[0]), reverse=True)
+    assert [line.split(",")[0] for p in parts for line in p[1:]] == [str(r[0]) for r in want]
