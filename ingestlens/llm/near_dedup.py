@@ -110,12 +110,16 @@ def _rarity(open_texts: DataFrame, shingle: int) -> np.ndarray:
 
     sums = open_texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     level = (F.least(F.floor(F.log2("n") * 4) + 1, F.lit(255))).cast("int")
-    # A thousand counters in a row: what comes to the driver is at most COUNTERS small numbers.
-    rows = sums.groupBy(F.expr("slot div 1024").alias("b")).agg(F.collect_list(F.struct((F.col("slot") % 1024).cast("int").alias("at"), level.alias("level"))).alias("x")).collect()
+
+    def packed(rows):
+        block = np.zeros(4096, np.uint8)
+        block[np.asarray(rows.column("slot")) % 4096] = np.asarray(rows.column("level"))
+        return pa.table({"b": rows.column("b").slice(0, 1), "levels": pa.array([block.tobytes()], pa.binary())})
+
+    blocks = sums.select(F.expr("slot div 4096").alias("b"), "slot", level.alias("level")).groupBy("b").applyInArrow(packed, "b long, levels binary")
     out = np.zeros(COUNTERS, np.uint8)
-    for r in rows:
-        for at, n in r["x"]:
-            out[r["b"] * 1024 + at] = n
+    for r in blocks.collect():  # COUNTERS bytes at most
+        out[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(r["levels"], np.uint8)
     return out
 
 
