@@ -166,6 +166,7 @@ class Hmm:
         symbols, lengths = symbols[:, order], lengths[order]
         steps, n = symbols.shape
         k = len(self.start)
+        ones = np.ones(k, np.float32)
         # Single precision within a sequence; every step is scaled, and sums over sequences are double.
         first_state, move, emit = (x.astype(np.float32) for x in (self.start, self.move, self.emit))
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # sequences that have a token at each time
@@ -175,7 +176,7 @@ class Hmm:
             for t in range(first, min(first + piece, steps)):
                 e = emit[symbols[t, : active[t]]]
                 a = (first_state if a is None else a[: active[t]] @ move) * e
-                scale = a.sum(1)
+                scale = a @ ones  # faster than a sum over few columns
                 a = a / scale[:, None]
                 out.append((a, e, scale))
             return out
@@ -227,10 +228,11 @@ class Hmm:
         starts, sizes = starts[order], lengths[order]
         out = np.zeros(len(lengths))
         active = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")
+        ones = np.ones(len(self.start))
         alpha = np.broadcast_to(self.start, (len(lengths), len(self.start)))
         for t, n in enumerate(active):
             alpha = (alpha[:n] if t == 0 else alpha[:n] @ self.move) * self.emit[flat[starts[:n] + t]]
-            c = alpha.sum(1)
+            c = alpha @ ones
             alpha /= c[:, None]
             out[:n] += np.log10(c)
         back = np.empty_like(out)
