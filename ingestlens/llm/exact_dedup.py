@@ -79,11 +79,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = exact_groups(docs, id_col, text_col, salts)
     new = ("keep_id", "group_size", "kept", "text_sha256")
     base = docs.drop(*new)
-    tagged = base.select("*", F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"), _salt(id_col, text_col, salts).alias("__salt"))
+    # Before the join, so that a caller who needs no text moves none.
+    length = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
+    tagged = base.select("*", F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"), _salt(id_col, text_col, salts).alias("__salt"), length.alias("__length"))
     by_salt = groups.withColumn("__salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (salts & shiftleft(1L, s)) <> 0)"))).select("text_sha256", "__salt", "keep_id", "keep_length", "group_size")
     joined = tagged.join(by_salt, ["text_sha256", "__salt"], "left")
-    longest = F.char_length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("keep_length")
-    kept = F.col(id_col).eqNullSafe(F.col("keep_id")) & longest
+    kept = F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("__length") == F.col("keep_length"))
     return joined.select(*base.columns, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
