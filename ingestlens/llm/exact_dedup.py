@@ -19,9 +19,14 @@ def normalised(text):
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
+def _length(text_col: str):
+    """Code points of the original text; null counts as empty."""
+    return F.char_length(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def _salt(id_col: str, text_col: str, salts: int):
     """A row's part of its group: by id, and by the original's length for rows that share one."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.char_length(text_col)), F.lit(salts)).cast("int")
+    return F.pmod(F.xxhash64(F.col(id_col), _length(text_col)), F.lit(salts)).cast("int")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -38,7 +43,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # The smallest struct wins: more code points, then the smaller id; a row
         # without id only if there is no other.
         F.struct(
-            (-F.char_length(F.coalesce(F.col(text_col), F.lit("")))).alias("n"),
+            (-_length(text_col)).alias("n"),
             F.col(id_col).isNull().alias("no_id"),
             F.col(id_col).alias("id"),
         ).alias("best"),
@@ -80,14 +85,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     new = ("keep_id", "group_size", "kept", "text_sha256")
     base = docs.drop(*new)
     # Before the join, so that a caller who needs no text moves none.
-    length = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
-    tagged = base.select("*", F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"), _salt(id_col, text_col, salts).alias("__salt"), length.alias("__length"))
+    tagged = base.select("*", F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"), _salt(id_col, text_col, salts).alias("__salt"), _length(text_col).alias("__length"))
     by_salt = groups.withColumn("__salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (salts & shiftleft(1L, s)) <> 0)"))).select("text_sha256", "__salt", "keep_id", "keep_length", "group_size")
     joined = tagged.join(by_salt, ["text_sha256", "__salt"], "left")
     kept = F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("__length") == F.col("keep_length"))
     return joined.select(*base.columns, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """The columns of ``docs`` for one row of each group of equal texts: that which ``exact_dedup`` marks.
+
+    Of rows with one id, as many code points and equal texts any one stays.
+    Such rows are merged before they are moved, and what is left meets the
+    groups where that merge put it, so a text is shuffled once here.
+    """
+    groups = exact_groups(docs, id_col, text_col, salts)
+    # As text, so that null is a key like any other.
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias("__key")
+    names = ["__digest", "__length", "__key"]
+    tagged = docs.select("*", F.sha2(normalised(F.col(text_col)), 256).alias("__digest"), _length(text_col).alias("__length"), key(id_col))
+    # `group_size` raises where two texts share a digest, so it is read here too.
+    chosen = groups.filter("group_size > 0").select(F.col("text_sha256").alias("__digest"), F.col("keep_length").alias("__length"), key("keep_id"))
+    return tagged.dropDuplicates(names).join(chosen, names, "left_semi").select(*docs.columns)
+
+
 def op6_exact_dedup(spark, sf_dir):
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

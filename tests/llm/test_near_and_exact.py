@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from ingestlens.llm import near_dedup, registry, shingles
 from ingestlens.llm.components import components
-from ingestlens.llm.exact_dedup import exact_dedup
+from ingestlens.llm.exact_dedup import exact_dedup, keep_one
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "a b c"), (5, "ab c"), (6, "a  b c"), (7, "x"), (7, "x"), (8, "é x"), (None, "x"), (None, None), (9, "word " * 30_000)]
 
@@ -40,6 +40,19 @@ def test_exact_rules(spark):
     assert exact_dedup(frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_keep_one(spark):
+    odd = [(1, "a b"), (1, "a   b"), (2, "ab"), (5, None), (5, ""), (None, "q"), (None, "q"), (7, " q "), (9, "x y"), (9, "x y"), (None, "z"), (None, "z")]
+    got = keep_one(frame(spark, odd))
+    assert got.columns == frame(spark, odd).columns
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str)
+    assert rows == sorted([(1, "a   b"), (5, ""), (7, " q "), (9, "x y"), (None, "z")], key=str)
+    assert keep_one(frame(spark, odd).limit(0)).count() == 0
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    marked = {r["doc_id"] for r in exact_dedup(docs).filter("kept").collect()}
+    kept = [r["doc_id"] for r in keep_one(docs).collect()]
+    assert sorted(kept) == sorted(marked)
+
+
 def brute(rows, percent=75):
     """Component per id by comparing all pairs of word 5-gram sets of strings."""
     sets = {}
