@@ -21,8 +21,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original with the smallest id; of its rows of one id and length, one."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept")
-    return kept.dropDuplicates(["doc_id", "text_sha256"]).select(*docs.columns)
+    return exact_dedup.keep_one(docs)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
