@@ -131,11 +131,14 @@ def several_open(batches: DataFrame) -> DataFrame:
 
 
 def _nth(key: str = "file_id") -> Column:
-    return F.row_number().over(W.partitionBy("batch_id", "original_file_name").orderBy("uploaded_at", key))
+    nameless = F.col("batch_id").isNull() | F.col("original_file_name").isNull()
+    # Rows without a name are dealt by their key, or all of them would be one group.
+    order = W.partitionBy("batch_id", "original_file_name", F.when(nameless, F.xxhash64(key))).orderBy("uploaded_at", key)
+    return F.when(nameless, 1).otherwise(F.row_number().over(order))
 
 
 def first_uploads(files: DataFrame, key: str = "file_id") -> tuple[DataFrame, DataFrame]:
-    """VAL4: the first file of each name in a batch, and the later ones."""
+    """VAL4: the first file of each name in a batch, and the later ones; without a name or batch none is a later one."""
     numbered = files.withColumn("_nth", _nth(key))
     return numbered.filter("_nth = 1").drop("_nth"), numbered.filter("_nth > 1").drop("_nth")
 
@@ -155,7 +158,8 @@ def admission(files: DataFrame, batches: DataFrame, key: str = "file_id") -> Dat
         .when(_blank("original_file_name"), F.lit("NAME_BLANK"))
     )
     judged = joined.withColumn("reason", reason)
-    order = W.partitionBy("batch_id", "original_file_name", F.col("reason").isNull()).orderBy("uploaded_at", key)
+    # Files that are kept out already have no order among them and are dealt by their key.
+    order = W.partitionBy("batch_id", "original_file_name", F.when(F.col("reason").isNotNull(), F.xxhash64(key))).orderBy("uploaded_at", key)
     later = F.col("reason").isNull() & (F.row_number().over(order) > 1)
     return judged.withColumn("reason", F.when(later, F.lit("DUPLICATE_NAME")).otherwise(F.col("reason"))).drop("_status")
 
@@ -171,7 +175,7 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 
 
 def referential_report(accounts: DataFrame, sites: DataFrame, batches: DataFrame, files: DataFrame, errors: DataFrame) -> DataFrame:
-    """VAL8: violations of every reference, counted."""
+    """VAL8: violations of every reference, counted; rows are counted per key before the join, so that a frequent key is one row of it."""
     checks = [
         ("site.account", sites, accounts, "account_id"),
         ("batch.site", batches, sites, "site_id"),
@@ -180,7 +184,11 @@ def referential_report(accounts: DataFrame, sites: DataFrame, batches: DataFrame
         ("error.site", errors, sites, "site_id"),
         ("error.batch", errors, batches, "batch_id"),
     ]
-    counts = [orphans(child, parent, key).agg(F.lit(name).alias("reference"), F.count("*").alias("violations")) for name, child, parent, key in checks]
+    violations = F.coalesce(F.sum("n"), F.lit(0)).alias("violations")
+    counts = [
+        orphans(child.groupBy(key).agg(F.count("*").alias("n")), parent, key).agg(F.lit(name).alias("reference"), violations)
+        for name, child, parent, key in checks
+    ]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
@@ -192,15 +200,17 @@ def storage_difference(files: DataFrame, stored: DataFrame) -> DataFrame:
 
     ``stored`` has ``s3_key, stored_size`` and may have ``stored_checksum``.
     """
-    extra = stored.join(files.select("s3_key"), "s3_key", "left_anti").select("s3_key", F.lit("ORPHAN_OBJECT").alias("kind"))
-    missing = files.join(stored.select("s3_key"), "s3_key", "left_anti").select("s3_key", F.lit("MISSING_OBJECT").alias("kind"))
-    both = files.join(stored, "s3_key")
-    size = both.filter("file_size <> stored_size").select("s3_key", F.lit("SIZE_MISMATCH").alias("kind"))
-    out = extra.unionByName(missing).unionByName(size)
-    if "stored_checksum" in stored.columns:
-        wrong = both.filter(~S.same_digest("checksum", "stored_checksum")).select("s3_key", F.lit("DIGEST_MISMATCH").alias("kind"))
-        out = out.unionByName(wrong)
-    return out
+    digests = "stored_checksum" in stored.columns
+    listed = files.select("s3_key", "file_size", *(["checksum"] if digests else []), F.lit(True).alias("_listed"))
+    there = stored.select("s3_key", "stored_size", *(["stored_checksum"] if digests else []), F.lit(True).alias("_there"))
+    kinds = [
+        F.when(F.col("_listed").isNull(), F.lit("ORPHAN_OBJECT")),
+        F.when(F.col("_there").isNull(), F.lit("MISSING_OBJECT")),
+        F.when(F.col("file_size") != F.col("stored_size"), F.lit("SIZE_MISMATCH")),
+    ]
+    if digests:
+        kinds.append(F.when(F.col("_listed") & F.col("_there") & ~S.same_digest("checksum", "stored_checksum"), F.lit("DIGEST_MISMATCH")))
+    return listed.join(there, "s3_key", "full").select("s3_key", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
 
 
 def tenancy_audit(accounts: DataFrame, sites: DataFrame, batches: DataFrame, errors: DataFrame) -> DataFrame:

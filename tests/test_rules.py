@@ -127,6 +127,22 @@ def test_admission_order(spark, small):
     assert got == {"1": "EMPTY_FILE", "2": "BATCH_NOT_FOUND", "3": "BATCH_NOT_OPEN", "4": "TOO_LARGE", "5": "NAME_BLANK", "6": None, "7": "DUPLICATE_NAME", "8": None}
 
 
+def test_first_uploads_without_names(spark):
+    rows = [("1", "b", "n"), ("2", "b", "n"), ("3", "b", None), ("4", "b", None), ("4", "b", None), ("5", None, "n"), ("6", None, "n")]
+    files = spark.createDataFrame(rows, "file_id string, batch_id string, original_file_name string").withColumn("uploaded_at", F.lit(T0))
+    first, later = quality.first_uploads(files)
+    assert sorted(r["file_id"] for r in first.collect()) == ["1", "3", "4", "4", "5", "6"] and [r["file_id"] for r in later.collect()] == ["2"]
+
+
+def test_storage_difference_kinds(spark):
+    files = spark.createDataFrame([("same", 1, "AB"), ("size", 2, "ab"), ("both", 2, "cd"), ("gone", 3, "ab"), (None, 4, "ab")], "s3_key string, file_size long, checksum string")
+    there = spark.createDataFrame([("same", 1, "ab"), ("size", 1, "ab"), ("both", 1, "ab"), ("extra", 1, "ab")], "s3_key string, stored_size long, stored_checksum string")
+    got = sorted((r["s3_key"] or "", r["kind"]) for r in quality.storage_difference(files, there).collect())
+    assert got == [("", "MISSING_OBJECT"), ("both", "DIGEST_MISMATCH"), ("both", "SIZE_MISMATCH"), ("extra", "ORPHAN_OBJECT"), ("gone", "MISSING_OBJECT"), ("size", "SIZE_MISMATCH")]
+    sizes = quality.storage_difference(files, there.drop("stored_checksum"))
+    assert sizes.filter("kind = 'DIGEST_MISMATCH'").count() == 0 and sizes.count() == 5
+
+
 def test_audits(small):
     m = small
     assert {(r["kind"], r["id"]) for r in quality.tenancy_audit(m["accounts"], m["sites"], m["batches"], m["errors"]).collect()} == {("FOREIGN_ERROR", "e3"), ("ACTIVE_SITE_INACTIVE_ACCOUNT", "s4")}
