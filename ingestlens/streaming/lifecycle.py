@@ -1,13 +1,13 @@
 """LIF6: the lifecycle with timeout as a stream, by the same fold as the replay.
 
-Rows wait in list state until the watermark has passed their time, and are then
+Rows wait in state until the watermark has passed their time, and are then
 applied in order of time and id, so that rows which come out of order, within
 one micro-batch or over several, give what the replay gives.
 """
 
 from __future__ import annotations
 
-import json
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,22 @@ from pyspark.sql.streaming import StatefulProcessor
 from ingestlens.operators.fold import Rules, close_expired, step
 from ingestlens.schemas import TIMEOUT_MINUTES
 
-STATE = T.StructType([T.StructField("open", T.StringType())])
+SITE = T.StructType([T.StructField("site_id", T.StringType())])
+OPEN = T.StructType(
+    [
+        T.StructField("batch_id", T.StringType()),
+        T.StructField("account_id", T.StringType()),
+        T.StructField("at", T.LongType()),
+        T.StructField("files", T.LongType()),
+        T.StructField("bytes", T.LongType()),
+        T.StructField("has_errors", T.BooleanType()),
+    ]
+)
+NAME = T.StructType([T.StructField("site_id", T.StringType()), T.StructField("file_name", T.StringType())])
+SIZE = T.StructType([T.StructField("file_size", T.LongType())])
+#: Rows that wait are kept in pieces of at most this stretch of time, so that a timer reads and writes few that are not due.
+PIECE = 60_000_000
+PIECE_KEY = T.StructType([T.StructField("first_at", T.LongType()), T.StructField("event_id", T.LongType())])
 OUT = T.StructType(
     [
         T.StructField("key", T.StringType()),
@@ -30,6 +45,7 @@ OUT = T.StructType(
         T.StructField("bytes", T.LongType()),
         T.StructField("has_errors", T.BooleanType()),
         T.StructField("reason", T.StringType()),
+        T.StructField("time", T.TimestampType()),
     ]
 )
 WAITING = T.StructType(
@@ -44,7 +60,9 @@ WAITING = T.StructType(
         T.StructField("file_size", T.LongType()),
     ]
 )
+PIECE_ROWS = T.StructType([T.StructField("rows", T.ArrayType(WAITING))])
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
 def _reached(at: int) -> int:
@@ -52,73 +70,133 @@ def _reached(at: int) -> int:
     return -(-at // 1000)
 
 
+class _Names:
+    """The file names of an open batch: asked for and added one by one, never read as a whole."""
+
+    def __init__(self, state, site, count: int):
+        self.state, self.site, self.count = state, site, count
+
+    def __contains__(self, name) -> bool:
+        return self.state.containsKey((self.site, name))
+
+    def __setitem__(self, name, size) -> None:
+        self.state.updateValue((self.site, name), (size,))
+        self.count += 1
+
+    def __len__(self) -> int:
+        return self.count
+
+
 class Lifecycle(StatefulProcessor):
-    """State of a key: its open batches and the rows that wait for the watermark; one timer, for the earliest thing to do."""
+    """State of a key: its open batches, their file names, the rows that wait for the watermark; one timer, for the earliest thing to do.
 
-    def __init__(self, rules: Rules):
-        self.rules = rules
+    With ``uploads``, accepted files are rows too (``event`` UPLOADED, their size in ``bytes``).
+    """
+
+    def __init__(self, rules: Rules, uploads: bool = False):
+        self.rules, self.uploads = rules, uploads
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", STATE)
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.open = handle.getMapState("open", SITE, OPEN)
+        self.names = handle.getMapState("names", NAME, SIZE)
+        self.waiting = handle.getMapState("waiting", PIECE_KEY, PIECE_ROWS)
 
     def _load(self) -> dict:
-        return json.loads(self.open.get()[0]) if self.open.exists() else {}
-
-    def _save(self, open_: dict) -> None:
-        if open_:
-            self.open.update((json.dumps(open_),))
-        else:
-            self.open.clear()
-
-    def _wake(self, open_: dict, waiting: list[int]) -> None:
-        """The one timer: when the first waiting row is due, or the first open batch over."""
+        """Site to open batch, as the fold wants them."""
+        if not self.open.exists():
+            return {}
+        return {
+            site: {"site_id": site, "batch_id": b, "account_id": a, "at": at, "names": _Names(self.names, site, n), "bytes": size, "has_errors": bad}
+            for (site,), (b, a, at, n, size, bad) in self.open.iterator()
+        }
+
+    def _save(self, before: dict, open_: dict) -> None:
+        for site, b in open_.items():
+            row = (b["batch_id"], b["account_id"], b["at"], len(b["names"]), b["bytes"], b["has_errors"])
+            if before.get(site) != row:
+                self.open.updateValue((site,), row)
+        for site in before.keys() - open_.keys():
+            self.open.removeKey((site,))
+
+    def _forget(self, sites: set) -> None:
+        """Drops the names of batches that are over."""
+        for key in [tuple(k) for k in self.names.keys() if k[0] in sites]:
+            self.names.removeKey(key)
+
+    def _keep(self, rows: list[tuple]) -> None:
+        """Adds rows to what waits, in new pieces; nothing that waits already is read."""
+        piece: list[tuple] = []
+        for r in sorted(rows, key=lambda r: (r[1], r[0])):
+            if piece and r[1] // PIECE != piece[0][1] // PIECE:
+                self.waiting.updateValue((piece[0][1], piece[0][0]), (piece,))
+                piece = []
+            piece.append(r)
+        if piece:
+            self.waiting.updateValue((piece[0][1], piece[0][0]), (piece,))
+
+    def _wake(self, due: list[int]) -> None:
+        """The one timer, at the earliest of ``due`` (milliseconds)."""
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
-        # Watermarks count milliseconds. A batch exactly at its deadline is still open, hence one more.
-        due = [*map(_reached, waiting), *(self.rules.closes_at(b["at"]) // 1000 + 1 for b in open_.values())]
         if due:
             self.handle.registerTimer(min(due))
 
+    def _row(self, key, event: str, at: int, site, batch, account=None, files=None, size=None, bad=None, reason=None):
+        return T.Row(key=key, site_id=site, account_id=account, batch_id=batch, event=event, at=at, files=files, bytes=size, has_errors=bad, reason=reason, time=_EPOCH + timedelta(microseconds=at))
+
     def _rows(self, key, found: list[dict]):
         for r in found:
             if r["kind"] == "batch":
-                yield T.Row(key=key, site_id=r["site_id"], account_id=r["account_id"], batch_id=r["batch_id"], event=r["status"], at=r["completed_at"],
-                            files=r["files"], bytes=r["bytes"], has_errors=r["has_errors"], reason=None)
+                yield self._row(key, r["status"], r["completed_at"], r["site_id"], r["batch_id"], r["account_id"], r["files"], r["bytes"], r["has_errors"])
             else:
-                yield T.Row(key=key, site_id=r["site_id"], account_id=None, batch_id=r["batch_id"], event="REJECTED", at=r["t"], files=None, bytes=None, has_errors=None, reason=r["reason"])
+                yield self._row(key, "REJECTED", r["t"], r["site_id"], r["batch_id"], reason=r["reason"])
 
     def handleInputRows(self, key, rows, timerValues):
         new = [tuple(r[f] for f in WAITING.names) for r in rows]
-        self.waiting.appendList(new)
+        self._keep(new)
         times = list(self.handle.listTimers())
-        first = min(_reached(at) for _, at, *_ in new)
+        first = min(_reached(r[1]) for r in new)
         if not times or first < min(times):
-            for at in times:
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(first)
+            self._wake([first])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         # Timers and the watermark count milliseconds, the fold microseconds.
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
-        open_, name = self._load(), key[0]
-        waiting = [dict(zip(WAITING.names, r, strict=True)) for r in self.waiting.get()]
-        later = [e for e in waiting if e["at"] > now]
-        for e in sorted((e for e in waiting if e["at"] <= now), key=lambda e: (e["at"], e["event_id"])):
-            before = {s: b["batch_id"] for s, b in open_.items()}
-            yield from self._rows(name, step(open_, e, self.rules))
+        open_, name, due, later, firsts = self._load(), key[0], [], [], []
+        before = {s: (b["batch_id"], b["account_id"], b["at"], len(b["names"]), b["bytes"], b["has_errors"]) for s, b in open_.items()}
+        for piece in [tuple(k) for k in self.waiting.keys()] if self.waiting.exists() else []:
+            if piece[0] > now:
+                firsts.append(piece[0])
+                continue
+            rows = [tuple(r) for r in self.waiting.getValue(piece)[0]]
+            self.waiting.removeKey(piece)
+            due += [r for r in rows if r[1] <= now]
+            later += [r for r in rows if r[1] > now]
+        self._keep(later)
+        for r in sorted(due, key=lambda r: (r[1], r[0])):
+            e = dict(zip(WAITING.names, r, strict=True))
+            ids, sizes = {s: b["batch_id"] for s, b in open_.items()}, {s: b["bytes"] for s, b in open_.items()}
+            found = step(open_, e, self.rules)
+            yield from self._rows(name, found)
+            # What a site's names were is forgotten before it can start again.
+            if over := {s for s, i in ids.items() if s not in open_ or open_[s]["batch_id"] != i}:
+                self._forget(over)
             b = open_.get(e["site_id"])
-            if b and before.get(e["site_id"]) != b["batch_id"]:
-                yield T.Row(key=name, site_id=b["site_id"], account_id=b["account_id"], batch_id=b["batch_id"], event="STARTED", at=b["at"], files=0, bytes=0, has_errors=False, reason=None)
+            if b and ids.get(e["site_id"]) != b["batch_id"]:
+                b["names"] = _Names(self.names, b["site_id"], 0)
+                yield self._row(name, "STARTED", b["at"], b["site_id"], b["batch_id"], b["account_id"], 0, 0, False)
+            elif self.uploads and b and b["bytes"] > sizes[e["site_id"]]:
+                yield self._row(name, "UPLOADED", e["at"], b["site_id"], b["batch_id"], b["account_id"], 1, b["bytes"] - sizes[e["site_id"]])
+        had = set(open_)
         yield from self._rows(name, close_expired(open_, now, self.rules))
-        self._save(open_)
-        if later:
-            self.waiting.put([tuple(e.values()) for e in later])
-        else:
-            self.waiting.clear()
-        self._wake(open_, [e["at"] for e in later])
+        if over := had - open_.keys():
+            self._forget(over)
+        self._save(before, open_)
+        # Watermarks count milliseconds. A batch exactly at its deadline is still open, hence one more.
+        ends = [self.rules.closes_at(b["at"]) // 1000 + 1 for b in open_.values()]
+        self._wake([*map(_reached, [*firsts, *(r[1] for r in later)]), *ends])
 
     def close(self) -> None:
         pass
@@ -131,6 +209,8 @@ def lifecycle_stream(
     limit: int | None = None,
     expire_at: str = "deadline",
     delay: str = "0 seconds",
+    uploads: bool = False,
+    chained: bool = False,
 ) -> DataFrame:
     """Rows STARTED, the four ends, and REJECTED for a stream of events (see ``schemas.EVENTS``) in any order within ``delay``.
 
@@ -140,7 +220,10 @@ def lifecycle_stream(
     in order of time and id; what expired before a row is closed before it. When
     a stream ends, rows less than ``delay`` older than its last one still wait.
     A limit per account needs the account as key, whose open batches are then
-    one state. Rows within the last millisecond wait as well. The session must keep state in ``STATE_STORE``.
+    one state. Rows within the last millisecond wait as well. ``uploads`` adds a
+    row UPLOADED for every accepted file. With ``chained``, ``at`` is the event
+    time of what follows, with the same watermark, so windows over it can be
+    counted in the same stream. The session must keep state in ``STATE_STORE``.
     """
     kept = events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass")
     if kept != STATE_STORE:
@@ -149,6 +232,7 @@ def lifecycle_stream(
         F.col(key).alias("key"), "t", "event_id", F.unix_micros("t").alias("at"), "account_id", "site_id", "batch_id", "action", "file_name", "file_size"
     )
     out = rows.groupBy("key").transformWithState(
-        statefulProcessor=Lifecycle(Rules(minutes * 60_000_000, limit, expire_at)), outputStructType=OUT, outputMode="Append", timeMode="EventTime"
-    )
-    return out.withColumn("at", F.timestamp_micros("at"))
+        statefulProcessor=Lifecycle(Rules(minutes * 60_000_000, limit, expire_at), uploads), outputStructType=OUT, outputMode="Append", timeMode="EventTime", eventTimeColumnName="time" if chained else "",
+    )
+    columns = [f.name for f in OUT if f.name not in ("at", "time")]
+    return out.select(*columns[:5], F.col("time").alias("at"), *columns[5:])
