@@ -13,9 +13,11 @@ from ingestlens.operators.lifecycle import feed
 from ingestlens.plans.replay import _OWNER, PASSED, STREAM_ROWS, fold_sql
 from ingestlens.plans.views import SQL
 from ingestlens.sources import auth_log
-from ingestlens.streaming import metrics
+from ingestlens.streaming import first_files, metrics
 from ingestlens.streaming.lifecycle import STATE_STORE, lifecycle_stream
 
+#: How long a batch of the given files lives in the stream that forgets it.
+LIFETIME_DAYS = 400
 _KINDS = "case event_type when 'signup' then 'START' when 'purchase' then 'COMPLETE' when 'error' then 'ERROR' else 'UPLOAD' end"
 
 
@@ -82,6 +84,18 @@ def str2(spark, sf_dir):
     return finished(metrics.first_files(named, "3650 days")).select("batch_id", "original_file_name")
 
 
+def str2_lifetime(spark, sf_dir):
+    rows = _streamed(spark, sf_dir, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    named = rows.select(
+        F.concat_ws("-", *map(text, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("file_id"), F.col("l_orderkey").alias("batch_id"),
+        F.concat(F.lit("part-"), text("l_linenumber"), F.lit(".csv.gz")).alias("original_file_name"), F.col("l_shipdate").cast("timestamp").alias("uploaded_at"),
+    )
+    with _state_store(spark):
+        out = finished(first_files.first_files(named, minutes=LIFETIME_DAYS * 1440))
+    return out.select(F.col("batch_id").cast("long").alias("batch_id"), "original_file_name", "file_id")
+
+
 def str1_outcomes(spark, sf_dir):
     rows = events_stream(spark, sf_dir)
     kinds = F.create_map(*[x for k, v in enumerate(("FileReadError", "ValidationError", "NetworkError", "ConfigurationError")) for x in (F.lit(k), F.lit(v))])
@@ -149,6 +163,7 @@ QUERIES = {
     "str1_metric_stream": str1,
     "str1_outcome_metrics": str1_outcomes,
     "str2_first_files_stream": str2,
+    "str2_first_files_of_lifetime": str2_lifetime,
     "str4_active_per_account": str4,
     "str4_active_history": str4_history,
     "str5_authentication_failures": str5,
@@ -177,6 +192,11 @@ ORACLE_SQL = {
       union all select ts, 'errors', case event_id % 4 when 0 then 'FileReadError' when 1 then 'ValidationError' when 2 then 'NetworkError' else 'ConfigurationError' end, null from events where event_type = 'error')
     select time_bucket(interval 1 hour, "at") window_start, measure, kind, count(*) n, sum(b)::bigint bytes from found where time_bucket(interval 1 hour, "at") + interval 1 hour <= {_BOTH} group by 1, 2, 3""",
     "str2_first_files_stream": SQL + "select distinct batch_id, original_file_name from uploaded_files",
+    "str2_first_files_of_lifetime": SQL.replace("with ", "with recursive ", 1)
+    + f""", nth as (select *, row_number() over (partition by batch_id order by uploaded_at, file_id) n from uploaded_files),
+    lives as (select batch_id, n, uploaded_at began from nth where n = 1
+       union all select nth.batch_id, nth.n, case when uploaded_at > began + interval {LIFETIME_DAYS} day then uploaded_at else began end from lives join nth on nth.batch_id = lives.batch_id and nth.n = lives.n + 1)
+    select batch_id, original_file_name, arg_min(file_id, n) file_id from nth join lives using (batch_id, n) group by batch_id, original_file_name, began""",
     "str5_authentication_failures": """with failed as (select * from events where event_type = 'error' and event_id % 11 <> 0 and event_id % 13 <> 0)
        select * from (select date_trunc('day', ts)::timestamp window_start, '10.0.0.'||(user_id % 5) address, '/'||(user_id % 3) endpoint, 'POST' "method", count(*) failures from failed group by all)
        where window_start + interval 1 day <= (select max(ts) from failed) - interval 10 minute""",
