@@ -133,6 +133,11 @@ def is_terminal(status: Column | str = "status") -> Column:
     return (F.col(status) if isinstance(status, str) else status).isin(*TERMINAL)
 
 
-def metadata_is(errors: DataFrame, path: str, value, kind: str = "string") -> DataFrame:
-    """FIL17: a value inside the metadata; rows without it or with broken JSON do not match."""
-    return errors.filter(F.try_variant_get(F.try_parse_json("metadata"), path, kind) == F.lit(value))
+def metadata_is(errors: DataFrame, path: str, value, kind: str = "string", column: str = "metadata") -> DataFrame:
+    """FIL17: a value inside the metadata; rows without it or with broken JSON do not match.
+
+    On a variant ``column``, as SNK4 stores it, the field alone is read and the
+    predicate goes to the scan; on text every row is parsed.
+    """
+    whole = F.col(column) if errors.schema[column].dataType.typeName() == "variant" else F.try_parse_json(column)
+    return errors.filter(F.try_variant_get(whole, path, kind) == F.lit(value))

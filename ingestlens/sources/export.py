@@ -64,6 +64,10 @@ def _with_header(rows: DataFrame, header: str) -> DataFrame:
 
 
 def write_landing(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """SNK5: ``account_id/domain/d/t`` folders by the batch's start (``started_at``)."""
+    """SNK5: ``account_id/domain/d/t`` folders by the batch's start (``started_at``).
+
+    A folder's rows are one file unless they are so many that adaptive execution cuts them over tasks.
+    """
+    keys = ("account_id", "domain", "d", "t")
     placed = rows.withColumns({"d": F.date_format("started_at", "yyyy-MM-dd"), "t": F.date_format("started_at", "HH-mm")})
-    placed.repartition("account_id", "domain", "d", "t").write.mode("append").partitionBy("account_id", "domain", "d", "t").format(fmt).save(path)
+    placed.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).format(fmt).save(path)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ingestlens.functions import scalars as S
-from ingestlens.operators.quality import with_reasons
 from ingestlens.schemas import CANCELLED, COMPLETED, FAILED, NOT_COMPLETED, TIMEOUT_MINUTES
+from ingestlens.sources.partitions import append_errors
 from ingestlens.streaming.lifecycle import lifecycle_stream
 
 #: LIF6's rows by what they count as.
@@ -48,18 +48,16 @@ def first_files(files: DataFrame, delay: str = "60 minutes", time: str = "upload
 
 
 def ingest_errors(errors: DataFrame, path: str, rejected_path: str, checkpoint: str):
-    """STR3: a query that validates errors and writes them by month, rejected ones apart.
+    """STR3: a query that adds valid errors to SNK4's table of months, and rejected ones apart.
 
-    Each micro-batch has a folder of its own, written in overwrite mode, so a
-    repeated micro-batch replaces what its first try wrote.
+    A micro-batch adds only rows that the table has not, so one that is repeated
+    adds nothing; ``partitions.compact`` joins the small files that many leave.
     """
 
     def write(rows: DataFrame, number: int) -> None:
-        judged = with_reasons(rows, "error_logs").withColumn("ym", S.month_key("occurred_at")).persist()
-        valid = judged.filter(F.size("reasons") == 0).drop("reasons")
-        valid.write.mode("overwrite").partitionBy("ym").parquet(f"{path}/batch={number}")
-        judged.filter(F.size("reasons") > 0).write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
-        judged.unpersist()
+        kept = rows.persist()  # read for its months, and for valid and rejected rows
+        append_errors(kept, path, rejected_path)
+        kept.unpersist()
 
     return errors.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
@@ -71,6 +69,17 @@ def active_per_account(lifecycle: DataFrame) -> DataFrame:
     return counted.groupBy("account_id").agg(F.sum(change).alias("active_batches"))
 
 
+def add_changes(rows: DataFrame, number: int, path: str, versions: int | None = 2) -> None:
+    """STR4: version ``number`` of the counts at ``path``: those of version ``number - 1`` and the changes in ``rows``."""
+    place = lambda n: f"{path}/place={n if versions is None else n % versions}"
+    total = active_per_account(rows)
+    if number:
+        before = rows.sparkSession.read.parquet(place(number - 1)).select("account_id", "active_batches")
+        total = before.unionByName(total).groupBy("account_id").agg(F.sum("active_batches").alias("active_batches"))
+    # A row an account: few, and one file a version.
+    total.withColumn("version", F.lit(number).cast("long")).coalesce(1).write.mode("overwrite").parquet(place(number))
+
+
 def active_counts(lifecycle: DataFrame, path: str, checkpoint: str, versions: int | None = 2):
     """STR4: a query that keeps the open batches per account up to date with LIF6's stream.
 
@@ -79,18 +88,7 @@ def active_counts(lifecycle: DataFrame, path: str, checkpoint: str, versions: in
     reads the same version and replaces its own, so nothing is counted twice.
     ``versions`` places are used in turn; with None all stay, as a history.
     """
-
-    def place(number: int) -> str:
-        return f"{path}/place={number if versions is None else number % versions}"
-
-    def write(rows: DataFrame, number: int) -> None:
-        total = active_per_account(rows)
-        if number:
-            before = rows.sparkSession.read.parquet(place(number - 1)).select("account_id", "active_batches")
-            total = before.unionByName(total).groupBy("account_id").agg(F.sum("active_batches").alias("active_batches"))
-        # A row an account: few, and one file a version.
-        total.withColumn("version", F.lit(number).cast("long")).coalesce(1).write.mode("overwrite").parquet(place(number))
-
+    write = lambda rows, number: add_changes(rows, number, path, versions)
     return lifecycle.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
