@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ingestlens.operators.stats import page_totals
@@ -25,7 +26,7 @@ def _order(column: str, ascending: bool, key: str) -> list:
 
 
 def page(df: DataFrame, key: str, number: int = 0, size: int = 20, sort: str = "createdAt,desc") -> DataFrame:
-    """PAG1: page ``number`` from 0. For deep pages use :func:`page_after`."""
+    """PAG1: page ``number`` from 0. For deep pages use :func:`page_after` or :func:`ranked_page`."""
     if number < 0 or size <= 0:
         raise ValueError("page must not be negative and size must be positive")
     column, ascending = parse_sort(sort, df.columns)
@@ -57,6 +58,47 @@ def page_after(df: DataFrame, key: str, after: tuple | None = None, size: int =
     return df.orderBy(*_order(column, ascending, key)).limit(size)
 
 
+def build_rank_index(df: DataFrame, key: str, path: str, sort: str = "createdAt,desc") -> None:
+    """The rows of ``df`` stored by ranges of the sort order, for :func:`ranked_page`: ``rows``, and the ``counts`` of every range.
+
+    A range is what one task of the sort holds. The counts are one row a range.
+    """
+    column, ascending = parse_sort(sort, df.columns)
+    order = _order(column, ascending, key)
+    placed = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    placed.sortWithinPartitions("_range", *order).write.partitionBy("_range").parquet(f"{path}/rows")
+    counts = df.sparkSession.read.parquet(f"{path}/rows").groupBy("_range").agg(F.count("*").alias("n"))
+    counts.coalesce(1).write.parquet(f"{path}/counts")
+
+
+def ranked_page(spark: SparkSession, path: str, key: str, number: int = 0, size: int = 20, sort: str = "createdAt,desc", totals: bool = False) -> DataFrame:
+    """PAG1 and, with ``totals``, PAG3 from :func:`build_rank_index` (same ``key`` and ``sort``): any page reads only the ranges that hold it.
+
+    The counts come to the driver, one number a range; rows are numbered within
+    each of the one or two ranges (more if ``size`` is larger than a range).
+    """
+    if number < 0 or size <= 0:
+        raise ValueError("page must not be negative and size must be positive")
+    counts = {r["_range"]: r["n"] for r in spark.read.parquet(f"{path}/counts").collect()}
+    first, ahead, wanted, starts = number * size, 0, [], {}
+    for r in sorted(counts):
+        if ahead < first + size and ahead + counts[r] > first:
+            wanted.append(r)
+            starts[r] = ahead
+        ahead += counts[r]
+    stored = spark.read.parquet(f"{path}/rows")
+    columns = [c for c in stored.columns if c != "_range"]
+    column, ascending = parse_sort(sort, columns)
+    rows = stored.filter(F.col("_range").isin(wanted)) if wanted else stored.limit(0)
+    start = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])[F.col("_range")] if starts else F.lit(0)
+    nth = F.row_number().over(W.partitionBy("_range").orderBy(*_order(column, ascending, key))) - 1 + start
+    page_ = rows.withColumn("_nth", nth).filter((F.col("_nth") >= first) & (F.col("_nth") < first + size)).orderBy("_nth").select(*columns)
+    if not totals:
+        return page_
+    head = {"page": number, "size": size, "total_elements": ahead, "total_pages": -(-ahead // size)}
+    return page_.withColumns({n: F.lit(v).cast("int" if n in ("page", "size") else "long") for n, v in head.items()})
+
+
 def latest_batches(batches: DataFrame) -> DataFrame:
     """PAG5: the newest batch of every site."""
     row = F.struct(*batches.columns)

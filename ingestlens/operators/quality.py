@@ -174,25 +174,37 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.filter(F.col(key).isNotNull()).join(parent.select(key), key, "left_anti")
 
 
+#: VAL8: each table's own key and the keys by which its rows name others, all as (kind of key, column, name of the reference).
+REFERENCES = {
+    "accounts": [("account", "account_id", None)],
+    "sites": [("site", "site_id", None), ("account", "account_id", "site.account")],
+    "batches": [("batch", "batch_id", None), ("site", "site_id", "batch.site"), ("account", "account_id", "batch.account")],
+    "files": [("batch", "batch_id", "file.batch")],
+    "errors": [("site", "site_id", "error.site"), ("batch", "batch_id", "error.batch")],
+}
+
+
 def referential_report(accounts: DataFrame, sites: DataFrame, batches: DataFrame, files: DataFrame, errors: DataFrame) -> DataFrame:
-    """VAL8: violations of every reference, counted; rows are counted per key before the join, so that a frequent key is one row of it."""
-    checks = [
-        ("site.account", sites, accounts, "account_id"),
-        ("batch.site", batches, sites, "site_id"),
-        ("batch.account", batches, accounts, "account_id"),
-        ("file.batch", files, batches, "batch_id"),
-        ("error.site", errors, sites, "site_id"),
-        ("error.batch", errors, batches, "batch_id"),
-    ]
-    violations = F.coalesce(F.sum("n"), F.lit(0)).alias("violations")
-    counts = [
-        orphans(child.groupBy(key).agg(F.count("*").alias("n")), parent, key).agg(F.lit(name).alias("reference"), violations)
-        for name, child, parent, key in checks
-    ]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    """VAL8: ``reference, violations`` of every reference, from one scan of each table and one shuffle.
+
+    Owners and references of a key meet in one aggregation: a bit says which of
+    them it has seen (0: its owner), and a map-side count per (key, reference)
+    makes a frequent key a row a task. Keys are compared as text; null refers to nothing.
+    """
+    names = [name for keys in REFERENCES.values() for _, _, name in keys if name]
+    tagged = None
+    for table, rows in zip(REFERENCES, (accounts, sites, batches, files, errors), strict=True):
+        keys = [
+            F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("key"), F.lit(names.index(name) + 1 if name else 0).alias("role"))
+            for kind, c, name in REFERENCES[table]
+        ]
+        own = rows.select(F.explode(F.array(*keys)).alias("k")).select("k.*").filter("key is not null")
+        tagged = own if tagged is None else tagged.unionByName(own)
+    counts = [F.count_if(F.col("role") == i + 1).alias(f"n{i}") for i in range(len(names))]
+    met = tagged.groupBy("kind", "key").agg(F.bit_or(F.when(F.col("role") == 0, 1).otherwise(0)).alias("owned"), *counts)
+    lost = met.agg(*[F.coalesce(F.sum(F.when(F.col("owned") == 0, F.col(f"n{i}"))), F.lit(0)).alias(f"n{i}") for i in range(len(names))])
+    rows = F.array(*[F.struct(F.lit(name).alias("reference"), F.col(f"n{i}").alias("violations")) for i, name in enumerate(names)])
+    return lost.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def storage_difference(files: DataFrame, stored: DataFrame) -> DataFrame:
@@ -226,11 +238,16 @@ def tenancy_audit(accounts: DataFrame, sites: DataFrame, batches: DataFrame, err
 
 
 def content_duplicates(files: DataFrame, batches: DataFrame) -> DataFrame:
-    """VAL11: digests of several files, with the numbers of files, batches and sites."""
-    joined = files.join(batches.select("batch_id", "site_id"), "batch_id")
-    return joined.groupBy(F.lower("checksum").alias("checksum")).agg(
-        F.count("*").alias("files"), F.count_distinct("batch_id").alias("batches"), F.count_distinct("site_id").alias("sites")
-    ).filter("files > 1")
+    """VAL11: digests of several files, with the numbers of files, batches and sites.
+
+    Counted by (digest, batch), then by (digest, site), then by digest: each step
+    is combined before it is moved, so a digest of very many files is a few rows.
+    """
+    joined = files.join(batches.select("batch_id", "site_id"), "batch_id").withColumn("checksum", F.lower("checksum"))
+    per_batch = joined.groupBy("checksum", "site_id", "batch_id").agg(F.count("*").alias("files"))
+    per_site = per_batch.groupBy("checksum", "site_id").agg(F.sum("files").alias("files"), F.count("*").alias("batches"))
+    whole = per_site.groupBy("checksum").agg(F.sum("files").alias("files"), F.sum("batches").alias("batches"), F.count("site_id").alias("sites"))
+    return whole.filter("files > 1")
 
 
 def incoherent(batches: DataFrame) -> DataFrame:

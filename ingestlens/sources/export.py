@@ -44,17 +44,16 @@ def write_csv(errors: DataFrame, path: str, dialect: str = "admin", single_file:
     """SNK1-3: text parts in order, newest first, each with the header; an export without rows is a part with the header only.
 
     Parts are ranges of time, so no task sorts everything; ``single_file`` is
-    for small exports and takes one task.
+    for small exports: what is before the sort keeps its tasks, the sort has one.
     """
     header, columns = DIALECTS[dialect]
     order = [F.col("occurred_at").desc(), F.col("error_id").desc()]
-    placed = errors.coalesce(1) if single_file else errors.repartitionByRange(*order)
+    placed = errors.repartitionByRange(1, *order) if single_file else errors.repartitionByRange(*order)
     rows = placed.sortWithinPartitions(*order).select(F.concat_ws(",", *map(_field, columns)).alias("value"))
-    if errors.isEmpty():
-        rows = errors.sparkSession.range(1).select(F.lit(header).alias("value"))
-    else:
-        rows = _with_header(rows, header)
-    rows.write.text(path)
+    _with_header(rows, header).write.text(path)
+    spark = errors.sparkSession
+    if spark.read.text(path).isEmpty():  # what was written is looked at, the input is not run again
+        spark.range(1).select(F.lit(header).alias("value")).write.mode("overwrite").text(path)
 
 
 def _with_header(rows: DataFrame, header: str) -> DataFrame:

@@ -11,10 +11,10 @@ from ingestlens.schemas import EVENTS, TABLES
 
 
 def load_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet", **options) -> DataFrame:
-    """SRC1: one table below ``path``; other formats, such as ``jdbc``, take their own options."""
-    if fmt == "parquet":
-        return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
-    return spark.read.format(fmt).options(**options).load()
+    """SRC1: one table below ``path``, with the model's schema; ``jdbc`` has its own and takes its own options."""
+    if fmt == "jdbc":
+        return spark.read.format(fmt).options(**options).load()
+    return spark.read.schema(TABLES[name]).format(fmt).options(**options).load(f"{path}/{name}")
 
 
 def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
