@@ -175,6 +175,7 @@ def _across(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
         order = np.argsort(side, kind="stable")
         ids, comps = (table_.column(c).to_pylist() for c in ("id", "comp"))
         texts = table_.column("text").to_pylist()
+        comps = [tuple(c.values()) if isinstance(c, dict) else c for c in comps]
         ids, comps, texts = ([x[i] for i in order] for x in (ids, comps, texts))
         sets = [S.shingle_set(t, shingle) for t in texts]
         sizes = np.array([len(s) for s in sets])
@@ -225,13 +226,18 @@ def _maybe_among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75
 ) -> DataFrame:
-    """One row per row of ``docs``: ``id, n_shingles, component_id, kept``.
+    """One row per row of ``docs``: ``id, n_shingles, component_id, kept``, and ``text_hash, first`` to tell rows of one id apart.
 
     Documents whose sets of ``shingle``-word shingles have a Jaccard similarity
     of ``percent`` per cent or more are linked; a component is named by its
     smallest id, which is the one kept. Equal sets are one node throughout.
-    Null texts and texts without words have no shingles and no links. Rows with
-    the same id are one node; rows without id are never linked and each stays.
+    Null texts and texts without words have no shingles and no links. A node is
+    an id with a text: rows that agree in both are one, rows of one id with
+    unlike texts are linked each for itself. ``first`` is whether the row's node
+    is the least of its component, so of several rows of the kept id only one
+    text's are. Rows without id are never linked and each stays. Columns of
+    ``docs`` other than these two are ignored, whatever their names; an empty
+    table gives an empty result.
 
     Work on a bucket is linear in its size: its members are verified against its
     two ends only. What that leaves apart inside a cluster of candidates is
@@ -242,6 +248,9 @@ def near_groups(
     sets, so no link depends on which document was the pivot. Ids may be of any
     type that can be ordered.
     """
+    node = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    docs = docs.select(F.when(F.col(id_col).isNotNull(), node).alias("node"), F.col(text_col).alias("text"))
+    id_col, text_col = "node", "text"
     sketched = stored(sketches(docs, id_col, text_col, shingle), "sketches")
     filled = sketched.filter("n > 0 and id is not null")
     classes = stored(
@@ -295,16 +304,18 @@ def near_groups(
         .join(by_class, ["set_a", "set_b"], "left")
         .withColumn("component", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")))
         .select(
-            "id",
+            "id.id",
             F.col("n").alias("n_shingles"),
-            F.col("component").alias("component_id"),
-            F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+            F.col("component.id").alias("component_id"),
+            F.col("id.id").eqNullSafe(F.col("component.id")).alias("kept"),
+            "id.text_hash",
+            F.col("id").eqNullSafe(F.col("component")).alias("first"),
         )
     )
 
 
 def op3_near_dedup(spark, sf_dir):
-    return near_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return near_groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 #: Every pair of documents that share a shingle is counted exactly; for small tables.

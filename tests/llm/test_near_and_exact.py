@@ -131,6 +131,23 @@ def test_template_pages_are_not_compared(spark, monkeypatch):
     assert max(seen) < 40
 
 
+def test_near_two_texts_of_one_id(spark):
+    """An id with two texts has the links of both, and only rows that are like another go."""
+    import corpus_pipeline
+
+    base = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, base(1)), (5, base(1) + " more"), (5, base(2)), (7, base(2) + " more"), (7, base(2) + " more"), (9, base(3)), (9, base(3) + " more"), (None, base(3))]
+    got = near_dedup.near_groups(frame(spark, rows))
+    assert sorted((r["id"] or 0, r["component_id"] or 0) for r in got.collect()) == [(0, 0), (1, 1), (5, 1), (5, 5), (7, 5), (7, 5), (9, 9), (9, 9)]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_near(spark, docs, SMALL).collect()]
+    assert sorted(left, key=str)[:3] == sorted([(1, base(1)), (5, base(2))] + [r for r in left if r[0] == 9], key=str) and len(left) == 4
+    # Many ids with two texts each, each text with a near copy: every link is found.
+    many = [(k, base(100 + k)) for k in range(20)] + [(k, base(200 + k)) for k in range(20)] + [(100 + k, base(100 + k) + " a") for k in range(20)] + [(200 + k, base(200 + k) + " b") for k in range(20)]
+    found = {r["id"]: r["component_id"] for r in near_dedup.near_groups(frame(spark, many)).collect()}
+    assert all(found[100 + k] == k and found[200 + k] == k for k in range(20))
+
+
 def test_near_text_ids(spark):
     rows = [(f"k{i}", f"one two three four five six seven eight {'x' * (i % 2)} nine") for i in range(6)]
     got = {r["id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
