@@ -25,10 +25,13 @@ def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; documents without shingles stay."""
+    """Of each group of near duplicates the document with the smallest id; documents without shingles or without id stay.
+
+    Rows are dropped by id and text, so a row that is like no other stays even if its id has another text that goes.
+    """
     groups = near_dedup.near_groups(docs)
-    dropped = groups.filter("not kept").select(F.col("id").alias("doc_id"))
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = groups.filter("not first").select(F.col("id").alias("doc_id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.withColumn("__hash", F.xxhash64("text")).join(dropped, ["doc_id", "__hash"], "left_anti").select(*docs.columns)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
