@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ingestlens.operators.stats import page_totals
 
@@ -67,10 +68,17 @@ def build_rank_index(df: DataFrame, key: str, path: str, sort: str = "createdAt,
     order = _order(column, ascending, key)
     placed = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
     placed.sortWithinPartitions("_range", *order).write.partitionBy("_range").parquet(f"{path}/rows")
-    counts = df.sparkSession.read.parquet(f"{path}/rows").groupBy("_range").agg(F.count("*").alias("n"))
+    df.limit(0).write.parquet(f"{path}/schema")
+    stored = _indexed_rows(df.sparkSession, path)
+    counts = stored.groupBy("_range").agg(F.count("*").alias("n"))
     counts.coalesce(1).write.parquet(f"{path}/counts")
 
 
+def _indexed_rows(spark: SparkSession, path: str) -> DataFrame:
+    schema = spark.read.parquet(f"{path}/schema").schema.add("_range", T.IntegerType())
+    return spark.read.schema(schema).parquet(f"{path}/rows")
+
+
 def ranked_page(spark: SparkSession, path: str, key: str, number: int = 0, size: int = 20, sort: str = "createdAt,desc", totals: bool = False) -> DataFrame:
     """PAG1 and, with ``totals``, PAG3 from :func:`build_rank_index` (same ``key`` and ``sort``): any page reads only the ranges that hold it.
 
@@ -86,7 +94,7 @@ def ranked_page(spark: SparkSession, path: str, key: str, number: int = 0, size:
             wanted.append(r)
             starts[r] = ahead
         ahead += counts[r]
-    stored = spark.read.parquet(f"{path}/rows")
+    stored = _indexed_rows(spark, path)
     columns = [c for c in stored.columns if c != "_range"]
     column, ascending = parse_sort(sort, columns)
     rows = stored.filter(F.col("_range").isin(wanted)) if wanted else stored.limit(0)
