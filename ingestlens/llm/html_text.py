@@ -50,6 +50,9 @@ ASIDE = re.compile(
     |comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|login|signup|search|skip|complementary|contentinfo)(?=$|[-_\s\d])""",
     re.X | re.I,
 )
+#: Of these, what is never the article, however long and however much prose: reader comments and page footers.
+COMMENTS = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|disqus|respond|replies|reply|footer|contentinfo)(?=$|[-_\s\d])", re.I)
+NEVER = frozenset("nav footer aside menu dialog".split())
 #: Class and id parts that name the article in spite of a word above (as ``header`` of an article).
 ARTICLE = re.compile(r"(?:^|[-_\s])(?:article|post|entry|story|main|content)(?:[-_](?:body|text|content|header|title))?(?=$|\s)", re.I)
 
@@ -63,16 +66,17 @@ _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style
 
 #: First-pass bounds: link density from which a block is boilerplate; characters of a short and a long block; stop-word densities.
 LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 70, 200, 0.15, 0.28
-#: Stop-word density below which a block of middle length outside the article is no prose.
+#: Stop-word density below which a block of middle length beside an article is no prose; where no article is marked it is half of STOP_LOW.
 STOP_NONE = 0.1
 #: Link density beyond which a block is a list of links wherever it stands.
 MOSTLY = 0.8
-#: The same by place: lower within the article, higher beside an article with most of the page's text, highest where marks speak against a block.
+#: Plain text that makes an article within an element believed against the element's own mark.
+ENOUGH = 3 * LONG
+#: The bounds by place: lower within the article, higher beside an article with most of the page's text.
 BOUNDS = {
     "in": (LINKS, SHORT, SHORT, STOP_LOW / 2, STOP_LOW),
     "": (LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH),
     "beside": (LINKS / 2, SHORT, 2 * LONG, STOP_LOW, STOP_HIGH),
-    "out": (LINKS / 2, 3 * LONG, 3 * LONG, STOP_HIGH, STOP_HIGH),
 }
 
 
@@ -87,9 +91,10 @@ class Block:
 
 
 def _marks(name: str, attributes: str, within: bool) -> str | None:
-    """What an element says of its content: ``out``, ``in`` (``main`` if there is one such), ``gone`` (not displayed) or nothing.
+    """What an element says of its content: ``never``, ``out``, ``in`` (``main`` if there is one such), ``gone`` (not displayed) or nothing.
 
-    ``within`` an article a header is its title's.
+    ``never`` is ``out`` that no length of text speaks against. ``within`` an
+    article a header is its title's, and an article is a comment if it is named so.
     """
     values = {}
     if attributes:
@@ -97,15 +102,18 @@ def _marks(name: str, attributes: str, within: bool) -> str | None:
             values[m[1].lower()] = next((x for x in m.groups()[1:] if x is not None), "")
     if "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I):
         return "gone"
+    named = " ".join(v for k, v in values.items() if k in ("class", "id", "role"))
+    never = bool(named) and name not in ("html", "body", "main") and COMMENTS.search(named) and not ARTICLE.search(named)
+    if never:
+        return "never"
     if name in ("article", "main") or values.get("role") in ("main", "article"):
         return "main" if "main" in (name, values.get("role")) else "in"
     if name == "header" and within:
         return None
     if name in FRAME:
-        return "out"
+        return "never" if name in NEVER else "out"
     if name in ("html", "body"):
         return None
-    named = " ".join(v for k, v in values.items() if k in ("class", "id", "role"))
     if named and ASIDE.search(named):
         return None if ARTICLE.search(named) else "out"
     return None
@@ -117,7 +125,8 @@ def _places(found: list[Block], nodes: list[tuple[int, str]]) -> None:
     ``nodes`` are the marked elements as (parent, mark), parents first. An
     ``out`` element is not believed if it holds the article: a <main>, half of
     all text in articles (more of it than a long block that is marked ``out``
-    must have), or half of the page's text with no article elsewhere.
+    must have), or half of the page's text with no article elsewhere. A
+    ``never`` element is, unless it holds a <main> or, so opened within it, half of all articles' text.
     """
     text = [0] * len(nodes)  # of each element: plain text
     article = [0] * len(nodes)  # plain text within articles, itself included
@@ -131,7 +140,7 @@ def _places(found: list[Block], nodes: list[tuple[int, str]]) -> None:
             main[b.node] = nodes[b.node][1] == "main" or main[b.node]
     for i in range(len(nodes) - 1, -1, -1):
         parent, mark = nodes[i]
-        article[i] = text[i] if mark != "out" else inner[i]
+        article[i] = text[i] if mark not in ("out", "never") else inner[i]
         main[i] |= inner_main[i] or mark == "main" and text[i] > 0
         if parent >= 0:
             text[parent] += text[i]
@@ -142,9 +151,9 @@ def _places(found: list[Block], nodes: list[tuple[int, str]]) -> None:
     state = []  # of each element: whether a believed mark says out, and whether one says in
     for i, (parent, mark) in enumerate(nodes):
         out, within = state[parent] if parent >= 0 else (False, False)
-        if mark != "out":
+        if mark not in ("out", "never"):
             within = True
-        elif not (inner_main[i] or 2 * inner[i] > articles and inner[i] >= BOUNDS["out"][1] or 2 * text[i] > total and inner[i] == articles):
+        elif not (inner_main[i] or 2 * inner[i] > articles and inner[i] >= ENOUGH or mark == "out" and 2 * text[i] > total and inner[i] == articles):
             out = True
         state.append((out, within))
     for b in found:
@@ -270,22 +279,23 @@ def classify(found: list[Block]) -> None:
     plain = {where: sum(len(b.text) - b.linked for b in found if b.place == where) for where in ("in", "")}
     beside = "beside" if plain["in"] > plain[""] else ""
     for b in found:  # first pass
+        if b.place == "out":  # what the marks exclude is excluded at any length
+            b.good = False
+            continue
         links, short, long, low, high = BOUNDS[b.place or beside]
         share = b.linked / max(1, len(b.text))
         # Within the article, and in long prose anywhere, a linked part does not speak against the rest.
-        prose = share <= MOSTLY and _density(b.text) >= (low if b.place == "in" else high) and (b.place == "in" or len(b.text) >= long)
-        if share > links and not (prose and b.place != "out"):
-            b.good = False
+        stop = _density(b.text)
+        prose = share <= MOSTLY and stop >= (low if b.place == "in" else high) and (b.place == "in" or len(b.text) >= long)
+        if share > links and not prose:
+            b.good = None if b.place == "in" else False
         elif len(b.text) < short:
-            b.good = False if b.place == "out" else None
+            b.good = None
         else:
-            stop = _density(b.text)
             if stop >= low:
-                b.good = True if len(b.text) >= long or b.place != "out" and beside == "" and stop >= high else None
-            elif b.place == "out":
-                b.good = False
+                b.good = True if len(b.text) >= long or beside == "" and stop >= high else None
             else:
-                b.good = False if not b.place and not b.linked and stop < STOP_NONE and len(b.text) < LONG else None
+                b.good = False if not b.place and not b.linked and stop < (STOP_NONE if beside else STOP_LOW / 2) and len(b.text) < LONG else None
     decided = [i for i, b in enumerate(found) if b.good is not None]
     for i, b in enumerate(found):  # second pass
         if b.good is not None:
@@ -294,6 +304,9 @@ def classify(found: list[Block]) -> None:
         sides = [j for j in (decided[k - 1] if k else None, decided[k] if k < len(decided) else None) if j is not None]
         # A neighbour in the same place counts before one elsewhere; the article and what stands beside it do not inherit from each other.
         same = [j for j in sides if found[j].place == b.place]
+        if b.linked > LINKS * len(b.text) and b.place == "in":  # a reference stands between parts of the article; at its ends links are a menu
+            b.good = len(same) == 2 and all(found[j].good for j in same)
+            continue
         sides = same or ([] if b.place == "in" or beside and not b.heading else sides)
         if not sides and beside and not b.place:
             b.good = len(b.text) >= LONG and _density(b.text) >= STOP_HIGH

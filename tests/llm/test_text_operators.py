@@ -193,6 +193,33 @@ def test_article_is_no_veto(monkeypatch):
     assert html_text.main_text(f"<article><p>{body}</p></article><div><p>{body} {body}</p></div>") == f"{body}\n{body} {body}"
 
 
+COMMENT = "I think that it is a very good idea and I hope they will do it as soon as they can because the road is not safe for the children of the town. " * 6
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article>{body}</article><section class='comments'><p>{c}</p></section>",
+        "<article>{body}<div id='comments'><p>{c}</p></div></article>",
+        "<div>{body}</div><section class='comments'><p>{c}</p><p>{c}</p><p>{c}</p></section>",
+        "<article>{body}</article><div class='comments'><article class='comment'><p>{c}</p></article><article class='comment'><p>{c} {c}</p></article></div>",
+        "<article>{body}</article><footer><p>{c}</p></footer>",
+        "<div>{body}</div><footer><p>{c}</p><p>{c}</p></footer>",
+        "<aside><p>{c}</p></aside><main>{body}</main>",
+    ],
+)
+def test_comments_and_footers_are_out_at_any_length(page):
+    text = html_text.main_text(page.format(body=f"<p>{GOOD} {GOOD}</p><p>{GOOD}</p>", c=COMMENT))
+    assert text == f"{GOOD} {GOOD}\n{GOOD}"
+
+
+def test_linked_paragraphs_of_an_article_stay():
+    link = "<p><a href='r'>Read the whole report of the council on its own pages here</a></p>"
+    refs = "<ul><li><a href=1>First reference</a></li><li><a href=2>Second reference</a></li></ul>"
+    text = html_text.main_text(f"<nav><a href=x>Home</a></nav><article><p>{GOOD}</p>{link}<p>{GOOD}</p>{refs}<p>{GOOD}</p></article>")
+    assert text.split("\n") == [GOOD, "Read the whole report of the council on its own pages here", GOOD, "First reference", "Second reference", GOOD]
+
+
 @pytest.mark.parametrize("around", ["body class='right-sidebar'", "div class='page with-sidebar'", "div class='two-column sidebar-left'", "div class='no-cookies'", "form"])
 @pytest.mark.parametrize("kind", ["article", "main", "div"])
 def test_wrappers_do_not_empty_the_page(around, kind):
