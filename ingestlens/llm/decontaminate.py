@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from ingestlens.llm.common import lower_ascii, stored, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Benchmark shingles up to this number are broadcast (8 bytes each and a hash slot); more are joined by shuffle,
-#: which then carries a row's number, a place and a hash for every word, never words.
+#: Benchmark shingles up to this number are broadcast (8 bytes each and a hash slot); of more, a Bloom filter is.
 BROADCAST_ROWS = 500_000
+#: Longs of that filter at most (8 MB): up to 4 million shingles it lets some 0.3 % of other words pass, beyond them more; the result is the same.
+FILTER_LONGS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -49,9 +50,35 @@ def _places(windows: DataFrame, shingle: int) -> DataFrame:
     return rows.withColumn("h", h)
 
 
-def wanted_places(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``row, pos, h`` of the words in ``hashed`` at which a shingle of ``wanted`` (h) begins, by shuffle of these columns only."""
-    return hashed.select("row", "pos", "h").join(wanted.hint("shuffle_merge"), "h").select("row", "pos", "h")
+def _filter_bits(h: Column) -> Column:
+    """The four bits that a hash sets in its long of the Bloom filter."""
+    other = F.xxhash64(h)
+    bit = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(other, 6 * j), F.lit(64)).cast("int"))
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
+
+
+def bloom_filter(wanted: DataFrame, n_wanted: int) -> tuple[Column, int]:
+    """A Bloom filter of ``wanted`` (h) as an array of longs and their number, at most ``FILTER_LONGS``: a long for two shingles."""
+    n = max(1, min(FILTER_LONGS, n_wanted // 2))
+    none = wanted.sparkSession.range(n).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
+    some = wanted.select(F.pmod("h", F.lit(n)).alias("at"), _filter_bits(F.col("h")).alias("bits"))
+    longs = stored(some.unionAll(none).groupBy("at").agg(F.bit_or("bits").alias("bits")), "bloom-filter")
+    return longs.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"])).scalar(), n
+
+
+def may_be_wanted(h: Column, bloom: tuple[Column, int]) -> Column:
+    longs, n = bloom
+    bits = _filter_bits(h)
+    return F.get(longs, F.pmod(h, F.lit(n)).cast("int")).bitwiseAND(bits) == bits
+
+
+def item_classes(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``w, class`` and ``class, item_id``: windows that stand in the same items are one class, so that many
+    documents with one window of many items meet the window's class, not its items."""
+    each = windows.select("w", F.col("item_id").cast("string").alias("item_id")).distinct()
+    members = [F.bit_xor(F.xxhash64(F.lit(seed), "item_id")) for seed in (0, 1)]
+    of = stored(each.groupBy("w").agg(F.struct(F.count("*").alias("n"), *[m.alias(f"x{i}") for i, m in enumerate(members)]).alias("class")), "item-classes")
+    return of, of.groupBy("class").agg(F.min("w").alias("w")).join(each, "w").select("class", "item_id")
 
 
 def find_contamination(
@@ -68,7 +95,10 @@ def find_contamination(
 
     A word is hit if it lies inside any occurrence of any window. Null and empty
     texts have no words and no hits; repeated rows are answered one by one;
-    items without words have no windows; an empty ``items`` hits nothing.
+    items without words have no windows; an empty ``items`` hits nothing, empty
+    ``docs`` give no rows. A very long text is the work of one task, which only the
+    words near a benchmark shingle leave. The columns are fixed, so further
+    columns of ``docs`` and ``items`` cannot clash.
     ``items_sha256`` digests the ids of the items found, sorted as strings and
     joined by commas.
     """
@@ -76,7 +106,7 @@ def find_contamination(
     places = _places(windows, shingle)
     wanted = places.select("h").distinct()
     sizes = sorted(r["k"] for r in windows.select("k").distinct().collect()) or [shingle]
-    few = wanted.count() <= BROADCAST_ROWS
+    n_wanted = wanted.count()
 
     base = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -84,8 +114,6 @@ def find_contamination(
         F.xxhash64(text_col).alias("text_hash"),
         words_of(F.col(text_col)).alias("words"),
     )
-    if not few:  # the rows are read again below, must keep their numbers and need no second splitting
-        base = stored(base, "numbered")
 
     # Place -1 stands for the document itself, so that one reading gives both its word count and its hits.
     at = base.select("row", "id", "text_hash", "words", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("pos"))
@@ -106,14 +134,11 @@ def find_contamination(
         F.when(~is_doc, around).alias("first"),
         F.when(~is_doc, F.slice("words", around + 1, 2 * window - 1)).alias("near"),
     ]
-    marked = wanted.withColumn("wanted", F.lit(True))
-    if few:
-        found = hashed.join(F.broadcast(marked), "h", "left").filter(is_doc | F.col("wanted")).select(*out)
-    else:
-        met = wanted_places(hashed.filter(~is_doc), wanted).groupBy("row").agg(F.collect_list(F.struct("pos", "h")).alias("met"))
-        again = base.join(met, "row").select("row", "id", "text_hash", "words", F.inline("met"))
-        heads = base.select("row", "id", "text_hash", "words", F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("h"))
-        found = heads.unionByName(again).select(*out)
+    if n_wanted <= BROADCAST_ROWS:
+        marked = F.broadcast(wanted.withColumn("wanted", F.lit(True)))
+        found = hashed.join(marked, "h", "left").filter(is_doc | F.col("wanted")).select(*out)
+    else:  # what passes the filter wrongly meets no window below
+        found = hashed.filter(is_doc | may_be_wanted(F.col("h"), bloom_filter(wanted, n_wanted))).select(*out)
     found = stored(found, "shingle-hits")
     heads = found.filter("pos < 0").dropDuplicates(["row"]).select("row", "id", "text_hash", "n_words")
     hits = found.filter("pos >= 0").select("row", "n_words", "pos", "h", "first", "near")
@@ -140,14 +165,15 @@ def find_contamination(
         .groupBy("row")
         .agg(F.count("*").alias("n_hit"))
     )
-    items_hit = (
-        occurs.select("row", "w").distinct()
-        .join(windows.select("w", F.col("item_id").cast("string").alias("item_id")).distinct(), "w")
-        .select("row", "item_id")
-        .distinct()
-        .groupBy("row")
-        .agg(F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("ids"), F.count("item_id").alias("n_items"))
-    )
+    # Documents with the same classes of windows have the same items, which are put together once for all of them.
+    class_of, members = item_classes(windows)
+    per_row = occurs.select("row", "w").distinct().join(class_of, "w").groupBy("row").agg(F.sort_array(F.collect_set("class")).alias("classes"))
+    per_row = stored(per_row.withColumn("same", F.sha2(F.to_json("classes"), 256)), "classes-hit")
+    sets = per_row.groupBy("same").agg(F.first("classes").alias("classes"))
+    found_items = sets.select("same", F.explode("classes").alias("class")).join(members, "class").select("same", "item_id").distinct()
+    ids = F.array_join(F.sort_array(F.collect_list("item_id")), ",")
+    digests = found_items.groupBy("same").agg(F.sha2(ids.cast("binary"), 256).alias("ids"), F.count("item_id").alias("n_items"))
+    items_hit = per_row.select("row", "same").join(digests, "same").drop("same")
     return (
         heads.join(words_hit, "row", "left")
         .join(items_hit, "row", "left")
@@ -157,7 +183,7 @@ def find_contamination(
             F.col("n_words").cast("long").alias("n_words"),
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-            F.sha2(F.coalesce("ids", F.lit("")).cast("binary"), 256).alias("items_sha256"),
+            F.coalesce("ids", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
             F.col("n_hit").isNotNull().alias("contaminated"),
         )
     )

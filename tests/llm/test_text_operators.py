@@ -4,6 +4,7 @@ import re
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from ingestlens.llm import chat, decontaminate, html_text, surrogates
 
@@ -108,6 +109,31 @@ def test_contamination_equals_brute_force(spark, monkeypatch, few):
     assert mine == sorted(want)
 
 
+def test_filter_passes_few_other_words(spark):
+    wanted = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    other = spark.range(20_000, 220_000).select(F.xxhash64("id").alias("h"))
+    bloom = decontaminate.bloom_filter(wanted, 20_000)
+    assert wanted.filter(decontaminate.may_be_wanted(F.col("h"), bloom)).count() == 20_000
+    assert other.filter(decontaminate.may_be_wanted(F.col("h"), bloom)).count() < 1_000
+
+
+def test_one_window_of_many_items_makes_no_pairs(spark, monkeypatch):
+    """300 items and 300 documents share one sentence: no stored table has a row per pair."""
+    import hashlib
+
+    shared = "read the text below and say which answer is the right one"
+    rows, store = [], decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name: (lambda t: rows.append((name, t.count())) or t)(store(df, name)))
+    items = spark.createDataFrame([(i, f"{shared} q{i} a{i}") for i in range(300)] + [(999, "never anywhere")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{shared} q{i} a{i}" if i < 3 else f"intro {i} {shared} outro") for i in range(300)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.find_contamination(docs, items).collect()}
+    digest = hashlib.sha256(",".join(sorted(str(i) for i in range(300))).encode()).hexdigest()
+    assert all((r["n_items"], r["items_sha256"], r["contaminated"]) == (300, digest, True) for r in got.values()) and len(got) == 300
+    assert got[7]["n_hit"] == 12 and got[0]["n_hit"] == 14
+    _, members = decontaminate.item_classes(decontaminate.item_windows(items, "item_id", "text", 10, 5))
+    assert members.count() < 1_000 and dict(rows)["classes-hit"] == 300
+
+
 def test_contamination_empty(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert decontaminate.find_contamination(docs.limit(0), items).count() == 0
