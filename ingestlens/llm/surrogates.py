@@ -14,6 +14,7 @@ attempts, so a format of few values is never used up.
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,7 @@ SYLLABLES = {
 LETTERS = {
     "Cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя",
     "Greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "Armenian": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ",
     "Hebrew": "אבגדהוזחטילמנסעפצקרשת",
     "Arabic": "بتثجحدرزسشصطعفقكلمنهوي",
     "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
@@ -62,9 +64,36 @@ LETTERS = {
     "Thai": "กขคงจฉชซญดตถทธนบปผฝพฟภมยรลวสหอ",
 }
 
+def _alphabets() -> list[str]:
+    """The capitals of every script: today's Latin, accented Latin and today's Russian by themselves, scripts of few capitals together."""
+    found = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŁŠŽ", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
+    taken, scripts = set("".join(found)), {}
+    for c in map(chr, range(0x80, 0x1F000)):
+        if unicodedata.category(c) == "Lu" and c not in taken:
+            scripts.setdefault(unicodedata.name(c).split()[0], []).append(c)
+    rest = "".join(c for letters in scripts.values() if len(letters) < 10 for c in letters)
+    return [*found, *("".join(letters) for letters in scripts.values() if len(letters) >= 10), rest]
+
+
+#: Initials are turned within these, so that distinct ones stay distinct.
+ALPHABETS = _alphabets()
 FEMALE_NAMES = [n.lower() for (gender, _), names in GIVEN.items() if gender == "f" for n in names]
-_TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES)
-_NAME = rf"(?!(?:{_TITLES})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'’-]+"
+#: Titles in other cases; those that are common words or units in them need their full stop.
+CASED_TITLES = "MR MRS DR PROF HERR FRAU MONSIEUR MADAME SEÑOR SEÑORA mr mrs dr prof".split()
+_TITLES = "|".join([*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES, *CASED_TITLES, r"MS(?=\.)", r"ms(?=\.)"])
+#: Words that end a name although they have a capital, or stand where a name in small letters would.
+_STOP = (
+    "a|an|the|and|but|or|nor|if|in|on|at|by|for|from|to|with|without|of|into|over|under|as|than|so|not|no|yes|he|she|it|they|we|you|his|her|their|our|my|"
+    "this|that|these|those|there|here|then|when|while|after|before|since|until|who|whom|which|what|where|why|how|is|was|are|were|be|been|has|have|had|do|does|did|"
+    "will|would|can|could|should|must|said|says|told|asked|went|came|left|got|took|made|gave|also|only|just|today|yesterday|tomorrow|"
+    "monday|tuesday|wednesday|thursday|friday|saturday|sunday|january|february|july|september|october|november|december"
+)
+_JOINED = r"(?:['’](?![sS](?!\p{L}))|-)\p{L}++"
+#: A word with a capital; a possessive ``'s``, a closing quote or a dash at its end is none of it.
+_WORD = rf"\p{{Lu}}(?:\p{{L}}++(?:{_JOINED}){{0,8}}+|(?:{_JOINED}){{1,8}}+)"
+_NAME = rf"(?!(?:{_TITLES})(?!\p{{L}})){_WORD}"
+_LATER = rf"(?!(?i:{_STOP})(?!\p{{L}})){_NAME}"
+_SMALL = rf"(?!(?:{_STOP})(?!\p{{L}}))\p{{Ll}}\p{{L}}++(?:{_JOINED}){{0,8}}+"
 _INITIAL = r"(?:\p{Lu}\.)+|\p{Lu}(?= )"
 #: Words inside names that stay as they are.
 _PARTICLE = "von|van|vom|der|den|de|del|della|di|da|dos|du|la|las|le|los|ter|ten|af|av|bin|ibn|al|el|y"
@@ -73,7 +102,7 @@ _SECRET = r"(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+",
-    "secret": rf"(?<![A-Za-z]){_SECRET}[^\s\"',;]{{8,}}+",
+    "secret": rf"(?<![A-Za-z]){_SECRET}(?:[^\s\"',;]{{8,}}+|(?=[^\s\"',;]{{0,6}}\d)[^\s\"',;]{{4,7}}+)",
     "pem": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,20}PRIVATE KEY-----",
     "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
@@ -82,7 +111,8 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "person": rf"(?<![\p{{L}}])(?:{_TITLES})\.? (?:{_BETWEEN}{_NAME}(?: {_BETWEEN}{_NAME}){{0,15}}|(?:\p{{Lu}}\.)+(?!\p{{L}}))",
+    "person": rf"(?<![\p{{L}}])(?:{_TITLES})\.? (?:{_BETWEEN}{_NAME}(?: {_BETWEEN}{_LATER}){{0,15}}|(?:\p{{Lu}}\.)+(?!\p{{L}}))"
+    rf"|(?<![\p{{L}}])(?:mr|mrs|ms|dr|prof)\. {_SMALL}(?: {_SMALL})?",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: No text without a digit, an ``@`` or one of these has an entity; the first list in any case.
@@ -93,7 +123,7 @@ HINT_PARTS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "ey
 def may_have(text: Column) -> Column:
     """Whether an entity is possible at all: plain searches, far cheaper than the pattern, that pass every text it matches."""
     lower = F.lower(text)
-    found = text.rlike("[0-9@]")
+    found = text.rlike(r"[0-9@]|(?<!\p{L})(?:mr|mrs|dr|prof|MR|MRS|DR|PROF|HERR|FRAU|MONSIEUR|MADAME|SEÑORA?|M[sS](?=\.)|ms(?=\.))[. ]")
     for word in HINT_WORDS:
         found = found | F.contains(lower, F.lit(word))
     for part in HINT_PARTS:
@@ -157,7 +187,17 @@ def _names(m: Column) -> Column:
 
 
 def _has_title(m: Column, titles: list[str]) -> Column:
-    return F.regexp_replace(_title(m), r"\.? $", "").isin(titles)
+    return F.lower(F.regexp_replace(_title(m), r"\.? $", "")).isin([t.lower() for t in titles])
+
+
+def _plain(w: Column) -> Column:
+    """A name word in small letters, with one form of apostrophe."""
+    return F.translate(F.lower(w), "’", "'")
+
+
+def _national(m: Column) -> Column:
+    """The digits of a phone number, without a ``+1`` before ten others."""
+    return F.when(m.startswith("+"), F.regexp_replace(_digits(m), r"^1(?=\d{10}$)", "")).otherwise(_digits(m))
 
 
 def parts_of(m: Column, kind: Column) -> Column:
@@ -171,15 +211,16 @@ def parts_of(m: Column, kind: Column) -> Column:
             return (
                 F.when(w.rlike(r"^(?:\p{Lu}\.)+$|^\p{Lu}$"), part(F.lit("initial"), w))
                 .when(w.rlike(rf"^(?:{_PARTICLE})$"), part(F.lit("particle"), w))
-                .when(i == n - 1, part(F.lit("surname"), F.lower(w)))
-                .otherwise(part(F.when(female(w), "given_f").otherwise("given_m"), F.lower(w)))
+                .when(i == n - 1, part(F.lit("surname"), _plain(w)))
+                .otherwise(part(F.when(female(w), "given_f").otherwise("given_m"), _plain(w)))
             )
 
         return _let(_names(m), lambda names: F.transform(names, lambda w, i: one(w, i, F.size(names))))
 
     canon = (
         F.when(kind.isin("email", "ip6"), F.lower(m))
-        .when(kind.isin("phone", "card", "ssn"), _digits(m))
+        .when(kind == "phone", _national(m))
+        .when(kind.isin("card", "ssn"), _digits(m))
         .when(kind == "secret", F.regexp_replace(m, rf"^{_SECRET}", ""))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
         .otherwise(m)
@@ -238,12 +279,16 @@ def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Colu
 
 def _initials(key: str, c: Column) -> Column:
     """Every initial as another one: alphabets turned by a keyed step, so that distinct ones stay distinct."""
-    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŁŠŽ", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"]
     turned = []
-    for a in alphabets:
+    for a in ALPHABETS:
         step = int(hashlib.sha256(f"{key}|initial|{a}".encode()).hexdigest(), 16) % (len(a) - 1) + 1
         turned.append(a[step:] + a[:step])
-    return F.translate(F.regexp_replace(c, f"[^{''.join(alphabets)}.]", "X"), "".join(alphabets), "".join(turned))
+    return F.translate(c, "".join(ALPHABETS), "".join(turned))
+
+
+def _further_script(canon: Column) -> Column:
+    """Whether a name has letters of a script without name lists; they are replaced one by one, in their script."""
+    return canon.rlike(r"(?![\p{IsLatin}\p{IsCyrillic}\p{IsGreek}])\p{L}")
 
 
 def _surrogate(key: str, kind: Column, canon: Column, s: Column, attempt: Column) -> Column:
@@ -258,7 +303,7 @@ def _surrogate(key: str, kind: Column, canon: Column, s: Column, attempt: Column
         .otherwise(canon)
     )
     keep = F.when(kind == "card", 1).when(kind.isin("iban", "key"), 4).when(kind == "phone", F.length(canon) - 10).otherwise(0)
-    alike = F.when(~kind.isin("given_m", "given_f", "surname", "ip"), _same_classes(changed, s, keep))
+    alike = F.when(~kind.isin("given_m", "given_f", "surname", "ip") | kind.isin("given_m", "given_f", "surname") & _further_script(canon), _same_classes(changed, s, keep))
     return _let(alike, lambda x: _assembled(key, kind, canon, s, attempt, x, header, footer))
 
 
@@ -302,6 +347,7 @@ def _assembled(key: str, kind: Column, canon: Column, s: Column, attempt: Column
         .when(kind == "phone", F.concat(alike, digits))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(alike, 2, 8), digits))
         .when(kind == "iban", iban)
+        .when(kind.isin("given_m", "given_f", "surname") & _further_script(canon), F.initcap(F.concat(alike, longer)))
         .when(kind == "given_m", given("m"))
         .when(kind == "given_f", given("f"))
         .when(kind == "initial", _initials(key, canon))
@@ -312,8 +358,10 @@ def _assembled(key: str, kind: Column, canon: Column, s: Column, attempt: Column
 
 
 def _like(model: Column, value: Column) -> Column:
-    """``value`` in capitals if the mention is."""
-    return F.when((F.length(model) > 1) & (model == F.upper(model)) & (model != F.lower(model)), F.upper(value)).otherwise(value)
+    """``value`` in capitals or in small letters if the mention is."""
+    has_case = F.lower(model) != F.upper(model)
+    capitals = (F.length(model) > 1) & (model == F.upper(model)) & has_case
+    return F.when(capitals, F.upper(value)).when((model == F.lower(model)) & has_case, F.lower(value)).otherwise(value)
 
 
 def _cased(model: Column, value: Column) -> Column:
@@ -344,13 +392,15 @@ def _formatted(m: Column, kind: Column, parts: Column) -> Column:
     first = F.get(parts, F.lit(0))
     names = F.transform(_names(m), lambda w, i: _like(w, F.get(parts, i)))
     person = F.concat(_title(m), F.array_join(names, " "))
+    # The country's digit, which is no part of the surrogate of a number given with ``+1`` or without.
+    whole = F.when((kind == "phone") & (_national(m) != _digits(m)), F.concat(F.lit("1"), first)).otherwise(first)
     before = lambda i: F.length(_digits(F.substr(m, F.lit(1), i)))
     in_format = F.array_join(
-        F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(first, before(i) + 1, F.lit(1))).otherwise(c)), ""
+        F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(whole, before(i) + 1, F.lit(1))).otherwise(c)), ""
     )
     return (
         F.when(kind == "person", person)
-        .when(kind.isin("phone", "card", "ssn"), F.concat(in_format, F.substr(first, F.length(_digits(m)) + 1, F.length(first))))
+        .when(kind.isin("phone", "card", "ssn"), F.concat(in_format, F.substr(whole, F.length(_digits(m)) + 1, F.length(whole))))
         .when(kind == "secret", F.concat(F.regexp_extract(m, rf"^({_SECRET})", 1), first))
         .when(kind == "iban", F.when(m.contains(" "), F.regexp_replace(first, "(.{4})(?=.)", "$1 ")).otherwise(first))
         .when(kind.isin("email", "ip6"), _cased(m, first))
@@ -417,13 +467,38 @@ def cut_texts(docs: DataFrame, text_col: str) -> DataFrame:
     )
 
 
+def known_names(mentions: Column, new: Column) -> Column:
+    """map of a text's name words, in small letters, to their surrogates, from its titled mentions and their replacements."""
+
+    def words(m: Column, r: Column) -> Column:
+        both = F.zip_with(_names(m), _names(r), lambda a, b: F.struct(_plain(a).alias("word"), F.initcap(F.lower(b)).alias("new"), a.alias("as_is")))
+        return F.filter(both, lambda x: x["as_is"].rlike(rf"^{_WORD}$|^{_SMALL}$") & ~x["as_is"].rlike(f"^(?:{_PARTICLE})$"))
+
+    none = F.array().cast("array<struct<word:string,new:string,as_is:string>>")
+    titled = F.zip_with(mentions, new, lambda m, r: F.when(m.rlike(rf"^(?:{_TITLES})\.? "), words(m, r)).otherwise(none))
+    entries = F.array_sort(F.array_distinct(F.transform(F.flatten(titled), lambda x: F.struct(x["word"].alias("word"), x["new"].alias("new")))))
+    # A word that is a given name of one and the surname of another is taken as the first in order.
+    firsts = _let(entries, lambda e: F.filter(e, lambda x, i: (i == 0) | (F.get(e, i - 1)["word"] != x["word"])))
+    return F.map_from_entries(firsts)
+
+
+def _with_bare_names(piece: Column, known: Column) -> Column:
+    """What lies between mentions, with the capitalised words that ``known`` has replaced."""
+    word = rf"(?<!\p{{L}}){_WORD}"
+    named = lambda w: F.coalesce(_like(w, F.try_element_at(known, _plain(w))), w)
+    cut = lambda words: F.transform(F.split(piece, word, -1), lambda gap, i: F.concat(gap, F.coalesce(named(F.get(words, i)), F.lit(""))))
+    return F.array_join(_let(F.regexp_extract_all(piece, F.lit(word), F.lit(0)), cut), "")
+
+
 def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the text's entities replaced, plus ``n_entities`` and ``entity_kinds``.
 
     Null texts stay null with no entities; texts without entities stay as they
-    are, byte for byte; repeated rows get equal results. ``entity_kinds`` lists
-    the sorted distinct kinds, comma-joined. Columns with the result's names are
-    replaced.
+    are, byte for byte; repeated rows get equal results; an empty table gives
+    an empty one; a very long text is one task's work. Name words of a titled
+    person are replaced wherever the same text has them with a capital; these
+    bare mentions are not counted. ``entity_kinds`` lists the sorted distinct
+    kinds, comma-joined. Columns with the result's names are replaced.
     """
     base = docs.drop("n_entities", "entity_kinds")
     found = stored(cut_texts(base, text_col), "cut-texts")
@@ -445,6 +520,10 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "t
     done = found.filter(has).join(told, "__row", "left")
     attempt = lambda i: F.coalesce(F.try_element_at("__told", i), none)
     replaced = done.withColumn("__new", F.transform("__mentions", lambda m, i: replacement(key, m, attempt(i))))
+    # Who has a title once is known in the whole text: names without one follow.
+    replaced = replaced.withColumn("__known", known_names(F.col("__mentions"), F.col("__new")))
+    follow = F.transform("__pieces", lambda p: _with_bare_names(p, F.col("__known")))
+    replaced = replaced.withColumn("__pieces", F.when(F.size("__known") > 0, follow).otherwise(F.col("__pieces")))
     joined = F.array_join(F.transform("__pieces", lambda p, i: F.concat(p, F.coalesce(F.get("__new", i), F.lit("")))), "")
     kinds_of = F.filter(F.transform("__mentions", kind_of), lambda k: k.isNotNull())
     changed = replaced.select(

@@ -26,7 +26,11 @@ def ascii_classes(pattern):
 find = lambda p: regex.compile(ascii_classes(p))
 ENTITY, SECRET, TITLE = find(S.ENTITY), find(rf"^{S._SECRET}"), find(rf"^(?:{S._TITLES})\.? ")
 OCTETS = find(rf"^{S._OCTET}(?:\.{S._OCTET}){{3}}$")
-ALPHABETS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŁŠŽ", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"]
+BARE = find(rf"(?<!\p{{L}}){S._WORD}")
+plain = lambda w: w.lower().replace("’", "'")
+national = lambda m: regex.sub("^1(?=[0-9]{10}$)", "", digits(m)) if m[0] == "+" else digits(m)
+further = lambda c: regex.search(r"(?![\p{IsLatin}\p{IsCyrillic}\p{IsGreek}])\p{L}", c)
+initcap = lambda t: t[:1].upper() + t[1:].lower()
 digits = lambda t: regex.sub("[^0-9]", "", t)
 luhn = lambda t: sum(int(d) * (i % 2 + 1) - 9 * (i % 2 and int(d) > 4) for i, d in enumerate(reversed(t))) % 10
 iban_rest = lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97
@@ -63,17 +67,18 @@ def title_of(m):
 def parts_of(m, kind):
     """[type, canon] of every part."""
     if kind != "person":
-        canon = {"email": m.lower(), "ip6": m.lower(), "phone": digits(m), "card": digits(m), "ssn": digits(m), "secret": SECRET.sub("", m), "iban": m.replace(" ", "")}
+        canon = {"email": m.lower(), "ip6": m.lower(), "phone": national(m), "card": digits(m), "ssn": digits(m), "secret": SECRET.sub("", m), "iban": m.replace(" ", "")}
         return [(kind, canon.get(kind, m))]
     names, out, title = TITLE.sub("", m).split(" "), [], title_of(m)
     for i, w in enumerate(names):
-        female = title in S.FEMALE_TITLES or title in S.NEUTRAL_TITLES and w.lower() in S.FEMALE_NAMES
+        of = lambda titles: title.lower() in [t.lower() for t in titles]
+        female = of(S.FEMALE_TITLES) or of(S.NEUTRAL_TITLES) and w.lower() in S.FEMALE_NAMES
         if regex.fullmatch(r"(?:\p{Lu}\.)+|\p{Lu}", w):
             out.append(("initial", w))
         elif regex.fullmatch(S._PARTICLE, w):
             out.append(("particle", w))
         else:
-            out.append(("surname" if i == len(names) - 1 else "given_f" if female else "given_m", w.lower()))
+            out.append(("surname" if i == len(names) - 1 else "given_f" if female else "given_m", plain(w)))
     return out
 
 
@@ -132,10 +137,12 @@ def surrogate(key, kind, canon, attempt):
     if kind == "iban":
         x = alike(canon, 4)[4:] + more
         return f"{canon[:2]}{98 - iban_rest(canon[:2] + '00' + x):02d}{x}"
+    if kind in ("given_m", "given_f", "surname") and further(canon):
+        return initcap(alike(canon) + longer)
     if kind in ("given_m", "given_f"):
         return pick(S.GIVEN[kind[-1], script], b(0) * 7 + b(1)) + extra
     if kind == "initial":
-        for a in ALPHABETS:
+        for a in S.ALPHABETS:
             step = int(hashlib.sha256(f"{key}|initial|{a}".encode()).hexdigest(), 16) % (len(a) - 1) + 1
             canon = "".join(("\0" + a[(a.index(c) + step) % len(a)]) if c in a and canon[i - 1 : i] != "\0" else c for i, c in enumerate(canon))
         return "".join("" if c == "\0" else c for c in canon)
@@ -154,11 +161,11 @@ def replaced(rows, key=S.DEFAULT_KEY):
     given = [(m, i, tuple(c for _, c in p), t, c) for m, p in parts.items() if kinds[m] == "person" for i, (t, c) in enumerate(p) if t.startswith("given")]
     told = {}
     for m, _, name, t, c in given:
-        if title_of(m) not in S.NEUTRAL_TITLES:
+        if title_of(m).lower() not in [x.lower() for x in S.NEUTRAL_TITLES]:
             told.setdefault(name, set()).add(t)
             told.setdefault(c, set()).add(t)
     for m, i, name, t, c in given:
-        if title_of(m) in S.NEUTRAL_TITLES:
+        if title_of(m).lower() in [x.lower() for x in S.NEUTRAL_TITLES]:
             known = next((next(iter(told[x])) for x in (name, c) if len(told.get(x, ())) == 1), t)
             parts[m][i] = (known, c)
     space = lambda t: "given" if t.startswith("given") else t
@@ -177,15 +184,21 @@ def replaced(rows, key=S.DEFAULT_KEY):
         for p in redo:
             attempts[p] += 1
 
+    def capital(old, x):
+        if old.lower() == old.upper():
+            return x
+        return x.upper() if len(old) > 1 and old == old.upper() else x.lower() if old == old.lower() else x
+
     def whole(m):
         kind = kinds[m]
         if not kind:
             return m
         new = [surrogate(key, *p, attempts.get(p, 0)) for p in parts[m]]
-        capital = lambda old, x: x.upper() if len(old) > 1 and old == old.upper() != old.lower() else x
         if kind == "person":
             return TITLE.search(m)[0] + " ".join(capital(w, x) for w, x in zip(TITLE.sub("", m).split(" "), new, strict=True))
         (x,) = new
+        if kind == "phone" and national(m) != digits(m):
+            x = "1" + x
         if kind in ("phone", "card", "ssn"):
             left = iter(x)
             return "".join(next(left) if "0" <= c <= "9" else c for c in m) + "".join(left)
@@ -197,4 +210,18 @@ def replaced(rows, key=S.DEFAULT_KEY):
             return x.upper() if m == m.upper() else "".join(c.upper() if "A" <= m[i : i + 1] <= "Z" else c for i, c in enumerate(x))
         return x
 
-    return [(i, None if t is None else ENTITY.sub(lambda f: whole(f[0]), t)) for i, t in rows]
+    def text_of(t):
+        known = {}
+        for m in ENTITY.findall(t):
+            if kinds[m] == "person":
+                for w, x in zip(TITLE.sub("", m).split(" "), TITLE.sub("", whole(m)).split(" "), strict=True):
+                    if len(w) > 1 and "." not in w and not regex.fullmatch(S._PARTICLE, w):
+                        known[plain(w)] = min(known.get(plain(w), initcap(x)), initcap(x))
+        bare = lambda p: BARE.sub(lambda f: capital(f[0], known[plain(f[0])]) if plain(f[0]) in known else f[0], p)
+        out, at = [], 0
+        for f in ENTITY.finditer(t):
+            out += [bare(t[at : f.start()]), whole(f[0])]
+            at = f.end()
+        return "".join([*out, bare(t[at:])])
+
+    return [(i, None if t is None else text_of(t)) for i, t in rows]
