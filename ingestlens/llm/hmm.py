@@ -6,7 +6,9 @@ words are emission symbols of their own. All others are emitted as one of
 model stays a proper distribution over the whole vocabulary and one unknown
 word per class. Counts of common words are known inside each task; those of the
 long tail are joined by shuffle. Texts are read twice, for counts and for their
-symbols; all rounds and the scores read the symbols.
+symbols; all rounds and the scores read the symbols. Early rounds move the model
+near its end on a fixed share of the training rows, then rounds over all of them
+go on until one gains next to nothing.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ BUCKETS = 1024
 #: At most so many words have their counts in every task (about 20 MB), and of them so many are symbols of their own.
 COMMON, SYMBOLS = 131_072, 16_384
 STATES = 8
-#: Baum-Welch rounds at most, and the gain in log10 likelihood a token below which one is the last.
-ROUNDS, SETTLED = 4, 0.005
+#: The gain in log10 likelihood a token below which a Baum-Welch round is the last, and a limit that stops a training that never settles.
+SETTLED, ROUNDS = 0.005, 60
+#: Early rounds read the training rows of one in so many parts, by hash of the id; the rounds after them read all.
+EARLY = 16
 #: Words kept in a task's counter before it is handed on.
 COUNTER = 250_000
 #: Weight, in tokens, of the corpus distribution in each state's emissions.
@@ -106,9 +110,13 @@ class Vocabulary:
         return np.where(own, 0.0, np.log10((self.counts + ADD) / self.mass[self.buckets]))
 
     def prior(self) -> np.ndarray:
-        p = np.concatenate((self.counts[: self.symbols] + ADD, self.mass))
+        p = self.symbol_counts()
         return p / p.sum()
 
+    def symbol_counts(self) -> np.ndarray:
+        """Each symbol's smoothed count over all training rows."""
+        return np.concatenate((self.counts[: self.symbols] + ADD, self.mass))
+
 
 def _step():
     """Eight steps for every doubling of the count."""
@@ -313,12 +321,25 @@ def encoded(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> D
     return stored(rows.mapInArrow(run, schema), "encoded-texts")
 
 
-def baum_welch(coded: DataFrame, vocab: Vocabulary, model: Hmm) -> tuple[Hmm, float]:
-    """One Baum-Welch round over all training texts, and the log10 likelihood a token before it.
+def to_corpus(emitted: np.ndarray, model: Hmm, counts: np.ndarray) -> np.ndarray:
+    """Expected emissions of a share of the texts, brought to each symbol's count over all of them.
+
+    The share says how a symbol divides over the states, the corpus how often it
+    is. ``model`` has the weight of one token in that, so a symbol that the share
+    lacks divides as before.
+    """
+    before = model.emit * (emitted.sum(0) + 1)
+    before /= before.sum(1, keepdims=True)
+    return (emitted + before) * (counts / (emitted.sum(1) + 1))[:, None]
+
+
+def baum_welch(symbols: DataFrame, vocab: Vocabulary, model: Hmm, whole: bool = True) -> tuple[Hmm, float]:
+    """One Baum-Welch round over all texts of ``symbols``, and the log10 likelihood a token before it.
 
-    Every partition hands on its expected counts, which Spark adds up.
+    Every partition hands on its expected counts, which Spark adds up. Without
+    ``whole`` the texts are a share of those that ``vocab`` counts.
     """
-    sc = coded.sparkSession.sparkContext
+    sc = symbols.sparkSession.sparkContext
     shared = sc.broadcast(model)
     states, size = len(model.start), len(model.emit)
 
@@ -342,31 +363,42 @@ def baum_welch(coded: DataFrame, vocab: Vocabulary, model: Hmm) -> tuple[Hmm, fl
         )
 
     schema = "at long, " + ", ".join(f"n{s} double" for s in range(states))
-    sums = coded.filter("train").select("symbols").mapInArrow(run, schema).groupBy("at").agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(states)])
+    sums = symbols.select("symbols").mapInArrow(run, schema).groupBy("at").agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(states)])
     rows = np.zeros((size + states + 2, states))
     for r in sums.collect():  # a row per symbol and state, whatever the corpus
         rows[r["at"]] = r[1:]
     shared.unpersist()
-    like = rows[-1, 0] / max(1, vocab.tokens) / np.log(10)
-    return Hmm.fitted(rows[-2], rows[size : size + states], rows[:size], vocab.prior()), like
+    emitted = rows[:size]
+    like = rows[-1, 0] / max(1, emitted.sum()) / np.log(10)
+    return Hmm.fitted(rows[-2], rows[size : size + states], emitted if whole else to_corpus(emitted, model, vocab.symbol_counts()), vocab.prior()), like
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, states: int = STATES, rounds: int = ROUNDS, settled: float = SETTLED):
+def _until_settled(symbols: DataFrame, vocab: Vocabulary, model: Hmm, rounds: int, settled: float, whole: bool) -> tuple[Hmm, list[float]]:
+    """Rounds until one gains less than ``settled``; the likelihoods are those before each."""
+    likes: list[float] = []
+    while len(likes) < rounds and (len(likes) < 2 or likes[-1] - likes[-2] >= settled):
+        model, like = baum_welch(symbols, vocab, model, whole)
+        likes.append(like)
+    return model, likes
+
+
+def train(docs: DataFrame, id_col: str, text_col: str, states: int = STATES, rounds: int = ROUNDS, settled: float = SETTLED, early: int = EARLY):
     """``counted, vocabulary, encoded rows, model, likelihoods`` from the rows that are not held out.
 
-    Counts and every Baum-Welch round cover all of them, and their whole texts.
-    Rounds end when one gains less than ``settled`` in log10 likelihood a token,
-    and after ``rounds`` of them.
+    Counts cover all of them, and their whole texts. Rounds over one in
+    ``early`` of them (0: none) start from the first guess and end when one
+    gains less than a quarter of ``settled`` in log10 likelihood a token; rounds
+    over all of them follow and end when one gains less than ``settled``.
+    ``rounds`` bounds each. The likelihoods are those of the rounds over all rows.
     """
     counted = stored(word_counts(docs.filter(~held_out(id_col)).select(F.col(text_col).alias("text"))), "word-counts")
     vocab = vocabulary(counted)
     coded = encoded(docs, vocab, id_col, text_col)
-    model, likes = first_guess(vocab, states), []
-    for _ in range(rounds):
-        model, like = baum_welch(coded, vocab, model)
-        likes.append(like)
-        if len(likes) > 1 and like - likes[-2] < settled:
-            break
+    learned, model = coded.filter("train"), first_guess(vocab, states)
+    if early:
+        some = stored(learned.filter(F.pmod(F.xxhash64("id"), F.lit(early)) == 0).select("symbols"), "early-texts")
+        model, _ = _until_settled(some, vocab, model, rounds, settled / 4, False)
+    model, likes = _until_settled(learned, vocab, model, rounds, settled, True)
     return counted, vocab, coded, model, likes
 
 
@@ -384,7 +416,8 @@ def score_texts(coded: DataFrame, counted: DataFrame, vocab: Vocabulary, model:
     columns = ["row", "id", "symbols", "n_tokens", "n_known", "base", "share"]
     id_type = coded.schema["id"].dataType.simpleString()
     local = coded.select(*columns).mapInArrow(run, f"row long, id {id_type}, n_tokens long, n_known long, base double, score double")
-    # The tail: each text's rare words meet their counts. No count here reaches the common ones', so no word is hot.
+    # The tail: each text's rare words meet their counts. No word here is frequent in training; one that is
+    # frequent in held-out rows alone is left to adaptive execution, which cuts its rows over tasks.
     rare = coded.select("row", F.explode(F.arrays_zip("words", "buckets", "times")).alias("t")).select(
         "row", F.col("t.words").alias("word"), F.col("t.buckets").alias("bucket"), F.col("t.times").alias("times")
     )

@@ -121,11 +121,11 @@ def test_scores_equal_a_plain_model(spark, monkeypatch):
     rng = np.random.default_rng(8)
     pool = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choice(pool[:30] if i % 2 else pool[20:], rng.integers(0, 90)))) for i in range(60)] + [(100, None), (101, "never seen " + "w1 " * 3000)]
-    got = {r["doc_id"]: r for r in hmm.hmm_scores(spark.createDataFrame(rows, "doc_id long, text string"), states=3, rounds=2, settled=-1.0).collect()}
+    got = {r["doc_id"]: r for r in hmm.hmm_scores(spark.createDataFrame(rows, "doc_id long, text string"), states=3, rounds=2, settled=-1.0, early=0).collect()}
     tokens = {i: [*(t or "").encode().split(), b" "] for i, t in rows}
     train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
     counts = Counter(w for i in train for w in tokens[i])
-    _, vocab, _, _, likes = hmm.train(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", states=3, rounds=2, settled=-1.0)
+    _, vocab, _, _, likes = hmm.train(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", states=3, rounds=2, settled=-1.0, early=0)
     assert set(vocab.number) <= set(counts) and vocab.number[b" "] == 0
     own = sorted(vocab.number, key=vocab.number.get)[: vocab.symbols]
     classes = {}
@@ -179,6 +179,28 @@ def test_scores_equal_a_plain_model(spark, monkeypatch):
         assert got[i]["score"] == pytest.approx(forward(ts)[1] + share, rel=1e-4)
 
 
+def test_rounds_end_by_the_gain(spark, docs):
+    """Early rounds on a share, then rounds over all training rows until one gains under ``SETTLED``; as good as all rounds over all rows."""
+    *_, likes = hmm.train(docs, "doc_id", "text")
+    *_, plain = hmm.train(docs, "doc_id", "text", early=0)
+    for x in (likes, plain):
+        assert 2 <= len(x) < hmm.ROUNDS and x[-1] - x[-2] < hmm.SETTLED and all(b - a >= hmm.SETTLED for a, b in zip(x[:-2], x[1:-1], strict=True))
+    assert likes[0] > plain[0] and likes[-1] > plain[-1] - 0.05
+
+
+def test_a_share_is_brought_to_the_corpus():
+    """Symbols keep their division over states in the share and get their count in the corpus; one that the share lacks keeps the model's."""
+    rng = np.random.default_rng(9)
+    model = random_model(rng)
+    emitted = np.array([[900.0, 90.0, 10.0], [0.0, 0.0, 0.0], [5.0, 5.0, 490.0], [1.0, 1.0, 1.0]])
+    counts = np.array([16000.0, 40.0, 8000.0, 50.0])
+    got = hmm.to_corpus(emitted, model, counts)
+    assert got.sum(1) == pytest.approx(counts)
+    assert got[0] / 16000 == pytest.approx(emitted[0] / 1000, abs=2e-3) and got[2] / 8000 == pytest.approx(emitted[2] / 500, abs=2e-3)
+    weight = model.emit[1] * (emitted.sum(0) + 1)
+    assert got[1] == pytest.approx(40 * weight / weight.sum())
+
+
 def random_model(rng, k=3, m=4):
     p = lambda *s: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(s) + 0.1)
     return hmm.Hmm(p(k), p(k, k), p(k, m).T.copy())
