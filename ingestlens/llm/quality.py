@@ -3,7 +3,8 @@
 A document is a bag of passages. Every passage is encoded from its words, pairs
 of words and word endings (hashed) and from figures of its surface, gated
 attention weights (learned from document labels alone) say how much each
-counts, and the weighted representation is scored.
+counts, and the weighted representation is scored. The bags stay in Spark: every
+round of the training sums the gradients of its tasks.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ingestlens.llm import shingles as S
-from ingestlens.llm.common import table
+from ingestlens.llm.common import stored, table
 
 #: Words of a passage.
 PASSAGE = 64
@@ -25,8 +27,10 @@ PASSAGE = 64
 SAMPLE = 4000
 #: Rows of the embedding that words, pairs and endings are hashed to.
 GRAMS = 8192
-#: Passages scored at a time.
-AT_ONCE = 4000
+#: Passages encoded at a time, and those of one stored row of a bag.
+AT_ONCE, PIECE = 4000, 1000
+#: Tasks of a round of the training at most; each hands one set of gradients (0.6 MB) to the driver.
+TASKS = 16
 
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", bytes(range(128, 256)), b" ", b".", b",;:", b"!?", b"|", b"'\"()-", b"@/\\_=<>{}[]", b"#$%&*+^~`"]
 _KIND_OF = np.full(256, len(_KINDS), np.int64)
@@ -50,6 +54,13 @@ class Passages:
     def __len__(self) -> int:
         return len(self.x)
 
+    def cut(self, size: int) -> Iterator[tuple[slice, slice]]:
+        """Runs of at most ``size`` passages, and where their grams are."""
+        ends = np.concatenate(([0], np.cumsum(self.sizes)))
+        for i in range(0, len(self.sizes), size):
+            j = min(i + size, len(self.sizes))
+            yield slice(i, j), slice(int(ends[i]), int(ends[j]))
+
 
 def passages(text: str | None) -> Passages:
     """All passages of the whole text; a text without words is one passage of zeros and no grams."""
@@ -118,11 +129,12 @@ class GatedAttention:
         """``bags``: all passages, one bag after another; ``starts``: where each bag begins."""
         p = self.p
         x = np.clip((bags.x - self.mean) / self.spread, -8, 8)
-        known = bags.sizes > 0
         embedded = np.zeros((len(x), p["E"].shape[1]), p["E"].dtype)
-        if known.any():
-            sizes = bags.sizes[known]
-            embedded[known] = np.add.reduceat(p["E"][bags.grams], np.cumsum(sizes) - sizes) / sizes[:, None]
+        for at, grams in bags.cut(AT_ONCE):
+            known = np.flatnonzero(bags.sizes[at])
+            sizes = bags.sizes[at][known]
+            if len(known):
+                embedded[at.start + known] = np.add.reduceat(p["E"][bags.grams[grams]], np.cumsum(sizes) - sizes) / sizes[:, None]
         bag = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
         h = np.tanh(x @ p["W"] + embedded + p["b"])
         v, u = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
@@ -130,49 +142,126 @@ class GatedAttention:
         e = np.exp(e - np.maximum.reduceat(e, starts)[bag])
         a = e / np.add.reduceat(e, starts)[bag]
         z = np.add.reduceat(a[:, None] * h, starts)
-        return {"x": x, "grams": bags.grams, "sizes": bags.sizes, "bag": bag, "h": h, "v": v, "u": u, "a": a, "z": z, "score": 1 / (1 + np.exp(-(z @ p["o"] + p["c"])))}
+        return {"x": x, "bags": bags, "bag": bag, "h": h, "v": v, "u": u, "a": a, "z": z, "score": 1 / (1 + np.exp(-(z @ p["o"] + p["c"])))}
 
     def gradients(self, f: dict[str, np.ndarray], starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the summed log loss of the bags."""
         p, bag, a, h = self.p, f["bag"], f["a"], f["h"]
-        d = (f["score"] - y) / len(y)
+        d = f["score"] - y
         dz = d[:, None] * p["o"]
         da = (dz[bag] * h).sum(1)
         de = a * (da - np.add.reduceat(a * da, starts)[bag])
         dvu = de[:, None] * p["w"]
         dv, du = dvu * f["u"] * (1 - f["v"] ** 2), dvu * f["v"] * f["u"] * (1 - f["u"])
         dh = (a[:, None] * dz[bag] + dv @ p["V"].T + du @ p["U"].T) * (1 - h**2)
-        each = np.repeat((dh / np.maximum(f["sizes"], 1)[:, None]).astype(p["E"].dtype), f["sizes"], 0)
-        embedding = np.stack([np.bincount(f["grams"], each[:, k], GRAMS) for k in range(each.shape[1])], 1).astype(p["E"].dtype)
+        bags, embedding = f["bags"], np.zeros(p["E"].shape)
+        per_gram = (dh / np.maximum(bags.sizes, 1)[:, None]).astype(p["E"].dtype)
+        for at, grams in bags.cut(AT_ONCE):
+            each, where = np.repeat(per_gram[at], bags.sizes[at], 0), bags.grams[grams]
+            for k in range(each.shape[1]):
+                embedding[:, k] += np.bincount(where, each[:, k], GRAMS)
         return {"E": embedding, "W": f["x"].T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (f["v"] * f["u"]).T @ de, "o": f["z"].T @ d, "c": d.sum()}
 
 
-def fit(bags: list[Passages], y: np.ndarray, hidden: int = 16, gate: int = 8, epochs: int = 10, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> GatedAttention:
-    """Adam on the log loss of the bags' labels. Without bags of both labels every score is the share of ones (0.5 for none)."""
+def first_model(mean: np.ndarray, spread: np.ndarray, share: float, hidden: int = 16, gate: int = 8, seed: int = 5) -> GatedAttention:
+    """Where the training starts; what was never seen counts for nothing, and without output weights the score is ``share``."""
     rng = np.random.default_rng(seed)
-    x = np.concatenate([*(b.x for b in bags), np.zeros((1, FEATURES), np.float32)])
-    share = (y.sum() + 0.5) / (len(y) + 1)
-    shapes = {"W": (FEATURES, hidden), "b": (hidden,), "V": (hidden, gate), "U": (hidden, gate), "w": (gate,), "o": (hidden,)}
-    p = {k: rng.normal(0, s[0] ** -0.5, s) if k != "b" else np.zeros(s) for k, s in shapes.items()}
-    p["E"] = np.zeros((GRAMS, hidden), np.float32)  # what was never seen counts for nothing
-    model = GatedAttention(x.mean(0), x.std(0) + 0.02, p | {"o": np.zeros(hidden), "c": np.log(share / (1 - share))})
-    if len(set(y.tolist())) < 2:
+    shapes = {"W": (FEATURES, hidden), "V": (hidden, gate), "U": (hidden, gate), "w": (gate,), "o": (hidden,)}
+    p = {k: rng.normal(0, s[0] ** -0.5, s) for k, s in shapes.items()}
+    return GatedAttention(mean, spread, p | {"b": np.zeros(hidden), "E": np.zeros((GRAMS, hidden), np.float32), "c": np.float64(np.log(share / (1 - share)))})
+
+
+def bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Passages, np.ndarray]]:
+    """Labels, passages and starts of whole bags, some ``AT_ONCE`` passages at a time, from rows in order of (id, piece)."""
+    ys, parts, lengths = [], [], []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            at = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            if at["piece"] == 0:
+                if sum(lengths) >= AT_ONCE:
+                    yield _whole(ys, parts, lengths)
+                    ys, parts, lengths = [], [], []
+                ys.append(at["y"])
+                lengths.append(0)
+            parts.append(Passages(np.frombuffer(at["x"], np.float32).reshape(-1, FEATURES), np.frombuffer(at["grams"], np.int32), np.frombuffer(at["sizes"], np.int64)))
+            lengths[-1] += len(parts[-1])
+    if ys:
+        yield _whole(ys, parts, lengths)
+
+
+def _whole(ys: list[float], parts: list[Passages], lengths: list[int]) -> tuple[np.ndarray, Passages, np.ndarray]:
+    return np.array(ys), Passages.join(parts), np.cumsum(lengths) - lengths
+
+
+def moments(bags: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of the surface figures over all passages of ``bags``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, FEATURES + 1))
+        for batch in batches:
+            for raw in batch.column("x"):
+                x = np.frombuffer(raw.as_py(), np.float32).reshape(-1, FEATURES).astype(float)
+                sums += np.stack((np.append(x.sum(0), len(x)), np.append((x**2).sum(0), len(x))))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["task", "sums"])
+
+    got = sorted(bags.select("x").mapInArrow(run, "task int, sums binary").collect())
+    sums = sum((np.frombuffer(r["sums"]).reshape(2, -1) for r in got), np.zeros((2, FEATURES + 1)))
+    n = max(1.0, sums[0, -1])
+    mean = sums[0, :-1] / n
+    return mean, np.sqrt(np.maximum(sums[1, :-1] / n - mean**2, 0)) + 0.02
+
+
+def gradients(bags: DataFrame, model: GatedAttention) -> tuple[dict[str, np.ndarray], float]:
+    """Summed gradients of the log loss over all ``bags``, and the loss; one row for each task comes to the driver."""
+    shared = bags.sparkSession.sparkContext.broadcast(model)
+    names = sorted(model.p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, loss = shared.value, 0.0
+        total = {k: np.zeros(np.shape(v)) for k, v in model.p.items()}
+        for y, passages_, starts in bags_of(batches):
+            f = model.forward(passages_, starts)
+            score = np.clip(f["score"], 1e-12, 1 - 1e-12)
+            loss -= float((y * np.log(score) + (1 - y) * np.log(1 - score)).sum())
+            for k, g in model.gradients(f, starts, y).items():
+                total[k] = total[k] + g
+        flat = np.concatenate([np.ravel(total[k]) for k in names]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([loss]), pa.array([flat.tobytes()], pa.binary())], ["task", "loss", "flat"])
+
+    got = sorted(bags.mapInArrow(run, "task int, loss double, flat binary").collect(), key=lambda r: r["task"])
+    shared.unpersist()
+    flat = sum((np.frombuffer(r["flat"], np.float32).astype(float) for r in got), np.zeros(sum(np.size(v) for v in model.p.values())))
+    out, at = {}, 0
+    for k in names:
+        size = np.size(model.p[k])
+        out[k] = flat[at : at + size].reshape(np.shape(model.p[k]))
+        at += size
+    return out, sum(r["loss"] for r in got)
+
+
+def fit(bags: DataFrame, rounds: int = 24, rate: float = 0.05, decay: float = 1e-4) -> GatedAttention:
+    """Adam on the mean log loss of all bags (id, y, piece, x, grams, sizes), a round over all of them a step.
+
+    Without bags of both labels every score is the share of ones (0.5 for none).
+    """
+    n, ones, least, most = bags.filter("piece = 0").agg(F.count("*"), F.sum("y"), F.min("y"), F.max("y")).first()
+    model = first_model(*moments(bags), ((ones or 0.0) + 0.5) / (n + 1))
+    if least == most:
+        model.p["o"] = np.zeros_like(model.p["o"])
         return model
-    model.p["o"] = p["o"]
-    m, s, step = {k: 0.0 for k in model.p}, {k: 0.0 for k in model.p}, 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(bags))
-        for i in range(0, len(order), 128):
-            part = order[i : i + 128]
-            lengths = np.array([len(bags[j]) for j in part])
-            starts = np.cumsum(lengths) - lengths
-            g = model.gradients(model.forward(Passages.join([bags[j] for j in part]), starts), starts, y[part])
-            step += 1
-            for k, grad in g.items():
-                grad = grad + decay * model.p[k]
-                m[k] = 0.9 * m[k] + 0.1 * grad
-                s[k] = 0.999 * s[k] + 0.001 * grad**2
-                now = rate * (1 - epoch / epochs)
-                model.p[k] = model.p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
+    # A bag's pieces lie in one task, in order; kept on disk, and found again from the stored bags where an executor is lost.
+    placed = bags.repartition("id").sortWithinPartitions("id", "piece").coalesce(TASKS).persist(StorageLevel.DISK_ONLY)
+    m, s = {k: 0.0 for k in model.p}, {k: 0.0 for k in model.p}
+    for step in range(1, rounds + 1):
+        sums, _ = gradients(placed, model)
+        now = rate * (1 - (step - 1) / rounds)
+        for k, grad in sums.items():
+            grad = grad / n + decay * model.p[k]
+            m[k] = 0.9 * m[k] + 0.1 * grad
+            s[k] = 0.999 * s[k] + 0.001 * grad**2
+            moved = model.p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
+            model.p[k] = moved.astype(model.p[k].dtype)
+    placed.unpersist()
     return model
 
 
@@ -182,7 +271,11 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> GatedAttention:
-    """The classifier, fitted on at most ``sample`` labelled rows that are not held out.
+    """The classifier, fitted on at most ``sample`` labelled rows that are not held out, and on all their passages.
+
+    The passages are written to the shared folder, a thousand to a row, and
+    neither the driver nor a task ever holds more of them than some
+    ``AT_ONCE`` or one bag.
 
     An id with several labels counts with their mean; of several texts of one
     id the one with the least hash is learned from. Labels other than 0 and 1
@@ -194,27 +287,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [passages(text.as_py()) for text in batch.column("text")]
-            columns = [pa.array([getattr(b, c).tobytes() for b in bags], pa.binary()) for c in ("x", "grams", "sizes")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *columns], ["id", "y", "x", "grams", "sizes"])
+            for i in range(batch.num_rows):
+                bag = passages(batch.column("text")[i].as_py())
+                for piece, (at, grams) in enumerate(bag.cut(PIECE)):
+                    columns = [pa.array([x.tobytes()], pa.binary()) for x in (bag.x[at], bag.grams[grams], bag.sizes[at])]
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1), batch.column("y").slice(i, 1), pa.array([piece], pa.int32()), *columns], ["id", "y", "piece", "x", "grams", "sizes"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # ``some`` has at most ``sample`` rows, whatever the tables hold.
     rows = texts.join(F.broadcast(some), "id").groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    got = rows.select("id", "y", "t.text").mapInArrow(run, f"id {id_type}, y double, x binary, grams binary, sizes binary").collect()
-    got.sort(key=lambda r: str(r["id"]))
-    bags = [
-        Passages(np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES), np.frombuffer(r["grams"], np.int32), np.frombuffer(r["sizes"], np.int64)) for r in got
-    ]
-    return fit(bags, np.array([r["y"] for r in got]))
+    return fit(stored(rows.select("id", "y", "t.text").mapInArrow(run, f"id {id_type}, y double, piece int, x binary, grams binary, sizes binary"), "bags"))
 
 
 def quality_scores(docs: DataFrame, model: GatedAttention, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``score, predicted, n_passages, top_passage, top_weight``.
 
-    The whole text counts. Null and empty texts are one empty passage and get
-    its score. ``top_passage`` is the number of the passage with the largest
+    The whole text counts, of any length: its passages are encoded
+    ``AT_ONCE`` at a time. Null and empty texts are one empty passage and get
+    its score. An empty table gives an empty result. ``top_passage`` is the number of the passage with the largest
     attention weight, ``top_weight`` that weight. Columns with the result's
     names are replaced.
     """
