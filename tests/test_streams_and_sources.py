@@ -3,7 +3,8 @@
 import gzip
 import hashlib
 import time
-from datetime import UTC, datetime
+from collections import Counter
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from conftest import SMALL
@@ -113,3 +114,20 @@ def test_exports_have_order_and_headers(spark, tmp_path):
     assert len(parts) > 1 and all(p[0] == export.DIALECTS["admin"][0] for p in parts)
     want = sorted(rows, key=lambda r: (r[6], r[0]), reverse=True)
     assert [line.split(",")[0] for p in parts for line in p[1:]] == [str(r[0]) for r in want]
+
+
+def test_landing_is_dealt_by_folders(spark, tmp_path):
+    """Many small folders are several tasks' work, each still one object; a busy folder is cut, a null domain is one like others."""
+    from ingestlens.sources import export
+
+    day = datetime(2024, 1, 1)
+    small = [("a", f"d{i % 7}", day + timedelta(minutes=i), i) for i in range(60)] + [("a", None, day, 60)]
+    rows = spark.createDataFrame(small + [("b", "busy", day, 100 + i) for i in range(50)], "account_id string, domain string, started_at timestamp_ntz, error_id long")
+    export.write_landing(rows, str(tmp_path / "l"), object_rows=10, task_folders=5)
+    found = [p for p in (tmp_path / "l").rglob("part-*.parquet")]
+    per_folder = Counter(p.parent for p in found)
+    assert 1 < per_folder.pop(tmp_path / "l/account_id=b/domain=busy/d=2024-01-01/t=00-00") <= 5
+    assert len(per_folder) == 61 and set(per_folder.values()) == {1}
+    assert len({p.name.split("-")[1] for p in found}) > 5
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "l")).select("error_id").collect()) == sorted([*range(61), *range(100, 150)])
+    export.write_landing(rows.limit(0), str(tmp_path / "none"))
