@@ -16,23 +16,17 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from ingestlens.operators.fold import Rules, close_expired, step
 from ingestlens.schemas import TIMEOUT_MINUTES
-
-SITE = T.StructType([T.StructField("site_id", T.StringType())])
-OPEN = T.StructType(
-    [
-        T.StructField("batch_id", T.StringType()),
-        T.StructField("account_id", T.StringType()),
-        T.StructField("at", T.LongType()),
-        T.StructField("files", T.LongType()),
-        T.StructField("bytes", T.LongType()),
-        T.StructField("has_errors", T.BooleanType()),
-    ]
-)
-NAME = T.StructType([T.StructField("site_id", T.StringType()), T.StructField("file_name", T.StringType())])
-SIZE = T.StructType([T.StructField("file_size", T.LongType())])
-#: Rows that wait are kept in pieces of at most this stretch of time, so that a timer reads and writes few that are not due.
-PIECE = 60_000_000
-PIECE_KEY = T.StructType([T.StructField("first_at", T.LongType()), T.StructField("event_id", T.LongType())])
+from ingestlens.streaming.lots import LOTS, Names, Waiting, as_tuples, lot_of, reached, wake
+
+_TEXT, _LONG = T.StringType(), T.LongType()
+_struct = lambda **fields: T.StructType([T.StructField(n, t) for n, t in fields.items()])
+SITE = _struct(key=_TEXT, site_id=_TEXT)
+OPEN = _struct(batch_id=_TEXT, account_id=_TEXT, at=_LONG, files=_LONG, bytes=_LONG, has_errors=T.BooleanType(), saved=_LONG)
+NAME = _struct(key=_TEXT, site_id=_TEXT, file_name=_TEXT)
+SIZE = _struct(file_size=_LONG)
+PART = _struct(key=_TEXT, site_id=_TEXT, nth=_LONG)
+PART_NAMES = _struct(names=T.ArrayType(_TEXT))
+PIECE_KEY = _struct(first_at=_LONG, event_id=_LONG, nth=_LONG)
 OUT = T.StructType(
     [
         T.StructField("key", T.StringType()),
@@ -60,87 +54,49 @@ WAITING = T.StructType(
         T.StructField("file_size", T.LongType()),
     ]
 )
-PIECE_ROWS = T.StructType([T.StructField("rows", T.ArrayType(WAITING))])
+PIECE_OF_ROWS = _struct(rows=T.ArrayType(WAITING))
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
-def _reached(at: int) -> int:
-    """The first watermark (milliseconds) that is not before a time in microseconds; Spark drops rows up to the watermark."""
-    return -(-at // 1000)
-
-
-class _Names:
-    """The file names of an open batch: asked for and added one by one, never read as a whole."""
-
-    def __init__(self, state, site, count: int):
-        self.state, self.site, self.count = state, site, count
-
-    def __contains__(self, name) -> bool:
-        return self.state.containsKey((self.site, name))
-
-    def __setitem__(self, name, size) -> None:
-        self.state.updateValue((self.site, name), (size,))
-        self.count += 1
-
-    def __len__(self) -> int:
-        return self.count
-
-
 class Lifecycle(StatefulProcessor):
-    """State of a key: its open batches, their file names, the rows that wait for the watermark; one timer, for the earliest thing to do.
+    """State of a lot of keys: their open batches, these batches' file names, the rows that wait for the watermark; one timer, for the earliest thing to do.
 
-    With ``uploads``, accepted files are rows too (``event`` UPLOADED, their size in ``bytes``).
+    A row's key is its field ``key``. A call applies all that is due of the lot
+    in memory, and reads and writes the state by pieces of many rows; what
+    begins and ends within a call is never written. With ``uploads``, accepted
+    files are rows too (``event`` UPLOADED, their size in ``bytes``).
     """
 
-    def __init__(self, rules: Rules, uploads: bool = False):
-        self.rules, self.uploads = rules, uploads
+    def __init__(self, rules: Rules, uploads: bool = False, key: str = "site_id"):
+        self.rules, self.uploads, self.key = rules, uploads, WAITING.names.index(key)
 
     def init(self, handle) -> None:
         self.handle = handle
         self.open = handle.getMapState("open", SITE, OPEN)
         self.names = handle.getMapState("names", NAME, SIZE)
-        self.waiting = handle.getMapState("waiting", PIECE_KEY, PIECE_ROWS)
-
-    def _load(self) -> dict:
-        """Site to open batch, as the fold wants them."""
-        if not self.open.exists():
-            return {}
-        return {
-            site: {"site_id": site, "batch_id": b, "account_id": a, "at": at, "names": _Names(self.names, site, n), "bytes": size, "has_errors": bad}
-            for (site,), (b, a, at, n, size, bad) in self.open.iterator()
-        }
+        self.parts = handle.getMapState("parts", PART, PART_NAMES)
+        self.waiting = Waiting(handle.getMapState("waiting", PIECE_KEY, PIECE_OF_ROWS))
+
+    def _load(self) -> tuple[dict, dict]:
+        """Key to site to open batch, as the fold wants them, and the stored rows."""
+        open_: dict = {}
+        stored = {tuple(k): tuple(v) for k, v in self.open.iterator()} if self.open.exists() else {}
+        for (key, site), (b, a, at, n, size, bad, saved) in stored.items():
+            names = Names(self.names, self.parts, (key, site), saved, n)
+            open_.setdefault(key, {})[site] = {"site_id": site, "batch_id": b, "account_id": a, "at": at, "names": names, "bytes": size, "has_errors": bad}
+        return open_, stored
 
     def _save(self, before: dict, open_: dict) -> None:
-        for site, b in open_.items():
-            row = (b["batch_id"], b["account_id"], b["at"], len(b["names"]), b["bytes"], b["has_errors"])
-            if before.get(site) != row:
-                self.open.updateValue((site,), row)
-        for site in before.keys() - open_.keys():
-            self.open.removeKey((site,))
-
-    def _forget(self, sites: set) -> None:
-        """Drops the names of batches that are over."""
-        for key in [tuple(k) for k in self.names.keys() if k[0] in sites]:
-            self.names.removeKey(key)
-
-    def _keep(self, rows: list[tuple]) -> None:
-        """Adds rows to what waits, in new pieces; nothing that waits already is read."""
-        piece: list[tuple] = []
-        for r in sorted(rows, key=lambda r: (r[1], r[0])):
-            if piece and r[1] // PIECE != piece[0][1] // PIECE:
-                self.waiting.updateValue((piece[0][1], piece[0][0]), (piece,))
-                piece = []
-            piece.append(r)
-        if piece:
-            self.waiting.updateValue((piece[0][1], piece[0][0]), (piece,))
-
-    def _wake(self, due: list[int]) -> None:
-        """The one timer, at the earliest of ``due`` (milliseconds)."""
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if due:
-            self.handle.registerTimer(min(due))
+        left = set()
+        for key, sites in open_.items():
+            for site, b in sites.items():
+                left.add((key, site))
+                row = (b["batch_id"], b["account_id"], b["at"], len(b["names"]), b["bytes"], b["has_errors"], b["names"].save())
+                if before.get((key, site)) != row:
+                    self.open.updateValue((key, site), row)
+        for gone in before.keys() - left:
+            self.open.removeKey(gone)
 
     def _row(self, key, event: str, at: int, site, batch, account=None, files=None, size=None, bad=None, reason=None):
         return T.Row(key=key, site_id=site, account_id=account, batch_id=batch, event=event, at=at, files=files, bytes=size, has_errors=bad, reason=reason, time=_EPOCH + timedelta(microseconds=at))
@@ -153,50 +109,48 @@ class Lifecycle(StatefulProcessor):
                 yield self._row(key, "REJECTED", r["t"], r["site_id"], r["batch_id"], reason=r["reason"])
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [tuple(r[f] for f in WAITING.names) for r in rows]
-        self._keep(new)
+        new = as_tuples(rows, WAITING.names)
+        self.waiting.keep(new)
         times = list(self.handle.listTimers())
-        first = min(_reached(r[1]) for r in new)
+        first = min(reached(r[1]) for r in new)
         if not times or first < min(times):
-            self._wake([first])
+            wake(self.handle, [first])
         return iter(())
 
+    def _applied(self, name, open_: dict, e: dict):
+        """Rows that event ``e`` gives, of its key's open batches; the names of batches that end are forgotten."""
+        site, had = e["site_id"], dict(open_)
+        size = had[site]["bytes"] if site in had else None
+        found = step(open_, e, self.rules)
+        yield from self._rows(name, found)
+        # What a site's names were is forgotten before it can start again.
+        for s, b in had.items():
+            if open_.get(s) is not b:
+                b["names"].forget()
+        b = open_.get(site)
+        if b and had.get(site) is not b:
+            b["names"] = Names(self.names, self.parts, (name, site))
+            yield self._row(name, "STARTED", b["at"], b["site_id"], b["batch_id"], b["account_id"], 0, 0, False)
+        elif self.uploads and b and b["bytes"] > size:
+            yield self._row(name, "UPLOADED", e["at"], b["site_id"], b["batch_id"], b["account_id"], 1, b["bytes"] - size)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         # Timers and the watermark count milliseconds, the fold microseconds.
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
-        open_, name, due, later, firsts = self._load(), key[0], [], [], []
-        before = {s: (b["batch_id"], b["account_id"], b["at"], len(b["names"]), b["bytes"], b["has_errors"]) for s, b in open_.items()}
-        for piece in [tuple(k) for k in self.waiting.keys()] if self.waiting.exists() else []:
-            if piece[0] > now:
-                firsts.append(piece[0])
-                continue
-            rows = [tuple(r) for r in self.waiting.getValue(piece)[0]]
-            self.waiting.removeKey(piece)
-            due += [r for r in rows if r[1] <= now]
-            later += [r for r in rows if r[1] > now]
-        self._keep(later)
-        for r in sorted(due, key=lambda r: (r[1], r[0])):
-            e = dict(zip(WAITING.names, r, strict=True))
-            ids, sizes = {s: b["batch_id"] for s, b in open_.items()}, {s: b["bytes"] for s, b in open_.items()}
-            found = step(open_, e, self.rules)
-            yield from self._rows(name, found)
-            # What a site's names were is forgotten before it can start again.
-            if over := {s for s, i in ids.items() if s not in open_ or open_[s]["batch_id"] != i}:
-                self._forget(over)
-            b = open_.get(e["site_id"])
-            if b and ids.get(e["site_id"]) != b["batch_id"]:
-                b["names"] = _Names(self.names, b["site_id"], 0)
-                yield self._row(name, "STARTED", b["at"], b["site_id"], b["batch_id"], b["account_id"], 0, 0, False)
-            elif self.uploads and b and b["bytes"] > sizes[e["site_id"]]:
-                yield self._row(name, "UPLOADED", e["at"], b["site_id"], b["batch_id"], b["account_id"], 1, b["bytes"] - sizes[e["site_id"]])
-        had = set(open_)
-        yield from self._rows(name, close_expired(open_, now, self.rules))
-        if over := had - open_.keys():
-            self._forget(over)
+        open_, before = self._load()
+        due, later = self.waiting.due(now)
+        for r in due:
+            name = r[self.key]
+            yield from self._applied(name, open_.setdefault(name, {}), dict(zip(WAITING.names, r, strict=True)))
+        for name, sites in open_.items():
+            had = dict(sites)
+            yield from self._rows(name, close_expired(sites, now, self.rules))
+            for s in had.keys() - sites.keys():
+                had[s]["names"].forget()
         self._save(before, open_)
         # Watermarks count milliseconds. A batch exactly at its deadline is still open, hence one more.
-        ends = [self.rules.closes_at(b["at"]) // 1000 + 1 for b in open_.values()]
-        self._wake([*map(_reached, [*firsts, *(r[1] for r in later)]), *ends])
+        ends = [self.rules.closes_at(b["at"]) // 1000 + 1 for sites in open_.values() for b in sites.values()]
+        wake(self.handle, [*map(reached, later), *ends])
 
     def close(self) -> None:
         pass
@@ -211,6 +165,7 @@ def lifecycle_stream(
     delay: str = "0 seconds",
     uploads: bool = False,
     chained: bool = False,
+    lots: int = LOTS,
 ) -> DataFrame:
     """Rows STARTED, the four ends, and REJECTED for a stream of events (see ``schemas.EVENTS``) in any order within ``delay``.
 
@@ -223,16 +178,18 @@ def lifecycle_stream(
     one state. Rows within the last millisecond wait as well. ``uploads`` adds a
     row UPLOADED for every accepted file. With ``chained``, ``at`` is the event
     time of what follows, with the same watermark, so windows over it can be
-    counted in the same stream. The session must keep state in ``STATE_STORE``.
+    counted in the same stream. ``key`` is a column of the events; keys are
+    dealt to ``lots``, each of which one call handles for a micro-batch, so a
+    task holds a lot's share of a micro-batch at a time. The session must keep state in ``STATE_STORE``.
     """
     kept = events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass")
     if kept != STATE_STORE:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STATE_STORE} for this stream")
     rows = events.withWatermark("t", delay).select(
-        F.col(key).alias("key"), "t", "event_id", F.unix_micros("t").alias("at"), "account_id", "site_id", "batch_id", "action", "file_name", "file_size"
+        lot_of(F.col(key), lots).alias("lot"), "t", "event_id", F.unix_micros("t").alias("at"), "account_id", "site_id", "batch_id", "action", "file_name", "file_size"
     )
-    out = rows.groupBy("key").transformWithState(
-        statefulProcessor=Lifecycle(Rules(minutes * 60_000_000, limit, expire_at), uploads), outputStructType=OUT, outputMode="Append", timeMode="EventTime", eventTimeColumnName="time" if chained else "",
+    out = rows.groupBy("lot").transformWithState(
+        statefulProcessor=Lifecycle(Rules(minutes * 60_000_000, limit, expire_at), uploads, key), outputStructType=OUT, outputMode="Append", timeMode="EventTime", eventTimeColumnName="time" if chained else "",
     )
     columns = [f.name for f in OUT if f.name not in ("at", "time")]
     return out.select(*columns[:5], F.col("time").alias("at"), *columns[5:])
