@@ -21,8 +21,6 @@ _SPACE = r"[\\x20\\x09-\\x0D]"
 BUCKETS = 1 << 16
 #: Counts that every bucket has beforehand, in both multinomials.
 PRIOR = 1.0
-#: Trusted rows that are used, by smallest hash of the id: a bound on the ids that are broadcast.
-TRUSTED_ROWS = 50_000
 #: Of the trusted rows, one in so many is kept for the threshold.
 HELD = 3
 #: The threshold lies so many interquartile ranges of the kept trusted rows' scores below their lower quartile.
@@ -82,11 +80,11 @@ def _ngrams(rows: DataFrame, *keep: str) -> DataFrame:
     return pairs.select(*keep, F.pmod(a, F.lit(BUCKETS)).alias("one"), F.pmod(a * 1_000_003 + b, F.lit(BUCKETS)).alias("two"))
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = TRUSTED_ROWS) -> DataFrame:
-    """``id, held`` of the trusted rows: labelled 1, without id not; at most ``rows`` of them by hash of the id."""
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """``id, held`` of the trusted rows: labelled 1, without id not; all of them."""
     ids = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("id"), F.md5(F.col(id_col).cast("string").cast("binary")).alias("h")).filter("h is not null").distinct()
     held = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(HELD)) == 0
-    return ids.orderBy("h").limit(rows).select("id", held.alias("held"))
+    return ids.select("id", held.alias("held"))
 
 
 def scored(rows: DataFrame, weights: DataFrame, *keep: str) -> DataFrame:
@@ -107,10 +105,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The ratio of trusted rows to all ``docs``; every row and its whole text are counted.
 
     Without trusted rows, or with too few to keep any for the threshold, all
-    texts pass that the fixed rules let pass.
+    texts pass that the fixed rules let pass. The trusted ids grow with the
+    labels, so they are not broadcast unless Spark finds them small.
     """
-    trusted = F.broadcast(trusted_ids(labels).withColumnRenamed("id", "__id"))
-    rows = with_counts(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))).join(trusted, "__id", "left")
+    trusted = trusted_ids(labels).withColumnRenamed("id", "__id")
+    rows = with_counts(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(trusted, "__id", "left"))
     both = _ngrams(rows, "held").select("held", F.explode(F.array("one", "two")).alias("bucket")).filter("bucket is not null")
     counted = both.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if(F.col("held") == False).alias("good"))  # noqa: E712
     counts = stored(counted, "bucket-counts")

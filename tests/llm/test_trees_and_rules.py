@@ -218,3 +218,9 @@ def test_rules(spark):
     assert free.threshold is None
     assert ngram_rules.judge(frame, free).filter("kept = base_failed").count() == 0
     assert ngram_rules.fit(frame.limit(0), marks).threshold is None
+
+
+def test_all_trusted_rows_count(spark):
+    """More trusted rows than were once taken: none is left out."""
+    labels = spark.range(60_000).selectExpr("id as doc_id", "1 as quality")
+    assert ngram_rules.trusted_ids(labels).count() == 60_000
