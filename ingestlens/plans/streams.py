@@ -105,15 +105,21 @@ def str1_outcomes(spark, sf_dir):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "measure", "kind", "n", "bytes")
 
 
-def in_slices(spark: SparkSession, rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` as a stream of ``n`` micro-batches, equal stretches of ``t``, in order."""
+def in_slices(spark: SparkSession, rows: DataFrame, n: int, file_rows: int = 100_000) -> DataFrame:
+    """``rows`` as a stream of ``n`` micro-batches, equal stretches of ``t``, in order.
+
+    Every slice has the same number of files, as many as the smallest can fill with ``file_rows`` each (one at least), which a micro-batch takes together.
+    """
     place = f"{_folder(spark)}/slices"
     first, last = rows.agg(F.unix_micros(F.min("t")), F.unix_micros(F.max("t"))).first()
     nth = F.least(F.lit(n - 1), F.floor((F.unix_micros("t") - F.lit(first)) * n / F.lit((last or 0) - (first or 0) + 1)))
     placed = rows.withColumn("__slice", nth)
+    sizes = {r["__slice"]: r["count"] for r in placed.groupBy("__slice").count().collect()}
+    files = max(1, min(sizes.get(k, 0) for k in range(n)) // file_rows)
     for k in range(n):  # files are taken in order of their time
-        placed.filter(F.col("__slice") == k).drop("__slice").coalesce(1).write.mode("append").parquet(place)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
+        part = placed.filter(F.col("__slice") == k).drop("__slice")
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(place)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(place)
 
 
 def _counted(spark: SparkSession, sf_dir: str, versions: int | None) -> str:

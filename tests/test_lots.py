@@ -1,8 +1,11 @@
 """Lots of keys: calls of the state do not grow with the keys, and rows sent twice all wait."""
 
+from conftest import SMALL
 from pyspark.sql import Row
 
+from ingestlens.operators import lifecycle
 from ingestlens.operators.fold import Rules
+from ingestlens.plans import streams
 from ingestlens.streaming import first_files
 from ingestlens.streaming.lifecycle import WAITING, Lifecycle
 
@@ -100,3 +103,14 @@ def test_open_batches_over_calls_and_rows_sent_twice():
     twice = [("REJECTED", "s", None, "DUPLICATE_NAME")] * 3
     assert got == [("STARTED", "s", 0, None), ("STARTED", "t", 0, None), *twice, ("COMPLETED", "s", 2, None), ("STARTED", "s", 0, None)]
     assert set(handle.maps["names"].kept) == {("s", "s", "x")} and set(handle.maps["open"].kept) == {("s", "s"), ("t", "t")}
+
+
+def test_slices_of_several_files_are_one_micro_batch_each(spark, tmp_path):
+    events = lifecycle.feed(spark.read.parquet(f"{SMALL}/events.parquet"))
+    seen = []
+    flow = streams.in_slices(spark, events, 4, file_rows=40)
+    query = flow.writeStream.foreachBatch(lambda rows, n: seen.append((len(rows.inputFiles()), [r["t"] for r in rows.collect()])))
+    query.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 4 and len({files for files, _ in seen}) == 1
+    assert all(max(a) < min(b) for (_, a), (_, b) in zip(seen, seen[1:], strict=False))
+    assert sum(len(t) for _, t in seen) == events.count()
