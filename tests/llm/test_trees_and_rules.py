@@ -1,12 +1,13 @@
 """Manifest, prefix trie and n-gram rules against plain Python, with awkward rows."""
 
 import hashlib
+import io
 import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from contextlib import contextmanager
+from contextlib import contextmanager, redirect_stdout
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,3 +225,50 @@ def test_all_trusted_rows_count(spark):
     """More trusted rows than were once taken: none is left out."""
     labels = spark.range(60_000).selectExpr("id as doc_id", "1 as quality")
     assert ngram_rules.trusted_ids(labels).count() == 60_000
+
+
+def test_rules_shuffle_no_text(spark, monkeypatch):
+    """One plan, whatever Spark may broadcast, and no exchange in it has the texts."""
+    stored, seen = ngram_rules.stored, []
+    monkeypatch.setattr(ngram_rules, "stored", lambda df, name: seen.append(df) or stored(df, name))
+    docs = spark.range(60).selectExpr("id as doc_id", "array_join(transform(sequence(1, 80), i -> concat('w', id, '_', i)), ' ') as text")
+    labels = spark.range(50).selectExpr("id as doc_id", "1 as quality")
+    joins, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for bound in ("10m", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+            seen.clear()
+            assert ngram_rules.fit(docs, labels).threshold is not None
+            out = io.StringIO()
+            with redirect_stdout(out):
+                for df in seen:
+                    df.explain("formatted")
+            nodes = re.split(r"\n(?=\(\d+\) )", out.getvalue())
+            exchanges = [x for x in nodes if re.match(r"\(\d+\) Exchange", x)]
+            assert exchanges and not [x for x in exchanges if re.search(r"\b(text|__words)#", x)]
+            joins.append([x.split()[1] for x in nodes if re.match(r"\(\d+\) \w+Join", x)])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert joins[0] == joins[1] == ["SortMergeJoin"]
+
+
+def test_rows_without_id_are_dealt_out(spark):
+    """Rows without id are trusted by nothing and are no group of their own in the join."""
+    rows = spark.range(400).selectExpr("cast(null as long) as doc_id", "id as n_words").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ngram_rules._marked(rows, spark.range(9).selectExpr("id", "true as held"))
+        spread = got.filter("held is null").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r[1] for r in spread) == 400
+    assert len(spread) == 4 and max(r[1] for r in spread) < 200
+
+
+def test_repeats_against_plain_counts(spark):
+    """Repeated, overlapping and nearly repeated windows in long texts."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("ab") + str(rng.randint(0, m)) for _ in range(n)) for m in (0, 3, 40, 4000) for n in (2, 3, 4, 60, 3000)]
+    got = ngram_rules.with_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for r in got.collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_counts(r.text)
