@@ -43,6 +43,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def marked(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``maybe``: true for all whose ``keys`` are in ``wanted`` and for few others.
+
+    A Bloom filter of sixteen bits and more for every row of ``wanted``, three of
+    one 64-bit word set by each, as a table of words; past 2**28 bits (64 MB as a
+    table) it grows no more, but marks more rows and never misses one.
+    """
+    words = min(1 << 22, max(1 << 10, 1 << (wanted.count() // 4).bit_length()))
+    key = F.xxhash64(*keys, F.lit("filter")).alias("__key")
+    word = F.expr(f"__key & {words - 1}L")
+    bits = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(__key, {k}) & 63 as int))" for k in (40, 46, 52)))
+    filled = wanted.select(key).select(word.alias("__word"), bits.alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+    placed = rows.select("*", key).withColumns({"__word": word, "__own": bits})
+    there = F.coalesce(F.expr("__bits & __own = __own"), F.lit(False))
+    return placed.join(F.broadcast(filled), "__word", "left").select(*rows.columns, there.alias("maybe"))
+
+
+def maybe_among(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` without most of those whose ``keys`` are not in ``wanted``, so that few are shuffled to it."""
+    return marked(rows, wanted, *keys).filter("maybe").drop("maybe")
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z; every other character stays. ``lower`` is faster but only right for plain ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

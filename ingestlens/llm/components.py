@@ -26,6 +26,10 @@ def _state(links: DataFrame):
     return links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
+#: Links that a task writes, about; a table of few links is few files, which the next round reads.
+TASK_LINKS = 250_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` for every node of ``links`` (``u, v`` of one type): the least node that it reaches.
 
@@ -40,6 +44,6 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while (state := _state(now)) != before:
         before = state
-        now = stored(_small_star(_large_star(now)), "links")
+        now = stored(_small_star(_large_star(now)).coalesce(-(-state[0] // TASK_LINKS) or 1), "links")
     leaves = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return leaves.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ingestlens.llm import shingles as S
-from ingestlens.llm.common import stored, table
+from ingestlens.llm.common import marked, maybe_among, stored, table
 from ingestlens.llm.components import components
 
 #: With 32 bands of 4 registers a pair at similarity 0.75 misses every band with probability 5e-6.
@@ -19,8 +19,10 @@ REGISTERS, BANDS = 128, 32
 BLOCK = 1024
 #: Pairs whose signatures agree in less than this are not verified: five standard deviations under 0.75.
 LEAST_AGREEMENT = 0.55
-#: A bucket end's members are verified in this many parts at most, each with one copy of the end's text.
-PARTS = 1024
+#: The same for a bucket's member and end, before their texts are sent: six standard deviations under 0.75.
+LEAST_OF_PAIRS = 0.5
+#: A bucket end's members are compared with it in parts of about so many, each with one copy of the end's signature or text.
+PART_MEMBERS = 256
 #: Counters of the order of shingles by rarity (a byte each in every task); any order is right, a finer one keeps more apart.
 COUNTERS = 1 << 20
 
@@ -34,13 +36,12 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[str | None]:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``id, n, set_a, set_b, bands``: size of the shingle set, two keys that equal sets share, band keys."""
+    """``id, n, set_a, set_b, sig``: size of the shingle set, two keys that equal sets share, the signature's registers at two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column("id"), 0
             for block in S.blocks(_texts(batch, "text"), shingle):
-                keys = S.band_keys(S.super_minhash(block, REGISTERS), BANDS)
                 pairs = [S.set_key(s) for s in block]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -48,16 +49,24 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                         pa.array([len(s) for s in block], pa.int64()),
                         pa.array([p[0] for p in pairs], pa.int64()),
                         pa.array([p[1] for p in pairs], pa.int64()),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.arange(len(block) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1))
-                        ),
+                        pa.array([r.tobytes() for r in S.registers(S.super_minhash(block, REGISTERS))], pa.binary()),
                     ],
-                    names=["id", "n", "set_a", "set_b", "bands"],
+                    names=["id", "n", "set_a", "set_b", "sig"],
                 )
                 at += len(block)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {_kind(rows)}, n long, set_a long, set_b long, bands array<long>")
+    return rows.mapInArrow(run, f"id {_kind(rows)}, n long, set_a long, set_b long, sig binary")
+
+
+def _bands():
+    """The band keys of a signature: a hash for each run of registers and its number."""
+    size = 2 * REGISTERS // BANDS
+    return F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * size + 1, size)) for k in range(BANDS)])
+
+
+def _registers(batch, name: str = "sig") -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -68,17 +77,42 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs ``u, v`` whose full shingle sets are similar; ``v`` is the end of a bucket, which very many may share.
+def _with_ends(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of ``pairs`` (``u, v``) with ``facts`` of ``u``, each run of them (``v, part``) behind a row with those of ``v`` (``member`` 0).
 
-    A member's text travels once for each of its pairs, of which it has two a
-    band at most, an end's text once for every part of its members; neither is
-    looked up by a key that many rows share.
+    ``v`` is the end of a bucket, which very many may share. A member's facts
+    travel once for each of its pairs, an end's once for every part of its
+    members; neither is looked up by a key that many rows share.
     """
-    part = F.pmod(F.xxhash64("u"), F.lit(PARTS)).cast("int").alias("part")
-    members = pairs.join(texts.select(F.col("id").alias("u"), "text"), "u").select("v", part, F.lit(1).alias("member"), "u", "text")
-    ends = pairs.select("v", part).distinct().join(texts.select(F.col("id").alias("v"), "text"), "v")
-    rows = members.unionByName(ends.select("v", "part", F.lit(0).alias("member"), F.lit(None).cast(_kind(pairs, "u")).alias("u"), "text"))
+    given = [c for c in facts.columns if c != "id"]
+    busy = pairs.groupBy("v").agg(F.ceil(F.count("*") / PART_MEMBERS).cast("int").alias("parts")).filter("parts > 1")
+    part = F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    parted = pairs.join(busy, "v", "left").select("u", "v", part)
+    members = parted.join(facts.withColumnRenamed("id", "u"), "u").select("v", "part", F.lit(1).alias("member"), "u", *given)
+    ends = parted.select("v", "part").distinct().join(facts.withColumnRenamed("id", "v"), "v")
+    rows = members.unionByName(ends.select("v", "part", F.lit(0).alias("member"), F.lit(None).cast(_kind(pairs, "u")).alias("u"), *given))
+    return rows.repartition("v", "part").sortWithinPartitions("v", "part", "member").select("u", "v", "member", *given)
+
+
+def _likely(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``u, v`` that may be similar by set sizes and signatures (``facts``: id, n, sig)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = None
+        for batch in batches:
+            sizes, sigs, keep = batch.column("n").to_pylist(), _registers(batch), []
+            for member, n, sig in zip(batch.column("member").to_pylist(), sizes, sigs, strict=True):
+                if not member:  # comes before its part's members
+                    end = (n, sig)
+                small, large = sorted((n, end[0]))
+                keep.append(bool(member) and 100 * small >= percent * large and (sig == end[1]).mean() >= LEAST_OF_PAIRS)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return _with_ends(pairs, facts).mapInArrow(run, f"u {_kind(pairs, 'u')}, v {_kind(pairs, 'v')}")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs ``u, v`` whose full shingle sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = None
@@ -91,32 +125,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                 keep.append(bool(member) and _similar(end, one, percent))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    placed = rows.repartition("v", "part").sortWithinPartitions("v", "part", "member")
-    return placed.select("u", "v", "member", "text").mapInArrow(run, f"u {_kind(pairs, 'u')}, v {_kind(pairs, 'v')}")
+    return _with_ends(pairs, texts).mapInArrow(run, f"u {_kind(pairs, 'u')}, v {_kind(pairs, 'v')}")
+
+
+def _ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id")))
 
 
 def _rarity(open_texts: DataFrame, shingle: int) -> np.ndarray:
-    """How often the shingles of each of ``COUNTERS`` hash classes occur in ``open_texts``, as a logarithm in a byte."""
+    """How often the shingles of each of ``COUNTERS`` hash classes occur in ``open_texts``, as a logarithm in a byte.
+
+    A task counts to 255, so that its counters are a byte each: past that the order is coarser, which is right too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for text in _texts(batch, "text"):
                 np.add.at(counts, (S.shingle_set(text, shingle) % np.uint64(COUNTERS)).astype(np.int64), 1)
-        some = np.flatnonzero(counts)
-        for at in range(0, len(some), 100_000):
-            part = some[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["slot", "n"])
-
-    sums = open_texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    level = (F.least(F.floor(F.log2("n") * 4) + 1, F.lit(255))).cast("int")
+        blocks = np.minimum(counts, 255).astype(np.uint8).reshape(-1, 4096)
+        some = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[b].tobytes() for b in some], pa.binary())], ["b", "counts"])
 
-    def packed(rows):
-        block = np.zeros(4096, np.uint8)
-        block[np.asarray(rows.column("slot")) % 4096] = np.asarray(rows.column("level"))
-        return pa.table({"b": rows.column("b").slice(0, 1), "levels": pa.array([block.tobytes()], pa.binary())})
+    def summed(rows):
+        n = sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in rows.column("counts").to_pylist())
+        levels = np.where(n > 0, np.minimum(np.floor(np.log2(np.maximum(n, 1)) * 4) + 1, 255), 0).astype(np.uint8)
+        return pa.table({"b": rows.column("b").slice(0, 1), "levels": pa.array([levels.tobytes()], pa.binary())})
 
-    blocks = sums.select(F.expr("slot div 4096").alias("b"), "slot", level.alias("level")).groupBy("b").applyInArrow(packed, "b long, levels binary")
+    blocks = open_texts.select("text").mapInArrow(run, "b long, counts binary").groupBy("b").applyInArrow(summed, "b long, levels binary")
     out = np.zeros(COUNTERS, np.uint8)
     for r in blocks.collect():  # COUNTERS bytes at most
         out[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(r["levels"], np.uint8)
@@ -124,7 +160,7 @@ def _rarity(open_texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _prefixes(open_texts: DataFrame, rarity: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """``comp, h``: for every document of ``open_texts`` (comp, text) its shingles up to the necessary prefix in order of rarity.
+    """``id, prefix``: for every document of ``open_texts`` (id, text) its shingles up to the necessary prefix in order of rarity.
 
     Two sets of ``percent`` per cent similarity share a shingle among the first
     n - ceil(n * percent / 100) + 1 of each, in any one order. One that the
@@ -135,17 +171,17 @@ def _prefixes(open_texts: DataFrame, rarity: np.ndarray, shingle: int, percent:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for batch in batches:
-            found, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for i, text in enumerate(_texts(batch, "text")):
+            found = []
+            for text in _texts(batch, "text"):
                 one = S.shingle_set(text, shingle)
                 level = rarity[(one % np.uint64(COUNTERS)).astype(np.int64)]
                 first = np.lexsort((one, level))[: len(one) - -(-len(one) * percent // 100) + 1]
                 found.append(one[first[level[first] > 1]])
-                owner.append(np.full(len(found[-1]), i))
-            where = pa.array(np.concatenate(owner))
-            yield pa.RecordBatch.from_arrays([batch.column("comp").take(where), pa.array(np.concatenate(found).view(np.int64))], ["comp", "h"])
+            at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), prefix], ["id", "prefix"])
 
-    return open_texts.select("comp", "text").mapInArrow(run, f"comp {_kind(open_texts, 'comp')}, h long").distinct()
+    return open_texts.select("id", "text").mapInArrow(run, f"id {_kind(open_texts)}, prefix array<long>")
 
 
 def _reachable(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -153,15 +189,43 @@ def _reachable(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -
 
     Documents that cannot be similar to any outside their component are not
     returned. Work is linear in the shingles: components that share one are
-    joined to the least of them, not to each other.
+    joined to the least of them, not to each other. Texts are read where they
+    are stored, only their prefixes travel.
     """
-    open_texts = stored(open_.select("id", "comp").join(texts, "id"), "open-texts")
-    shared = stored(_prefixes(open_texts, _rarity(open_texts, shingle), shingle, percent), "prefix-shingles")
+    open_texts = maybe_among(texts, open_, "id")
+    prefixes = _prefixes(open_texts, _rarity(open_texts, shingle), shingle, percent)
+    with_comp = stored(open_.join(prefixes, "id").select("comp", "prefix"), "prefix-shingles")
+    shared = with_comp.select("comp", F.explode("prefix").alias("h"))
     least = shared.groupBy("h").agg(F.min("comp").alias("v"), F.max("comp").alias("most")).filter("v < most").select("h", "v")
     links = shared.join(least, "h").filter("comp <> v").select(F.col("comp").alias("u"), "v").distinct()
     return open_.join(components(links).withColumnsRenamed({"id": "comp", "component": "cluster"}), "comp")
 
 
+def _alike(rows: DataFrame, percent: int) -> DataFrame:
+    """Of each block of ``rows`` (block keys, side, id, comp, n, sig) what :func:`_across` may link: block keys, side and id.
+
+    A document of side 0 and one of any side, of unlike components, whose set sizes and signatures allow it.
+    """
+
+    def run(table_):
+        side = np.asarray(table_.column("side"))
+        sizes, sigs = np.asarray(table_.column("n")), _registers(table_)
+        comps = [tuple(c.values()) if isinstance(c, dict) else c for c in table_.column("comp").to_pylist()]
+        numbers = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+        group = np.array([numbers[c] for c in comps])
+        keep = np.zeros(len(side), bool)
+        for i in np.flatnonzero(side == 0):
+            may = (group != group[i]) & (100 * sizes >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes)
+            at = np.flatnonzero(may)
+            at = at[(sigs[at] == sigs[i]).mean(1) >= LEAST_AGREEMENT]
+            keep[at] = True
+            keep[i] |= len(at) > 0
+        return table_.select(["cluster", "row_block", "col_block", "side", "id"]).filter(pa.array(keep))
+
+    kinds = ", ".join(f"{c} {_kind(rows, c)}" for c in ("cluster", "row_block", "col_block", "side", "id"))
+    return rows.groupBy("cluster", "row_block", "col_block").applyInArrow(run, kinds)
+
+
 def _across(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links ``u, v`` between components inside each block of ``rows`` (block keys, side, id, comp, text).
 
@@ -208,21 +272,6 @@ def _across(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return rows.groupBy("cluster", "row_block", "col_block").applyInArrow(run, f"u {_kind(rows)}, v {_kind(rows)}")
 
 
-def _maybe_among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose id is not in ``wanted``, so that few texts are shuffled to it.
-
-    A one-hash Bloom filter of eight bits and more for every id, as a table of
-    32-bit words; past 2**28 bits (128 MB as a table) it grows no more, but
-    lets more rows through and never loses one.
-    """
-    words = min(1 << 23, max(1 << 10, 1 << (wanted.count() // 4).bit_length()))
-    slot = F.pmod(F.xxhash64("id", F.lit("filter")), F.lit(words * 32))
-    bit = F.expr("shiftleft(1L, cast(slot % 32 as int))")
-    filled = wanted.select(slot.alias("slot")).groupBy(F.expr("slot div 32").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    placed = rows.withColumn("slot", slot).withColumn("word", F.expr("slot div 32"))
-    return placed.join(F.broadcast(filled), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
-
-
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75
 ) -> DataFrame:
@@ -253,22 +302,31 @@ def near_groups(
     id_col, text_col = "node", "text"
     sketched = stored(sketches(docs, id_col, text_col, shingle), "sketches")
     filled = sketched.filter("n > 0 and id is not null")
-    classes = stored(
-        filled.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes"
-    )
-    members = classes.select("rep", F.explode("bands").alias("bucket"))
+    counted = filled.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
+    equal = stored(counted.filter("rows > 1").select("set_a", "set_b", "rep"), "equal-sets")
+    # A set of one row is a class of its own, whose signature need not travel.
+    split = marked(filled, equal, "set_a", "set_b")
+    several = split.filter("maybe").groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = split.filter("not maybe").select("id", "n", "sig").unionByName(stored(several.select("id", "n", "sig"), "classes"))
+
+    # Which buckets may hold several is counted by 32 bits of their key; only their members travel with their id.
+    members = classes.select(F.col("id").alias("rep"), F.explode(_bands()).alias("bucket")).withColumn("slot", F.col("bucket").bitwiseAND(F.lit((1 << 32) - 1)))
+    busy = stored(members.groupBy("slot").count().filter("count > 1").select("slot"), "busy-buckets")
+    members = stored(maybe_among(members, busy, "slot").drop("slot"), "bucket-members")
     ends = members.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
     met = members.join(ends, "bucket")
     either = F.explode(F.when(F.col("rep") == F.col("high"), F.array("low")).otherwise(F.array("low", "high")))
-    pairs = stored(met.select(F.col("rep").alias("u"), either.alias("v")).filter("u <> v").distinct(), "candidates")
-    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = stored(
-        _maybe_among(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted)
-        .join(wanted, "id")
-        .dropDuplicates(["id"]),
-        "candidate-texts",
-    )
-    links = stored(_verified(pairs, texts, shingle, percent), "verified")
+    met = met.filter("rep <> low").select(F.col("rep").alias("u"), either.alias("v"))
+    # Two that are each other's end in different buckets are one pair.
+    once = met.groupBy(F.least("u", "v"), F.greatest("u", "v")).agg(F.max("u").alias("u"), F.min("v").alias("v"))
+    pairs = stored(once.select("u", "v"), "candidates")
+    wanted = stored(_ends_of(pairs).distinct(), "candidate-ids")
+    # Rows that agree in id and text are one; that they are several is seen where they meet by id.
+    texts = stored(maybe_among(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, "id"), "candidate-texts")
+    text_of = lambda ids: maybe_among(texts, ids, "id").dropDuplicates(["id"])
+    facts = stored(maybe_among(classes, wanted, "id"), "candidate-signatures")
+    likely = stored(_likely(pairs, facts, percent), "likely")
+    links = stored(_verified(likely, text_of(_ends_of(likely)), shingle, percent), "verified")
 
     cluster = components(pairs).withColumnRenamed("component", "cluster")
     comp = components(links).withColumnRenamed("component", "comp")
@@ -292,17 +350,18 @@ def near_groups(
     grid = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     as_row = open_.filter("side = 0").select("cluster", spread("row", F.col("rows")).alias("row_block"), grid("cols").alias("col_block"), F.lit(0).alias("side"), "id", "comp")
     as_col = open_.select("cluster", grid("rows").alias("row_block"), spread("col", F.col("cols")).alias("col_block"), F.lit(1).alias("side"), "id", "comp")
-    more = _across(as_row.unionByName(as_col).join(texts, "id"), shingle, percent)
+    alike = stored(_alike(as_row.unionByName(as_col).join(facts, "id"), percent), "alike")
+    meet = alike.join(open_.select("id", "comp"), "id").join(text_of(alike.select("id")), "id")
+    more = _across(meet, shingle, percent)
     linked = components(stored(links.unionByName(more), "all-links"))
 
-    named = classes.select("set_a", "set_b", "rep").join(
-        linked.select(F.col("id").alias("rep"), "component"), "rep", "left"
-    )
-    by_class = named.select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
+    named = equal.join(linked.select(F.col("id").alias("rep"), F.col("component").alias("__found")), "rep", "left")
+    by_set = named.select("set_a", "set_b", F.coalesce("__found", "rep").alias("of_set"))
     return (
         sketched.select("id", "n", "set_a", "set_b")
-        .join(by_class, ["set_a", "set_b"], "left")
-        .withColumn("component", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")))
+        .join(by_set, ["set_a", "set_b"], "left")
+        .join(linked, "id", "left")
+        .withColumn("component", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("of_set", "component", "id")).otherwise(F.col("id")))
         .select(
             "id.id",
             F.col("n").alias("n_shingles"),

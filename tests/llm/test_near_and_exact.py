@@ -8,8 +8,10 @@ import pytest
 from conftest import SMALL, same_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ingestlens.llm import near_dedup, registry, shingles
+from ingestlens.llm.common import maybe_among
 from ingestlens.llm.components import components
 from ingestlens.llm.exact_dedup import exact_dedup, keep_one
 
@@ -131,6 +133,39 @@ def test_template_pages_are_not_compared(spark, monkeypatch):
     assert max(seen) < 40
 
 
+def test_only_likely_pairs_send_texts(spark, monkeypatch):
+    """Pages of one template, similarity about 0.3, share buckets; none of their texts is sent to be verified, and a pair goes once."""
+    seen = []
+    verified = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *a: seen.extend((r["u"]["id"], r["v"]["id"]) for r in pairs.collect()) or verified(pairs, *a))
+    rng = np.random.default_rng(11)
+    template = " ".join(f"t{i}" for i in range(90))
+    rows = [(i, template + " " + " ".join(f"x{rng.integers(0, 10**9)}" for _ in range(95))) for i in range(120)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(9)]
+    got = {r["id"]: r["component_id"] for r in near_dedup.near_groups(frame(spark, rows)).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert sorted(sorted(p) for p in seen) == [[i, 1000 + i] for i in range(9)]
+
+
+def test_busy_end_is_met_in_parts(spark, monkeypatch):
+    """Members of one end are dealt to parts by their number, each with one row of the end; a few members share one."""
+    monkeypatch.setattr(near_dedup, "PART_MEMBERS", 10)
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 101)] + [(i, 500) for i in range(501, 508)], "u long, v long")
+    facts = spark.createDataFrame([(i, f"t{i}") for i in range(600)], "id long, text string")
+    rows = near_dedup._with_ends(pairs, facts).collect()
+    assert sorted((r["u"], r["v"], r["text"]) for r in rows if r["member"]) == sorted((u, v, f"t{u}") for u, v in ((r["u"], r["v"]) for r in pairs.collect()))
+    ends = [(r["v"], r["text"]) for r in rows if not r["member"]]
+    assert ends.count((500, "t500")) == 1 and 5 <= ends.count((0, "t0")) <= 10 and len(ends) == ends.count((0, "t0")) + 1
+
+
+def test_filter_misses_no_row(spark):
+    wanted = spark.range(0, 3000, 3).withColumn("k", F.lit("1"))
+    rows = spark.range(30000).withColumn("k", F.lit("1"))
+    got = {r["id"] for r in maybe_among(rows, wanted, "id", "k").collect()}
+    assert got >= set(range(0, 3000, 3)) and len(got) < 1600
+    assert maybe_among(rows, wanted.limit(0), "id", "k").count() == 0
+
+
 def test_near_two_texts_of_one_id(spark):
     """An id with two texts has the links of both, and only rows that are like another go."""
     import corpus_pipeline
