@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ingestlens.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from ingestlens.llm.common import stored, table
+from ingestlens.llm.common import marked, stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,10 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are dropped by id and text, so a row that is like no other stays even if its id has another text that goes.
     """
     groups = near_dedup.near_groups(docs)
-    dropped = groups.filter("not first").select(F.col("id").alias("doc_id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.withColumn("__hash", F.xxhash64("text")).join(dropped, ["doc_id", "__hash"], "left_anti").select(*docs.columns)
+    dropped = stored(groups.filter("not first").select(F.col("id").alias("doc_id"), F.col("text_hash").alias("__hash")).distinct(), "near-copies")
+    rows = marked(docs.withColumn("__hash", F.xxhash64("text")), dropped, "doc_id", "__hash")  # only texts that may be dropped meet the list
+    maybe = rows.filter("maybe").join(dropped, ["doc_id", "__hash"], "left_anti")
+    return rows.filter("not maybe").select(*docs.columns).unionByName(maybe.select(*docs.columns))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,6 +166,20 @@ def test_filter_misses_no_row(spark):
     assert maybe_among(rows, wanted.limit(0), "id", "k").count() == 0
 
 
+def test_kept_texts_are_not_shuffled(spark):
+    """The pipeline drops near copies by a list; a text that is surely not on it does not travel."""
+    import corpus_pipeline
+
+    base = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(k, base(k)) for k in range(40)] + [(100 + k, base(k) + " more") for k in range(4)] + [(None, base(1)), (200, None)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    left = corpus_pipeline.keep_one_of_near(spark, docs, SMALL)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted([*range(40), None, 200], key=str)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.index("Union") < plan.index("LeftAnti")
+
+
 def test_near_two_texts_of_one_id(spark):
     """An id with two texts has the links of both, and only rows that are like another go."""
     import corpus_pipeline
