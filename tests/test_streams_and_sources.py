@@ -131,3 +131,28 @@ def test_landing_is_dealt_by_folders(spark, tmp_path):
     assert len({p.name.split("-")[1] for p in found}) > 5
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "l")).select("error_id").collect()) == sorted([*range(61), *range(100, 150)])
     export.write_landing(rows.limit(0), str(tmp_path / "none"))
+
+
+def test_landing_csv_equals_sparks_writer(spark, tmp_path):
+    """Local CSV objects have the folders and lines of Spark's own writer, with awkward names and texts, and are made without a process for each file."""
+    from ingestlens.sources import export
+
+    day = datetime(2024, 1, 1, 5, 7, 9, 120000)
+    texts = ["plain", "a,b", 'say "x"', "two\nlines", " blanks ", "", None, "back\\slash", "é", "#no comment", "'"]
+    rows = [(f"a{i % 3}", d, day + timedelta(minutes=i), i, t) for i, t in enumerate(texts) for d in ("x.org", None, "", "a=b/c d%[]^é", "it's")]
+    table = spark.createDataFrame(rows, "account_id string, domain string, started_at timestamp_ntz, error_id long, text string")
+    export.write_landing(table, f"file://{tmp_path}/ours", "csv", task_folders=5)
+    keys = ["account_id", "domain", "d", "t"]
+    table.withColumns({"d": F.date_format("started_at", "yyyy-MM-dd"), "t": F.date_format("started_at", "HH-mm")}).write.partitionBy(*keys).csv(str(tmp_path / "sparks"))
+
+    def found(top):
+        out = {}
+        for p in (tmp_path / top).rglob("part-*"):
+            out.setdefault(str(p.parent.relative_to(tmp_path / top)), []).append(p.read_text())
+        return {k: sorted("".join(v).split("\n")) for k, v in out.items()}
+
+    assert found("ours") == found("sparks") and (tmp_path / "ours/_SUCCESS").exists()
+    assert not list((tmp_path / "ours").rglob(".*"))  # Hadoop's local file system leaves a checksum file, made by a process, for each
+    export.write_landing(table.limit(0), str(tmp_path / "none"), "csv")
+    assert [p.name for p in (tmp_path / "none").iterdir()] == ["_SUCCESS"]
+    assert export._local_path(spark, "hdfs://h/x") is None and export._local_path(spark, "s3a://b/x") is None
