@@ -156,3 +156,11 @@ def test_landing_csv_equals_sparks_writer(spark, tmp_path):
     export.write_landing(table.limit(0), str(tmp_path / "none"), "csv")
     assert [p.name for p in (tmp_path / "none").iterdir()] == ["_SUCCESS"]
     assert export._local_path(spark, "hdfs://h/x") is None and export._local_path(spark, "s3a://b/x") is None
+
+
+def test_landing_counts_need_no_partition_discovery(spark):
+    """The folders are known by the objects' keys; none of them is a partition that the driver keeps."""
+    from ingestlens.plans import storage
+
+    leaf = storage.snk5(spark, SMALL)._jdf.queryExecution().optimizedPlan().collectLeaves().head()
+    assert leaf.relation().partitionSchema().length() == 0
